@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import decontaminate, media, order, packing, shard, substring_dedup
+from factloom.llm import decontaminate, html, language, media, near_dedup, order, packing, pii, shard, substring_dedup
 from factloom.llm._common import read
 
 
@@ -46,6 +46,34 @@ def op5_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order.write_in_training_order(read(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    members, _ = near_dedup.near_duplicates(read(spark, sf_dir, "documents", "doc_id", "text"))
+    return members.select("doc_id", "class_id", "n_links", (F.col("doc_id") == F.col("class_id")).alias("representative"))
+
+
+def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html.extract(read(spark, sf_dir, "pages", "page_id", "url", "html"))
+    return found.select("page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("long").alias("n_chars"))
+
+
+def _held_out() -> Column:
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5 == 0
+
+
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    model = language.fit(docs.where(~_held_out()).select("text", "lang"))
+    found = language.identify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", _held_out().alias("held_out"), F.col("language.lang_pred").alias("lang_pred"), F.col("language.score").alias("score"), F.size("language.spans").cast("long").alias("n_spans"))
+
+
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(read(spark, sf_dir, "documents", "doc_id", "text"))
+    base = F.filter("spans", lambda s: s["kind"] != pii.TERM)
+    counts = [F.size(F.filter("spans", pii.of_kind(kind))).cast("long").alias(f"n_{kind}") for kind in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(pii.listed(base), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(read(spark, sf_dir, "documents", "doc_id", "text"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "tier", "step_group")
@@ -93,6 +121,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_media": op3_media,
         "op4_sharding": op4_sharding,
         "op5_training_order": op5_training_order,
+        "op6_near_dedup": op6_near_dedup,
+        "op7_html": op7_html,
+        "op8_language": op8_language,
+        "op9_pii": op9_pii,
         "op10_packing": op10_packing,
     }
 
