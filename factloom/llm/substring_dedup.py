@@ -4,7 +4,7 @@ A window is ``window`` consecutive words of one document. Each window's minimise
 least hash of its ``gram``-word subsequences. Consecutive windows that share their minimiser form a
 super-k-mer: one packed string (the words joined by a space) that travels to the bucket of the
 minimiser. Equal windows have equal minimisers, so they meet in one bucket, where sorting counts them
-exactly: windows are sorted by a 64-bit hash, and neighbours are then compared word by word.
+exactly: windows are sorted by a 64-bit hash, and neighbours are then compared byte by byte.
 
 Skew. Before they travel, equal strings of one chunk of input are folded: their windows stand
 twice, so every copy but one is settled on the spot and one is sent, marked as repeated. A first pass
@@ -12,7 +12,8 @@ finds the word sequences that are more frequent than a bucket's share (a task re
 local share reaches half that, so none is missed and no list exceeds 4 x buckets); they are
 taken as minimisers last, which keeps text beside a common passage out of that passage's bucket. The
 number of buckets follows the bytes of the input, so a bucket has a fixed expected size. Packed strings are
-compressed per bucket; covered ranges come back by a row key and join the rows once.
+compressed per bucket. Covered ranges and the rows (compressed batches) then meet once, dealt by a row
+key: a part's ranges come first, and its rows stream past them.
 
 Defined cases: a null or empty text, or one of white space only, has no words and nothing is removed;
 fewer than ``window`` words have no window; a window that recurs inside its own document counts
@@ -33,25 +34,53 @@ from pyspark.sql import types as T
 from factloom.llm._common import fresh, map_arrow, materialise, row_key
 
 WINDOW = 35
-GRAM = 8
-CHUNK_BYTES = 8 << 20
-BUCKET_BYTES = 8 << 20
+GRAM = 4
+CHUNK_BYTES = 4 << 20
+BUCKET_BYTES = 4 << 20
+PART_BYTES = 32 << 20
 
+_MEET = "part int, kind int, payload binary"
 _SENT = "bucket int, settled boolean, key binary, payload binary"
 
 
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    from pandas.util import hash_array
-
-    return hash_array(np.array(words, dtype=object), categorize=False) if words else np.zeros(0, np.uint64)
-
-
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
 
 
+_BLOCK = 1 << 19
+_powers: list[np.ndarray] = []
+
+
+def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number modulo 2**64, and of its inverse."""
+    if not _powers or len(_powers[0]) < n:
+        odd = 0x9E3779B97F4A7C15
+        _powers[:] = [np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, x, np.uint64)])) for x in (np.uint64(odd), np.uint64(pow(odd, -1, 1 << 64)))]
+    return _powers[0], _powers[1]
+
+
+def word_bounds(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of each word of a text whose words are joined by one space."""
+    gaps = np.flatnonzero(np.frombuffer(text, np.uint8) == 32)
+    return np.concatenate([[0], gaps + 1]), np.concatenate([gaps, [len(text)]])
+
+
+def word_hashes(text: bytes, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each word, from prefix sums over the bytes of a block of words."""
+    raw, out, a = np.frombuffer(text, np.uint8), np.zeros(len(start), np.uint64), 0
+    while a < len(start):
+        b = max(a + 1, int(np.searchsorted(end, start[a] + _BLOCK, "right")))
+        low, high = int(start[a]), int(end[b - 1])
+        power, inverse = _power(max(_BLOCK, high - low) + 1)
+        total = np.zeros(high - low + 1, np.uint64)
+        np.cumsum((raw[low:high].astype(np.uint64) + np.uint64(1)) * power[: high - low], out=total[1:])
+        out[a:b] = (total[end[a:b] - low] - total[start[a:b] - low]) * inverse[start[a:b] - low]
+        a = b
+    return _mix(out)
+
+
 def gram_hashes(h: np.ndarray, gram: int) -> np.ndarray:
     """A hash of each ``gram`` consecutive words."""
     n = len(h) - gram + 1
@@ -74,27 +103,29 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[:n], x[width - span : width - span + n]) if span < width else x[:n]
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[list[bytes], list[list[bytes]]]]:
-    """(keys, words) of rows, at least ``size`` bytes of text at a time."""
-    keys, docs, held = [], [], 0
+def _chunks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[list[bytes], bytes, np.ndarray, np.ndarray, np.ndarray]]:
+    """(keys, text, start and end of its words, first word of each row and the end), at least ``size`` bytes of text at a time; rows without words are left out."""
+    keys, docs, counts, held = [], [], [], 0
+
+    def chunk() -> tuple[list[bytes], bytes, np.ndarray, np.ndarray, np.ndarray]:
+        text = b" ".join(docs)
+        return keys, text, *word_bounds(text), np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
+
     for batch in batches:
         for k, t in zip(batch.column(0), batch.column(1).cast(pa.binary()), strict=True):
             t = t.as_py()
-            if not t:
+            words = t.split() if t else None
+            if not words:
                 continue
             keys.append(k.as_py())
-            docs.append(t.split())
+            docs.append(b" ".join(words))
+            counts.append(len(words))
             held += len(t)
             if held >= size:
-                yield keys, docs
-                keys, docs, held = [], [], 0
+                yield chunk()
+                keys, docs, counts, held = [], [], [], 0
     if keys:
-        yield keys, docs
-
-
-def _flat(docs: list[list[bytes]]) -> tuple[list[bytes], np.ndarray]:
-    """All words, and the word offset of each document with the end."""
-    return [w for d in docs for w in d], np.concatenate([[0], np.cumsum([len(d) for d in docs])]).astype(np.int64)
+        yield chunk()
 
 
 def _survey(window: int, gram: int, share: float):
@@ -102,9 +133,8 @@ def _survey(window: int, gram: int, share: float):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, total = {}, 0
-        for _, docs in _chunks(batches, CHUNK_BYTES):
-            words, _ = _flat(docs)
-            g = gram_hashes(word_hashes(words), gram)
+        for _, text, start, end, _ in _chunks(batches, CHUNK_BYTES):
+            g = gram_hashes(word_hashes(text, start, end), gram)
             total += len(g)
             # Lossy counting: what a chunk has once is dropped where it can't reach the share.
             value, n = np.unique(g, return_counts=True)
@@ -143,7 +173,7 @@ def _dump(keys: np.ndarray, first: np.ndarray, size: np.ndarray, multi: np.ndarr
     import zstandard
 
     raw = len(first).to_bytes(4, "little") + first.astype(np.int32).tobytes() + size.astype(np.int32).tobytes() + multi.astype(np.uint8).tobytes() + keys.tobytes() + b" ".join(strings)
-    return zstandard.ZstdCompressor(level=1).compress(raw)
+    return zstandard.ZstdCompressor(level=3).compress(raw)
 
 
 def _load(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, bytes]:
@@ -171,15 +201,12 @@ def _merged(start: np.ndarray, stop: np.ndarray) -> np.ndarray:
 def _sender(window: int, gram: int, buckets: int, heavy_list):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heavy = np.frombuffer(heavy_list.value, np.uint64)
-        for keys, docs in _chunks(batches, CHUNK_BYTES):
-            words, edge = _flat(docs)
-            first, size, minimiser = superkmers(word_hashes(words), edge, window, gram, heavy)
+        for keys, text, start, end, edge in _chunks(batches, CHUNK_BYTES):
+            first, size, minimiser = superkmers(word_hashes(text, start, end), edge, window, gram, heavy)
             if not len(first):
                 continue
-            text = b" ".join(words)
-            begin = np.concatenate([[0], np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)])
             of = np.searchsorted(edge, first, "right") - 1
-            strings = [text[a:b] for a, b in zip(begin[first].tolist(), (begin[first + size] - 1).tolist(), strict=True)]
+            strings = [text[a:b] for a, b in zip(start[first].tolist(), end[first + size - 1].tolist(), strict=True)]
             where: dict[bytes, int] = {}
             leader = np.fromiter((where.setdefault(s, i) for i, s in enumerate(strings)), np.int64, len(strings))
             copies = np.bincount(leader, minlength=len(strings))
@@ -210,53 +237,46 @@ def _sender(window: int, gram: int, buckets: int, heavy_list):
     return run
 
 
-def repeated(words: list[bytes], size: np.ndarray, multi: np.ndarray, window: int) -> np.ndarray:
-    """For strings of ``size`` words each, whether each window stands twice (flat over all their windows)."""
-    import pandas as pd
-
-    ids = pd.factorize(np.array(words, dtype=object))[0].astype(np.int64)
+def repeated(text: bytes, size: np.ndarray, multi: np.ndarray, window: int) -> np.ndarray:
+    """For strings of ``size`` words each, joined by spaces, whether each window stands twice (flat over all their windows)."""
+    start, end = word_bounds(text)
+    word = word_hashes(text, start, end)
     n_windows = size.astype(np.int64) - window + 1
-    base = np.concatenate([[0], np.cumsum(size)])[:-1]
     of = np.repeat(np.arange(len(size)), n_windows)
-    at = np.arange(len(of)) - np.repeat(np.concatenate([[0], np.cumsum(n_windows)])[:-1], n_windows) + base[of]
-    odd = np.uint64(0x9E3779B97F4A7C15)
-    power = np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(ids), odd, np.uint64)]))
-    total = np.concatenate([[np.uint64(0)], np.cumsum(_mix(ids.astype(np.uint64) + np.uint64(1)) * power[:-1])])
-    inverse = np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(ids), np.uint64(pow(int(odd), -1, 1 << 64)), np.uint64)]))
-    h = (total[at + window] - total[at]) * inverse[at]
+    at = np.arange(len(of)) + np.repeat(np.arange(len(size)) * (window - 1), n_windows)
+    power, inverse = _power(len(word) + 1)
+    total = np.concatenate([[np.uint64(0)], np.cumsum(word * power[: len(word)])])
+    h = _mix((total[at + window] - total[at]) * inverse[at])
     order = np.argsort(h, kind="stable")
     hs = h[order]
     head = np.concatenate([[True], hs[1:] != hs[:-1]])
     group = np.cumsum(head) - 1
     count = np.bincount(group)
+    alike = count[group] > 1
     twice = np.zeros(len(h), bool)
-    twice[order] = count[group] > 1
-    marked = multi[of].astype(bool)
-    # Equal hashes are compared word by word with the first of their group.
-    check = np.flatnonzero(count[group] > 1)
-    lead = np.flatnonzero(head)[group[check]]
+    twice[order] = alike
+    # Equal hashes are compared byte by byte with the first of their group.
+    check = np.flatnonzero(alike)
+    lead = order[np.flatnonzero(head)[group[check]]]
     wrong: set[int] = set()
-    for a in range(0, len(check), 50_000):
-        c, d = order[check[a : a + 50_000]], order[lead[a : a + 50_000]]
-        same = np.ones(len(c), bool)
-        for k in range(window):
-            same &= ids[at[c] + k] == ids[at[d] + k]
-        wrong.update(group[check[a : a + 50_000]][~same].tolist())
+    begin, stop = start[at].tolist(), end[at + window - 1].tolist()
+    for w, v, g in zip(order[check].tolist(), lead.tolist(), group[check].tolist(), strict=True):
+        if w != v and text[begin[w] : stop[w]] != text[begin[v] : stop[v]]:
+            wrong.add(g)
     for g in wrong:  # two sequences with one hash
-        seen: dict[tuple, list[int]] = {}
+        seen: dict[bytes, list[int]] = {}
         for w in order[np.flatnonzero(group == g)].tolist():
-            seen.setdefault(tuple(ids[at[w] : at[w] + window].tolist()), []).append(w)
-        for same_words in seen.values():
-            twice[same_words] = len(same_words) > 1
-    return twice | marked
+            seen.setdefault(text[begin[w] : stop[w]], []).append(w)
+        for same in seen.values():
+            twice[same] = len(same) > 1
+    return twice | multi[of].astype(bool)
 
 
-def _counter(window: int):
+def _counter(window: int, parts: int):
     def settle(blobs: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
         parts = [_load(b) for b in blobs]
         keys, first, size, multi = (np.concatenate([p[k] for p in parts]) for k in range(4))
-        words = b" ".join(p[4] for p in parts).split(b" ")
-        twice = repeated(words, size, multi, window)
+        twice = repeated(b" ".join(p[4] for p in parts), size, multi, window)
         n_windows = size.astype(np.int64) - window + 1
         of = np.repeat(np.arange(len(size)), n_windows)
         pick = np.flatnonzero(twice & (multi[of] == 0))  # the copies of a marked string are settled
@@ -272,52 +292,85 @@ def _counter(window: int):
             i = order[a:b]
             yield keys[of[pick[i[0]]]].tobytes(), _merged(start[i], start[i] + window).tobytes()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket, blobs = None, []
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            found = list(settle(blobs)) if blobs else []
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.binary()), pa.array([v for _, v in found], pa.binary())], names=["key", "payload"])
+    def rows(found: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
+        part = [int.from_bytes(k[:8], "little") % parts for k, _ in found]
+        return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array([0] * len(found), pa.int32()), pa.array([k + v for k, v in found], pa.binary())], names=["part", "kind", "payload"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, blobs, settled = None, [], []
         for batch in batches:
-            for b, settled, key, payload in zip(*(batch.column(k) for k in range(4)), strict=True):
-                b = b.as_py()
-                if b != bucket:
-                    yield from flush()
-                    bucket, blobs = b, []
-                if settled.as_py():
-                    yield pa.RecordBatch.from_arrays([pa.array([key.as_py()], pa.binary()), pa.array([payload.as_py()], pa.binary())], names=["key", "payload"])
+            for b, done, key, payload in zip(*(batch.column(k) for k in range(4)), strict=True):
+                if b.as_py() != bucket:
+                    if found := list(settle(blobs)) if blobs else []:
+                        yield rows(found)
+                    bucket, blobs = b.as_py(), []
+                if done.as_py():
+                    settled.append((key.as_py(), payload.as_py()))
                 else:
                     blobs.append(payload.as_py())
-        yield from flush()
+            if settled:
+                yield rows(settled)
+                settled = []
+        if found := list(settle(blobs)) if blobs else []:
+            yield rows(found)
 
     return run
 
 
-def _remover(names: list[str], kept: str, n_words: str, n_removed: str):
+def _batcher(key: str, parts: int):
+    """Rows as compressed Arrow batches, one for each part that a batch of the scan has."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        options = pa.ipc.IpcWriteOptions(compression="zstd")
         for batch in batches:
-            text, total, gone = [], [], []
-            covered = batch.column(batch.schema.get_field_index("_covered"))
-            for t, cover in zip(batch.column(batch.schema.get_field_index("text")).cast(pa.binary()), covered, strict=True):
-                words = (t.as_py() or b"").split()
-                total.append(len(words))
-                if cover.is_valid and len(cover) and words:
-                    out = np.zeros(len(words) + 1, np.int64)
-                    pairs = np.frombuffer(b"".join(cover.as_py()), np.int32).reshape(-1, 2)
-                    np.add.at(out, pairs[:, 0], 1)
-                    np.add.at(out, pairs[:, 1], -1)
-                    stay = np.cumsum(out[:-1]) == 0
-                    left = [w for w, s in zip(words, stay.tolist(), strict=True) if s]
-                else:
-                    left = words
-                gone.append(len(words) - len(left))
-                text.append(b" ".join(left))
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(batch.schema.get_field_index(c)) for c in names), pa.array(text, pa.binary()).cast(pa.string()), pa.array(total, pa.int64()), pa.array(gone, pa.int64())],
-                names=[*names, kept, n_words, n_removed],
-            )
+            if not batch.num_rows:
+                continue
+            part = np.array([int.from_bytes(k.as_py()[:8], "little") % parts for k in batch.column(batch.schema.get_field_index(key))])
+            order = np.argsort(part, kind="stable")
+            cut = np.concatenate([[0], np.flatnonzero(np.diff(part[order])) + 1, [len(order)]])
+            out = []
+            for a, b in zip(cut[:-1], cut[1:], strict=True):
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, batch.schema, options=options) as stream:
+                    stream.write_batch(batch.take(pa.array(order[a:b])))
+                out.append((int(part[order[a]]), sink.getvalue().to_pybytes()))
+            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in out], pa.int32()), pa.array([1] * len(out), pa.int32()), pa.array([v for _, v in out], pa.binary())], names=["part", "kind", "payload"])
+
+    return run
+
+
+def _remover(names: list[str], key: str, kept: str, n_words: str, n_removed: str):
+    """Rows of a part against the ranges that came before them."""
+
+    def one(raw: bytes | None, ranges: list[bytes]) -> tuple[bytes, int, int]:
+        words = (raw or b"").split()
+        if not ranges or not words:
+            return b" ".join(words), len(words), 0
+        depth = np.zeros(len(words) + 1, np.int64)
+        pairs = np.frombuffer(b"".join(ranges), np.int32).reshape(-1, 2)
+        np.add.at(depth, pairs[:, 0], 1)
+        np.add.at(depth, pairs[:, 1], -1)
+        left = [w for w, d in zip(words, np.cumsum(depth[:-1]).tolist(), strict=True) if not d]
+        return b" ".join(left), len(words), len(words) - len(left)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, ranges = None, {}
+        for batch in batches:
+            for p, kind, payload in zip(*(batch.column(k) for k in range(3)), strict=True):
+                if p.as_py() != part:
+                    part, ranges = p.as_py(), {}
+                value = payload.as_py()
+                if not kind.as_py():
+                    ranges.setdefault(value[:16], set()).add(value[16:])
+                    continue
+                for rows in pa.ipc.open_stream(value):
+                    at = rows.schema.get_field_index
+                    found = [one(t.as_py(), list(ranges.get(k.as_py(), ()))) for t, k in zip(rows.column(at("text")).cast(pa.binary()), rows.column(at(key)), strict=True)]
+                    text, total, gone = zip(*found, strict=True)
+                    yield pa.RecordBatch.from_arrays(
+                        [*(rows.column(at(c)) for c in names), pa.array(text, pa.binary()).cast(pa.string()), pa.array(total, pa.int64()), pa.array(gone, pa.int64())],
+                        names=[*names, kept, n_words, n_removed],
+                    )
 
     return run
 
@@ -338,15 +391,13 @@ def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, bucket_bytes:
     floor = 2 * share * (total["total"] if total else 0)
     heavy = np.array(sorted(r[0] % (1 << 64) for r in survey.where(F.col("gram").isNotNull() & (F.col("n") >= floor) & (F.col("n") > 64)).select("gram").toLocalIterator()), np.uint64)
     sent = map_arrow(rows, _sender(window, gram, buckets, spark.sparkContext.broadcast(heavy.tobytes())), _SENT)
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), buckets // 4)
-    found = (
-        sent.repartition(tasks, "bucket")
-        .sortWithinPartitions("bucket")
-        .mapInArrow(_counter(window), "key binary, payload binary")
-        .groupBy("key")
-        .agg(F.collect_set("payload").alias("_covered"))
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    tasks, parts = max(least, buckets // 4), max(least, -(-size // PART_BYTES))
+    found = map_arrow(
+        sent.repartitionById(tasks, F.col("bucket") % tasks).sortWithinPartitions("bucket"), _counter(window, parts), _MEET
     )
-    names = docs.columns
-    back = docs.withColumn("_key", key).join(found.withColumnRenamed("key", "_key"), "_key", "left").select(*names, "_covered")
+    names, own = docs.columns, fresh(docs, "_key")
+    batches = map_arrow(docs.withColumn(own, key), _batcher(own, parts), _MEET)
+    met = found.unionByName(batches).repartitionById(parts, F.col("part")).sortWithinPartitions("part", "kind")
     schema = T.StructType([*docs.schema.fields, T.StructField(kept, T.StringType()), T.StructField(n_words, T.LongType()), T.StructField(n_removed, T.LongType())])
-    return map_arrow(back, _remover(names, kept, n_words, n_removed), schema)
+    return map_arrow(met, _remover(names, own, kept, n_words, n_removed), schema)
