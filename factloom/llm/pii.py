@@ -110,7 +110,10 @@ def disclosing(found: DataFrame, reach: int, support: int, certain: float, discl
     term = F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.concat_ws("\n", left, right)), F.lit(r"\p{L}{3,}"), F.lit(0))))
     entity = F.concat_ws(":", "_s.kind", F.lower("_s.value"))
     pairs = near.select("_text", entity.alias("_entity"), term.alias("_term")).distinct()
-    both = materialise(pairs.groupBy("_entity", "_term").agg(F.count(F.lit(1)).alias("_both")).where(F.col("_both") >= support), "pii-pairs")
+    # A term stands in at least the texts where it is near any entity, so common words leave before the corpus is counted.
+    least = pairs.select("_text", "_term").distinct().groupBy("_term").agg(F.count(F.lit(1)).alias("_near"))
+    both = pairs.groupBy("_entity", "_term").agg(F.count(F.lit(1)).alias("_both")).where(F.col("_both") >= support)
+    both = materialise(both.join(least, "_term").where(F.col("_both") / F.col("_near") >= certain).drop("_near"), "pii-pairs")
     if both.isEmpty():
         return both.select(F.col("_term").alias("term"))
     own = near.select("_text", entity.alias("_entity")).distinct().groupBy("_entity").agg(F.count(F.lit(1)).alias("_texts"))
