@@ -33,6 +33,7 @@ ORDERS = 4
 PER_LANGUAGE = 4000
 PENALTY = 8.0
 CHUNK_CHARS = 4 << 20
+PIECE_CHARS = 1 << 19
 UNKNOWN = "und"
 
 # First and last code point of Unicode script ranges.
@@ -230,26 +231,53 @@ _SPAN = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.Struct
 _FOUND = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("spans", _SPAN)])
 
 
+def _pieces(texts: list[str | None], limit: int) -> Iterator[list[tuple[int, int, str]]]:
+    """Groups of (text number, offset, part) of about ``limit`` characters; long texts are cut between words."""
+    group, held = [], 0
+    for i, t in enumerate(texts):
+        a = 0
+        while t is not None and a < len(t):
+            b = min(len(t), a + limit)
+            if b < len(t):
+                while b > a and t[b - 1].isalpha():
+                    b -= 1
+                if b == a:  # one word longer than the limit
+                    b = a + limit
+                    while b < len(t) and t[b].isalpha():
+                        b += 1
+            group.append((i, a, t[a:b]))
+            held += b - a
+            a = b
+            if held >= limit:
+                yield group
+                group, held = [], 0
+    if group:
+        yield group
+
+
 def label_texts(model: Model, texts: list[str | None], penalty: float = PENALTY) -> list[dict]:
-    """lang_pred, score and spans of each text."""
-    none = {"lang_pred": UNKNOWN, "score": 0.0, "spans": []}
+    """lang_pred, score and spans of each text; words are scored piece by piece and decoded together."""
+    out: list[dict] = [{"lang_pred": UNKNOWN, "score": 0.0, "spans": []}] * len(texts)
     if not model.languages:
-        return [none] * len(texts)
-    out: list[dict] = [none] * len(texts)
-    joined = "\n".join(t or "" for t in texts)
-    begin = np.concatenate([[0], np.cumsum([len(t or "") + 1 for t in texts])])
-    w = split(joined)
-    doc = np.searchsorted(begin, w.start, "right") - 1
-    label = viterbi(model.scores(w), np.bincount(doc, minlength=len(texts)), penalty)
-    size = w.end - w.start
+        return out
+    found: list[tuple[np.ndarray, ...]] = []
+    for group in _pieces(texts, max(1 << 14, PIECE_CHARS * 4 // max(4, len(model.languages)))):
+        begin = np.concatenate([[0], np.cumsum([len(x[2]) + 1 for x in group])])
+        w = split("\n".join(x[2] for x in group))
+        part = np.searchsorted(begin, w.start, "right") - 1
+        shift = np.array([x[1] for x in group]) - begin[:-1]
+        found.append((np.array([x[0] for x in group])[part], w.start + shift[part], w.end + shift[part], model.scores(w)))
+    if not found:
+        return out
+    doc, start, end, scores = (np.concatenate(x) for x in zip(*found, strict=True))
+    label = viterbi(scores, np.bincount(doc, minlength=len(texts)), penalty)
     letters = np.zeros((len(texts), len(model.languages)), np.int64)
-    np.add.at(letters, (doc, label), size)
+    np.add.at(letters, (doc, label), end - start)
     cut = np.flatnonzero(np.concatenate([[True], (np.diff(doc) != 0) | (np.diff(label) != 0)])) if len(doc) else np.zeros(0, np.int64)
     stop = np.concatenate([cut[1:], [len(doc)]]) - 1
     spans: dict[int, list[dict]] = {}
     for a, b in zip(cut.tolist(), stop.tolist(), strict=True):
-        d = int(doc[a])
-        spans.setdefault(d, []).append({"start": int(w.start[a] - begin[d]), "end": int(w.end[b] - begin[d]), "lang": model.languages[label[a]]})
+        spans.setdefault(int(doc[a]), []).append({"start": int(start[a]), "end": int(end[b]), "lang": model.languages[label[a]]})
     for d, own in spans.items():
         best = int(letters[d].argmax())
         out[d] = {"lang_pred": model.languages[best], "score": float(letters[d, best] / letters[d].sum()), "spans": own}
@@ -268,7 +296,8 @@ def identify(docs: DataFrame, model: Model, out: str = "language", penalty: floa
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, found, held = [], [], 0
-            for t in batch.column(batch.schema.get_field_index("text")).to_pylist():
+            for t in batch.column(batch.schema.get_field_index("text")):
+                t = t.as_py()
                 texts.append(t)
                 held += len(t or "")
                 if held >= limit:
