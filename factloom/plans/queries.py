@@ -92,7 +92,7 @@ extra AS (
 
 @query("""
 WITH line AS (SELECT l_orderkey, l_linenumber, min(CAST(l_shipdate AS DATE)) AS d FROM lineitem GROUP BY ALL)
-SELECT 'ships' AS p, count(*) AS n, count_if(d < CAST(o_orderdate AS DATE)) AS broken
+SELECT 'ships' AS p, count(*) AS n, count(*) FILTER (WHERE d < CAST(o_orderdate AS DATE)) AS broken
 FROM lineitem l JOIN line USING (l_orderkey, l_linenumber) JOIN orders ON o_orderkey = l_orderkey""")
 def law_l1_ships_census(spark, sf_dir):
     facts, nodes = driver.ships(spark, sf_dir)
@@ -248,8 +248,8 @@ def judge_extra(spark, sf_dir):
 
 
 _DIMS = f"""{ACTS}, {FACTS}, {JUDGED},
-own AS (SELECT p, count_if(status <> 'known_fault') AS n_truth, count_if(status = 'found') AS found, count_if(status = 'abstained') AS abstained, count_if(status = 'missed') AS missed, count_if(status = 'known_fault') AS known_fault, CAST(sum(duplicate) AS BIGINT) AS duplicate FROM status GROUP BY p),
-more AS (SELECT p, CAST(sum(CASE WHEN status = 'false' THEN copies ELSE 0 END) AS BIGINT) AS false_facts, count_if(status = 'unresolved') AS unresolved, count_if(status = 'out_of_coverage') AS out_of_coverage FROM extra WHERE counted GROUP BY p),
+own AS (SELECT p, count(*) FILTER (WHERE status <> 'known_fault') AS n_truth, count(*) FILTER (WHERE status = 'found') AS found, count(*) FILTER (WHERE status = 'abstained') AS abstained, count(*) FILTER (WHERE status = 'missed') AS missed, count(*) FILTER (WHERE status = 'known_fault') AS known_fault, CAST(sum(duplicate) AS BIGINT) AS duplicate FROM status GROUP BY p),
+more AS (SELECT p, CAST(sum(CASE WHEN status = 'false' THEN copies ELSE 0 END) AS BIGINT) AS false_facts, count(*) FILTER (WHERE status = 'unresolved') AS unresolved, count(*) FILTER (WHERE status = 'out_of_coverage') AS out_of_coverage FROM extra WHERE counted GROUP BY p),
 dims AS (SELECT p, closed, coalesce(n_truth, 0) AS n_truth, coalesce(found, 0) AS found, coalesce(abstained, 0) AS abstained, coalesce(missed, 0) AS missed, coalesce(known_fault, 0) AS known_fault, coalesce(duplicate, 0) AS duplicate, coalesce(false_facts, 0) AS false_facts, coalesce(unresolved, 0) AS unresolved, coalesce(out_of_coverage, 0) AS out_of_coverage FROM world LEFT JOIN own USING (p) LEFT JOIN more USING (p))"""
 
 
@@ -276,7 +276,7 @@ def judge_collateral(spark, sf_dir):
 
 
 @query(f"""WITH {ACTS}, {FACTS}, {JUDGED}, s AS (SELECT *, CASE WHEN substr(fact_id, 3, 1) IN ('0', '1', '2', '3') THEN 'yes' WHEN substr(fact_id, 3, 1) IN ('4', '5') THEN 'no' WHEN substr(fact_id, 3, 1) = '6' THEN 'unclear' ELSE 'unknown' END AS stated FROM status WHERE status <> 'known_fault')
-SELECT p, count_if(stated = 'yes' AND status = 'found') AS num, count_if(stated = 'yes') AS den, count_if(stated = 'yes') AS stated_yes, count_if(stated = 'no') AS stated_no, count_if(stated = 'unclear') AS stated_unclear, count_if(stated = 'unknown') AS stated_unknown, count_if(status = 'missed' AND stated <> 'yes') AS missed_and_not_stated FROM s GROUP BY p""")
+SELECT p, count(*) FILTER (WHERE stated = 'yes' AND status = 'found') AS num, count(*) FILTER (WHERE stated = 'yes') AS den, count(*) FILTER (WHERE stated = 'yes') AS stated_yes, count(*) FILTER (WHERE stated = 'no') AS stated_no, count(*) FILTER (WHERE stated = 'unclear') AS stated_unclear, count(*) FILTER (WHERE stated = 'unknown') AS stated_unknown, count(*) FILTER (WHERE status = 'missed' AND stated <> 'yes') AS missed_and_not_stated FROM s GROUP BY p""")
 def judge_stated_recall(spark, sf_dir):
     g, status = _status(spark, sf_dir)
     first = F.substring("id", 3, 1)
@@ -284,7 +284,7 @@ def judge_stated_recall(spark, sf_dir):
     return judge.stated_recall(status, stated)
 
 
-@query(f"""WITH {ACTS} SELECT count(*) AS dated, count_if(k % 7 = 0) AS shifted FROM node WHERE status = 'ok' AND k % 13 <> 0""")
+@query(f"""WITH {ACTS} SELECT count(*) AS dated, count(*) FILTER (WHERE k % 7 = 0) AS shifted FROM node WHERE status = 'ok' AND k % 13 <> 0""")
 def judge_anachronisms(spark, sf_dir):
     nodes = driver.acts(spark, sf_dir)
     k = F.substring("id", 3, 20).cast("long")
@@ -376,8 +376,8 @@ def candidate_read_back(spark, sf_dir):
     return repair.read_back(facts, nodes, edge.unionByName(node))[0]
 
 
-@query(r"""WITH r AS (SELECT o_orderpriority AS name, o_orderstatus AS arm, year(o_orderdate) AS run, count_if(o_orderkey % 2 = 0) AS kept FROM orders GROUP BY ALL), g AS (SELECT name, arm, 130 AS of, count(*) AS runs, string_agg(CAST(kept AS VARCHAR), ',' ORDER BY run) AS kept, min(kept) AS least, max(kept) AS most FROM r GROUP BY ALL)
-SELECT name, arm, of, runs, kept, least, most, CASE WHEN runs >= 2 THEN least = most END AS stable, 54 AS coin_low, 76 AS coin_high FROM g""")
+@query(r"""WITH r AS (SELECT o_orderpriority AS name, o_orderstatus AS arm, year(o_orderdate) AS run, count(*) FILTER (WHERE o_orderkey % 2 = 0) AS kept FROM orders GROUP BY ALL), g AS (SELECT name, arm, 130 AS of, count(*) AS runs, string_agg(CAST(kept AS VARCHAR), ',' ORDER BY run) AS kept, min(kept) AS least, max(kept) AS most FROM r GROUP BY ALL)
+SELECT name, arm, of, runs, kept, least, most, CASE WHEN runs >= 2 THEN least = most END AS stable, CAST(54 AS BIGINT) AS coin_low, CAST(76 AS BIGINT) AS coin_high FROM g""")
 def spread_of_runs(spark, sf_dir):
     runs = driver.table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("name"), F.col("o_orderstatus").alias("arm"), F.year("o_orderdate").alias("run")).agg(F.count_if(F.col("o_orderkey") % 2 == 0).alias("kept")).withColumn("of", F.lit(130))
     return spread.spread(runs).select("name", "arm", "of", "runs", F.array_join(F.transform("kept", lambda x: x.cast("string")), ",").alias("kept"), "least", "most", "stable", "coin_low", "coin_high")
@@ -393,14 +393,14 @@ def _votes(spark, sf_dir):
     return rows.select(F.concat(F.lit("f-"), "doc_id").alias("fact_id"), "quality", "auditor", F.when(h == 0, "non").when(h == 3, None).otherwise("oui").alias("answer"))
 
 
-@query(f"""WITH {_VOTES}, c AS (SELECT fact_id, count(answer) AS n, count_if(answer = 'oui') AS y, count_if(answer = 'non') AS z FROM vote GROUP BY fact_id)
+@query(f"""WITH {_VOTES}, c AS (SELECT fact_id, count(answer) AS n, count(*) FILTER (WHERE answer = 'oui') AS y, count(*) FILTER (WHERE answer = 'non') AS z FROM vote GROUP BY fact_id)
 SELECT fact_id, CASE WHEN n = 0 THEN 'unanswered' WHEN 2 * y > n THEN 'oui' WHEN 2 * z > n THEN 'non' ELSE 'disagreement' END AS verdict FROM c""")
 def audit_majority(spark, sf_dir):
     return audit.majority(_votes(spark, sf_dir))
 
 
-@query(f"""WITH {_VOTES}, c AS (SELECT fact_id, quality, count(answer) AS n, count_if(answer = 'oui') AS y, count_if(answer = 'non') AS z FROM vote GROUP BY ALL), v AS (SELECT *, CASE WHEN n = 0 THEN 'unanswered' WHEN 2 * y > n THEN 'oui' WHEN 2 * z > n THEN 'non' ELSE 'disagreement' END AS verdict FROM c)
-SELECT 'quality ' || quality AS p, count_if(verdict = 'oui') AS yes, count_if(verdict = 'non') AS no, count_if(verdict = 'illisible') AS unreadable, count_if(verdict = 'disagreement') AS disagreement, count_if(verdict = 'unanswered') AS unanswered, count_if(verdict = 'non') AS error_num, count_if(verdict IN ('oui', 'non')) AS error_den FROM v GROUP BY quality""")
+@query(f"""WITH {_VOTES}, c AS (SELECT fact_id, quality, count(answer) AS n, count(*) FILTER (WHERE answer = 'oui') AS y, count(*) FILTER (WHERE answer = 'non') AS z FROM vote GROUP BY ALL), v AS (SELECT *, CASE WHEN n = 0 THEN 'unanswered' WHEN 2 * y > n THEN 'oui' WHEN 2 * z > n THEN 'non' ELSE 'disagreement' END AS verdict FROM c)
+SELECT 'quality ' || quality AS p, count(*) FILTER (WHERE verdict = 'oui') AS yes, count(*) FILTER (WHERE verdict = 'non') AS no, count(*) FILTER (WHERE verdict = 'illisible') AS unreadable, count(*) FILTER (WHERE verdict = 'disagreement') AS disagreement, count(*) FILTER (WHERE verdict = 'unanswered') AS unanswered, count(*) FILTER (WHERE verdict = 'non') AS error_num, count(*) FILTER (WHERE verdict IN ('oui', 'non')) AS error_den FROM v GROUP BY quality""")
 def audit_rates(spark, sf_dir):
     votes = _votes(spark, sf_dir)
     facts = votes.select(F.col("fact_id").alias("id"), F.concat(F.lit("quality "), "quality").alias("p")).distinct()
@@ -514,7 +514,7 @@ def path_of_bounded_length(spark, sf_dir):
     return laws.path_ends(trades.unionByName(start), "first", ("trades",), 3)
 
 
-@query(r"""SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n, count_if(value < 10) AS n_broken FROM events GROUP BY ALL""")
+@query(r"""SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n, count(*) FILTER (WHERE value < 10) AS n_broken FROM events GROUP BY ALL""")
 def windowed_law_check(spark, sf_dir):
     return stream_laws.violations_by_window(driver.table(spark, sf_dir, "events"), F.col("value") < 10).withColumn("start", F.col("start").cast("timestamp_ntz"))
 
