@@ -10,7 +10,9 @@ Improved consistent weighted sampling draws (shingle, level) pairs, two document
 probability of their weighted Jaccard similarity. Samples are banded. In each band's bucket, members meet
 one another in order of their digest: a member is compared by signature with the bucket's leaders, gives at most ``links``
 candidate pairs, and becomes a leader unless it is very close to one, so pairs stay linear in the
-rows. A bucket above ``large`` members is replaced by its intersections with the other bands, which keeps the pairs
+rows. What this first pass leaves is then settled: in every bucket that still holds several classes, each member is
+compared with all members of other classes, in rounds over the ranks of their likeness, until no candidate pair is left
+whose ends are in different classes. A bucket above ``large`` members is replaced by its intersections with the other bands, which keeps the pairs
 that are alike and parts those that share one common passage. Candidates are verified by the exact weighted Jaccard similarity
 of the whole texts, at first the best of each text, then those whose ends are still in different classes. Classes are
 connected components of verified links, found by hooking to the least neighbour and contracting.
@@ -230,22 +232,89 @@ def _pairs(least: float, close: float, links: int):
     return run
 
 
-def candidates(reps: DataFrame, bands: int, large: int, least: float, close: float, links: int) -> DataFrame:
-    """Distinct pairs (a, b, alike) of nodes that share a bucket."""
+def _across(least: float, low: int, high: int):
+    """Candidate pairs between classes at ranks ``low`` to ``high`` of each member, and the buckets that have more.
+
+    Rows come sorted by bucket, first class and node. Ranks count over the members of other first classes, so they
+    stay the same from round to round; a pair whose ends have since come into one class is left out.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, first, nodes, roots, marks, n, start = None, None, [], [], None, 0, 0
+        for batch in batches:
+            out: list[tuple] = []
+            for b, f, r, node, raw in zip(*(batch.column(k) for k in range(5)), strict=True):
+                b, f, r, node, sign = b.as_py(), f.as_py(), r.as_py(), node.as_py(), np.frombuffer(raw.as_py(), np.uint32)
+                if b != bucket:
+                    bucket, first, nodes, roots, n, start = b, f, [], [], 0, 0
+                    marks = np.zeros((4, len(sign)), np.uint32)
+                elif f != first:
+                    first, start = f, n
+                if start:
+                    alike = (marks[:start] == sign).mean(1)
+                    able = np.flatnonzero(alike >= least)
+                    ranked = able[np.argsort(-alike[able], kind="stable")].tolist()
+                    out += [(nodes[i], node, None) for i in ranked[low:high] if roots[i] != r and nodes[i] != node]
+                    if any(roots[i] != r for i in ranked[high:]):
+                        out.append((None, None, b))
+                if n == len(marks):
+                    marks = np.concatenate([marks, np.zeros_like(marks)])
+                marks[n] = sign
+                nodes.append(node)
+                roots.append(r)
+                n += 1
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.binary()), pa.array([o[1] for o in out], pa.binary()), pa.array([o[2] for o in out], pa.int64())], names=["a", "b", "bucket"])
+
+    return run
+
+
+def bucketed(reps: DataFrame, large: int) -> DataFrame:
+    """(bucket, node, signature): each node in each of its buckets; a bucket above ``large`` is parted by the other bands."""
     rows = reps.where(F.col("bands").isNotNull()).select("node", "signature", "bands", F.posexplode("bands").alias("band", "bucket"))
     hot = materialise(rows.groupBy("bucket").count().where(F.col("count") > large).select("bucket"), "hot-buckets")
     flat = rows.select("bucket", "node", "signature")
-    if not hot.isEmpty():
-        both = rows.join(hot, "bucket", "left_semi").select(
-            F.explode(F.transform("bands", lambda other: F.when(other != F.col("bucket"), F.xxhash64(F.least(other, F.col("bucket")), F.greatest(other, F.col("bucket")))))).alias("bucket"), "node", "signature"
-        )
-        flat = rows.join(hot, "bucket", "left_anti").select("bucket", "node", "signature").unionByName(both.where(F.col("bucket").isNotNull()))
-    spark = reps.sparkSession
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), reps.rdd.getNumPartitions())
+    if hot.isEmpty():
+        return flat
+    both = rows.join(hot, "bucket", "left_semi").select(
+        F.explode(F.transform("bands", lambda other: F.when(other != F.col("bucket"), F.xxhash64(F.least(other, F.col("bucket")), F.greatest(other, F.col("bucket")))))).alias("bucket"), "node", "signature"
+    )
+    return rows.join(hot, "bucket", "left_anti").select("bucket", "node", "signature").unionByName(both.where(F.col("bucket").isNotNull()))
+
+
+def _tasks(df: DataFrame) -> int:
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.rdd.getNumPartitions())
+
+
+def candidates(flat: DataFrame, tasks: int, least: float, close: float, links: int) -> DataFrame:
+    """Distinct pairs (a, b, alike) of nodes that share a bucket."""
     found = map_arrow(flat.repartition(tasks, "bucket").sortWithinPartitions("bucket", "node"), _pairs(least, close, links), "a binary, b binary, alike double")
     return found.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("alike").alias("alike"))
 
 
+def settled(flat: DataFrame, tasks: int, pairs: DataFrame, links: DataFrame, roots: DataFrame, docs: DataFrame, table, similarity_least: float, least: float, step: int) -> tuple[DataFrame, DataFrame]:
+    """(links, roots) once no bucket holds an unverified candidate pair across classes; ``pairs`` are decided already."""
+    own = flat.join(roots.select("node", F.col("root").alias("first")), "node", "left").select("bucket", F.coalesce("first", "node").alias("first"), "node", "signature")
+    several = own.groupBy("bucket").agg(F.min("first").alias("_a"), F.max("first").alias("_b")).where(F.col("_a") != F.col("_b")).select("bucket")
+    rows = materialise(own.join(several, "bucket", "left_semi"), "several-classes")
+    done, low, high = pairs.select("a", "b"), 0, step
+    while True:
+        now = rows.join(roots, "node", "left").select("bucket", "first", F.coalesce("root", "node").alias("root"), "node", "signature")
+        found = materialise(map_arrow(now.repartition(tasks, "bucket").sortWithinPartitions("bucket", "first", "node"), _across(least, low, high), "a binary, b binary, bucket long"), "across")
+        new = found.where(F.col("bucket").isNull()).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        new = materialise(new.join(done, ["a", "b"], "left_anti"), "pairs-across")
+        if not new.isEmpty():
+            done = done.unionByName(new)
+            extra = materialise(verified(new, docs, table, similarity_least), "links")
+            if not extra.isEmpty():
+                links = links.unionByName(extra)
+                roots = components(links)
+        more = found.where(F.col("bucket").isNotNull()).select("bucket").distinct()
+        if more.isEmpty():
+            return links, roots
+        rows, low, high = rows.join(more, "bucket", "left_semi"), high, high * step
+
+
 def verified(pairs: DataFrame, docs: DataFrame, table, least: float) -> DataFrame:
     """The pairs whose texts have a weighted Jaccard similarity of at least ``least``."""
     ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
@@ -301,7 +370,7 @@ def _node(docs: DataFrame):
     return F.when(F.col("text").isNotNull(), row_key(F.lit("text"), F.col("text").cast("string")))
 
 
-def near_duplicates(docs: DataFrame, similarity_least: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, strength: float = STRENGTH, large: int = 20_000, close: float = 0.9, links: int = 3) -> tuple[DataFrame, DataFrame]:
+def near_duplicates(docs: DataFrame, similarity_least: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, strength: float = STRENGTH, large: int = 20_000, close: float = 0.9, links: int = 3, step: int = 8) -> tuple[DataFrame, DataFrame]:
     """(one row per document: doc_id, node, class_node, class_id, n_links; the verified links: a, b, similarity by node)."""
     spark = docs.sparkSession
     df, n = frequencies(docs)
@@ -310,7 +379,9 @@ def near_duplicates(docs: DataFrame, similarity_least: float = SIMILARITY, bands
     sketch = materialise(map_arrow(keyed, _sketch(table, bands, rows), "node binary, doc_id long, bands array<long>, signature binary"), "sketch")
     reps = sketch.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min(F.struct("bands", "signature")).alias("_s")).select("node", "doc_id", "_s.*")
     # A pair of similarity s agrees in s of the samples; 0.25 below is beyond three deviations.
-    pairs = materialise(candidates(reps, bands, large, similarity_least - 0.25, close, links), "pairs")
+    least = similarity_least - 0.25
+    flat, tasks = bucketed(reps, large), _tasks(reps)
+    pairs = materialise(candidates(flat, tasks, least, close, links), "pairs")
     best = pairs.groupBy("b").agg(F.max(F.struct("alike", "a")).alias("_x")).select(F.col("_x.a").alias("a"), "b")
     edges = materialise(verified(best, docs, table, similarity_least), "links")
     roots = components(edges)
@@ -319,7 +390,7 @@ def near_duplicates(docs: DataFrame, similarity_least: float = SIMILARITY, bands
     left = left.join(ra, "a", "left").join(rb, "b", "left").where(F.coalesce("_ra", "a") != F.coalesce("_rb", "b")).select("a", "b")
     more = materialise(verified(materialise(left, "pairs-left"), docs, table, similarity_least), "links")
     links_found = edges.unionByName(more)
-    roots = components(links_found)
+    links_found, roots = settled(flat, tasks, pairs, links_found, components(links_found), docs, table, similarity_least, least, step)
     degree = links_found.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
     classes = reps.select("node", "doc_id").join(roots, "node", "left").join(degree, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("class_node"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     ids = classes.groupBy("class_node").agg(F.min("doc_id").alias("class_id"))

@@ -173,6 +173,27 @@ def test_near_duplicates(spark, docs, none):
     assert sorted((str(r["doc_id"]), str(r["class_id"])) for r in split.collect()) == want
 
 
+def test_near_duplicates_beyond_the_first_pass(spark):
+    """Chains of texts that share a bucket with texts under the threshold, with a first pass that finds almost nothing."""
+    line = [f"w{k * 7919 % 10007}" for k in range(900)]
+    starts = [0, 10, 20, 30, 65, 75, 85, 120, 130, 165, 200, 210, 245, 280, 290, 300]
+    texts = [" ".join(line[a : a + 200]) for a in starts]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    table = near_dedup.idf_table(*near_dedup.frequencies(docs), near_dedup.STRENGTH)
+    sets = []
+    for t in texts:
+        _, h, tf = near_dedup.shingles([t.encode()])
+        sets.append((h, near_dedup.weights(h, tf, table)))
+    want = list(range(len(texts)))
+    for _ in texts:
+        for i in want:
+            for j in want:
+                if near_dedup.similarity(sets[i], sets[j]) >= 0.8:
+                    want = [min(want[i], want[j]) if x in (want[i], want[j]) else x for x in want]
+    got = near_dedup.near_duplicates(docs, close=0.0, links=1, step=2)[0].collect()
+    assert [r["class_id"] for r in sorted(got, key=lambda r: r["doc_id"])] == want and 1 < len(set(want)) < len(texts)
+
+
 def test_html_query(spark):
     pages = spark.createDataFrame([(1, "<body><article><p>Some text, here.</p></article></body>", 1), (2, None, 1), (3, "", 1), (1, "<p>", 1)], "page_id long, html string, text int")
     got = sorted((r["page_id"], r["main_text"]) for r in html.extract(pages).collect())
