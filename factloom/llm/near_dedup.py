@@ -12,7 +12,8 @@ one another in order of their digest: a member is compared by signature with the
 candidate pairs, and becomes a leader unless it is very close to one, so pairs stay linear in the
 rows. What this first pass leaves is then settled: in every bucket that still holds several classes, each member is
 compared with all members of other classes, in rounds over the ranks of their likeness, until no candidate pair is left
-whose ends are in different classes. A bucket above ``large`` members is replaced by its intersections with the other bands, which keeps the pairs
+whose ends are in different classes. There a second estimate, over 256 ranges of hashes, rules out pairs well below the
+threshold, so that a family of texts around one shared passage gives no pairs. A bucket above ``large`` members is replaced by its intersections with the other bands, which keeps the pairs
 that are alike and parts those that share one common passage. Candidates are verified by the exact weighted Jaccard similarity
 of the whole texts, at first the best of each text, then those whose ends are still in different classes. Classes are
 connected components of verified links, found by hooking to the least neighbour and contracting.
@@ -44,6 +45,9 @@ STRENGTH = 0.2
 TABLE = 1 << 20
 CHUNK_BYTES = 2 << 20
 BROADCAST_ROWS = 500_000
+PROFILE = 256
+#: Below the similarity by what weights (a factor of 1.2 in the odds) and three deviations of a profile's estimate can make up.
+PROFILE_SLACK = 0.11
 
 
 def shingles(texts: list[bytes | None], n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -130,6 +134,29 @@ def band_keys(s: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return np.stack([gram_hashes(np.ascontiguousarray(s[i, b * rows : (b + 1) * rows]) + np.uint64(b), rows)[0] for i in range(len(s)) for b in range(bands)]).reshape(len(s), bands) if len(s) else np.zeros((0, bands), np.uint64)
 
 
+def profiles(doc: np.ndarray, h: np.ndarray, tf: np.ndarray) -> np.ndarray:
+    """A ``PROFILE``-byte profile of each document (documents in order, hashes sorted within): the least hash of each range of
+    hashes as a byte from 1 (0: none). A document that repeats more than a fiftieth of its shingles has an empty profile, since
+    repetition parts the plain similarity from the weighted one.
+    """
+    new = np.concatenate([[True], doc[1:] != doc[:-1]])
+    at = np.cumsum(new) - 1
+    out = np.zeros((int(at[-1]) + 1, PROFILE), np.uint8)
+    part = (h >> np.uint64(64 - PROFILE.bit_length() + 1)).astype(np.int64)
+    first = np.flatnonzero(new | np.concatenate([[True], part[1:] != part[:-1]]))
+    out[at[first], part[first]] = _mix(h[first]) % np.uint64(255) + np.uint64(1)
+    size = np.diff(np.concatenate([np.flatnonzero(new), [len(doc)]]))
+    out[np.bincount(at, tf > 1) * 50 > size] = 0
+    return out
+
+
+def may_agree(profile: np.ndarray, others: np.ndarray, least: float) -> np.ndarray:
+    """Which of ``others`` have an estimated plain similarity of at least ``least``, or no profile to tell by."""
+    either = ((others != 0) | (profile != 0)).sum(1)
+    same = ((others == profile) & (profile != 0)).sum(1)
+    return (same >= least * either) | ~others.any(1) | ~profile.any()
+
+
 def _text_chunks(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, list[bytes | None]]]:
     held, start, texts = 0, 0, []
     for i, t in enumerate(batch.column(column).cast(pa.binary())):
@@ -191,9 +218,9 @@ def _sketch(table, bands: int, rows: int):
                     known.clear()
                 if len(doc):
                     s = samples(doc, h, weights(h, tf, table.value), bands * rows)
-                    keys = band_keys(s, bands, rows).astype(np.int64)
+                    keys, profile = band_keys(s, bands, rows).astype(np.int64), profiles(doc, h, tf)
                     for j, d in enumerate(doc[np.concatenate([[True], doc[1:] != doc[:-1]])].tolist()):
-                        known[node[start + fresh_ones[d]]] = (keys[j].tolist(), s[j].astype(np.uint32).tobytes())
+                        known[node[start + fresh_ones[d]]] = (keys[j].tolist(), s[j].astype(np.uint32).tobytes() + profile[j].tobytes())
                 for i in range(len(texts)):
                     out[start + i] = known.get(node[start + i], (None, None))
             yield pa.RecordBatch.from_arrays(
@@ -211,7 +238,7 @@ def _pairs(least: float, close: float, links: int):
         for batch in batches:
             out = []
             for b, node, raw in zip(*(batch.column(k) for k in range(3)), strict=True):
-                b, node, sign = b.as_py(), node.as_py(), np.frombuffer(raw.as_py(), np.uint32)
+                b, node, sign = b.as_py(), node.as_py(), np.frombuffer(raw.as_py()[:-PROFILE], np.uint32)
                 if b != bucket:
                     bucket, nodes, n = b, [node], 1
                     marks = np.zeros((4, len(sign)), np.uint32)
@@ -232,7 +259,7 @@ def _pairs(least: float, close: float, links: int):
     return run
 
 
-def _across(least: float, low: int, high: int):
+def _across(least: float, plain: float, low: int, high: int):
     """Candidate pairs between classes at ranks ``low`` to ``high`` of each member, and the buckets that have more.
 
     Rows come sorted by bucket, first class and node. Ranks count over the members of other first classes, so they
@@ -240,26 +267,29 @@ def _across(least: float, low: int, high: int):
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket, first, nodes, roots, marks, n, start = None, None, [], [], None, 0, 0
+        bucket, first, nodes, roots, n, start = None, None, [], [], 0, 0
+        marks = shapes = None
         for batch in batches:
             out: list[tuple] = []
             for b, f, r, node, raw in zip(*(batch.column(k) for k in range(5)), strict=True):
-                b, f, r, node, sign = b.as_py(), f.as_py(), r.as_py(), node.as_py(), np.frombuffer(raw.as_py(), np.uint32)
+                b, f, r, node, sign = b.as_py(), f.as_py(), r.as_py(), node.as_py(), raw.as_py()
+                sign, shape = np.frombuffer(sign[:-PROFILE], np.uint32), np.frombuffer(sign[-PROFILE:], np.uint8)
                 if b != bucket:
                     bucket, first, nodes, roots, n, start = b, f, [], [], 0, 0
-                    marks = np.zeros((4, len(sign)), np.uint32)
+                    marks, shapes = np.zeros((4, len(sign)), np.uint32), np.zeros((4, PROFILE), np.uint8)
                 elif f != first:
                     first, start = f, n
                 if start:
                     alike = (marks[:start] == sign).mean(1)
                     able = np.flatnonzero(alike >= least)
+                    able = able[may_agree(shape, shapes[able], plain)]
                     ranked = able[np.argsort(-alike[able], kind="stable")].tolist()
                     out += [(nodes[i], node, None) for i in ranked[low:high] if roots[i] != r and nodes[i] != node]
                     if any(roots[i] != r for i in ranked[high:]):
                         out.append((None, None, b))
                 if n == len(marks):
-                    marks = np.concatenate([marks, np.zeros_like(marks)])
-                marks[n] = sign
+                    marks, shapes = np.concatenate([marks, np.zeros_like(marks)]), np.concatenate([shapes, np.zeros_like(shapes)])
+                marks[n], shapes[n] = sign, shape
                 nodes.append(node)
                 roots.append(r)
                 n += 1
@@ -300,7 +330,7 @@ def settled(flat: DataFrame, tasks: int, pairs: DataFrame, links: DataFrame, roo
     done, low, high = pairs.select("a", "b"), 0, step
     while True:
         now = rows.join(roots, "node", "left").select("bucket", "first", F.coalesce("root", "node").alias("root"), "node", "signature")
-        found = materialise(map_arrow(now.repartition(tasks, "bucket").sortWithinPartitions("bucket", "first", "node"), _across(least, low, high), "a binary, b binary, bucket long"), "across")
+        found = materialise(map_arrow(now.repartition(tasks, "bucket").sortWithinPartitions("bucket", "first", "node"), _across(least, similarity_least - PROFILE_SLACK, low, high), "a binary, b binary, bucket long"), "across")
         new = found.where(F.col("bucket").isNull()).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         new = materialise(new.join(done, ["a", "b"], "left_anti"), "pairs-across")
         if not new.isEmpty():

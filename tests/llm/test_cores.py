@@ -147,6 +147,15 @@ def test_samples_agree_with_weighted_jaccard():
     assert abs((s[0] == s[1]).mean() - near_dedup.similarity((h[a], w[a]), (h[b], w[b]))) < 0.08
 
 
+def test_profiles_keep_similar_texts_and_rule_out_families():
+    word = [f"w{k * 7919 % 100003}" for k in range(3000)]
+    texts = [" ".join(word[a : a + 500]).encode() for a in (0, 30, 250)] + [("one two three four five six seven " * 60).encode()]
+    profile = near_dedup.profiles(*near_dedup.shingles(texts))
+    assert not profile[3].any() and profile[:3].any(1).all()
+    kept = near_dedup.may_agree(profile[0], profile, near_dedup.SIMILARITY - near_dedup.PROFILE_SLACK)
+    assert kept.tolist() == [True, True, False, True]
+
+
 def test_main_text_of_pages():
     model = html.train()
     page = '<html><head><title>T</title><script>var t="</p>";</script></head><body><nav><ul><li><a href="/a">A</a></li></ul></nav><div class="ad">buy</div><article><h1>Head &amp; line</h1><p><b>One  two.<br>three</p><p>Four\n five.</article><footer>&copy; x</footer>'
