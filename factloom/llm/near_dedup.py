@@ -11,8 +11,8 @@ probability of their weighted Jaccard similarity. Samples are banded. In each ba
 one another in order of their digest: a member is compared by signature with the bucket's leaders, gives at most ``links``
 candidate pairs, and becomes a leader unless it is very close to one, so pairs stay linear in the
 rows. What this first pass leaves is then settled: in every bucket that still holds several classes, each member is
-compared with all members of other classes, in rounds over the ranks of their likeness, until no candidate pair is left
-whose ends are in different classes. There a second estimate, over 256 ranges of hashes, rules out pairs well below the
+compared with all members of other classes, and every candidate pair whose ends are still apart is verified inside the
+bucket, which gives off only the links that join classes. There a second estimate, over 256 ranges of hashes, rules out pairs well below the
 threshold, so that a family of texts around one shared passage gives no pairs. A bucket above ``large`` members is replaced by its intersections with the other bands, which keeps the pairs
 that are alike and parts those that share one common passage. Candidates are verified by the exact weighted Jaccard similarity
 of the whole texts, at first the best of each text, then those whose ends are still in different classes. Classes are
@@ -259,42 +259,88 @@ def _pairs(least: float, close: float, links: int):
     return run
 
 
-def _across(least: float, plain: float, low: int, high: int):
-    """Candidate pairs between classes at ranks ``low`` to ``high`` of each member, and the buckets that have more.
+class _Bucket:
+    """The members of one bucket so far, in order of their first class."""
 
-    Rows come sorted by bucket, first class and node. Ranks count over the members of other first classes, so they
-    stay the same from round to round; a pair whose ends have since come into one class is left out.
-    """
+    def __init__(self, width: int) -> None:
+        self.nodes, self.firsts, self.n, self.start = [], [], 0, 0
+        self.marks, self.shapes = np.zeros((4, width), np.uint32), np.zeros((4, PROFILE), np.uint8)
+
+    def add(self, first: bytes, node: bytes, sign: np.ndarray, shape: np.ndarray, least: float, plain: float) -> np.ndarray:
+        """The members of earlier classes that the node may be alike, the likest first; the node then joins."""
+        if self.n and first != self.firsts[-1]:
+            self.start = self.n
+        alike = (self.marks[: self.start] == sign).mean(1)
+        able = np.flatnonzero(alike >= least)
+        able = able[may_agree(shape, self.shapes[able], plain)]
+        able = able[np.argsort(-alike[able], kind="stable")]
+        if self.n == len(self.marks):
+            self.marks, self.shapes = np.concatenate([self.marks, np.zeros_like(self.marks)]), np.concatenate([self.shapes, np.zeros_like(self.shapes)])
+        self.marks[self.n], self.shapes[self.n] = sign, shape
+        self.nodes.append(node)
+        self.firsts.append(first)
+        self.n += 1
+        return able
+
+
+def _members(batch: pa.RecordBatch) -> Iterator[tuple]:
+    for b, first, node, raw in zip(*(batch.column(k) for k in range(4)), strict=True):
+        raw = raw.as_py()
+        yield b.as_py(), first.as_py(), node.as_py(), np.frombuffer(raw[:-PROFILE], np.uint32), np.frombuffer(raw[-PROFILE:], np.uint8)
+
+
+def _undecided(least: float, plain: float):
+    """The members of each bucket, once each, that may be alike a member of another class; rows come sorted by bucket, class and node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket, first, nodes, roots, n, start = None, None, [], [], 0, 0
-        marks = shapes = None
+        bucket, own, flagged = None, None, set()
+
+        def rows() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([bucket] * len(flagged), pa.int64()), pa.array([own.nodes[i] for i in sorted(flagged)], pa.binary())], names=["bucket", "node"])
+
         for batch in batches:
-            out: list[tuple] = []
-            for b, f, r, node, raw in zip(*(batch.column(k) for k in range(5)), strict=True):
-                b, f, r, node, sign = b.as_py(), f.as_py(), r.as_py(), node.as_py(), raw.as_py()
-                sign, shape = np.frombuffer(sign[:-PROFILE], np.uint32), np.frombuffer(sign[-PROFILE:], np.uint8)
+            for b, first, node, sign, shape in _members(batch):
                 if b != bucket:
-                    bucket, first, nodes, roots, n, start = b, f, [], [], 0, 0
-                    marks, shapes = np.zeros((4, len(sign)), np.uint32), np.zeros((4, PROFILE), np.uint8)
-                elif f != first:
-                    first, start = f, n
-                if start:
-                    alike = (marks[:start] == sign).mean(1)
-                    able = np.flatnonzero(alike >= least)
-                    able = able[may_agree(shape, shapes[able], plain)]
-                    ranked = able[np.argsort(-alike[able], kind="stable")].tolist()
-                    out += [(nodes[i], node, None) for i in ranked[low:high] if roots[i] != r and nodes[i] != node]
-                    if any(roots[i] != r for i in ranked[high:]):
-                        out.append((None, None, b))
-                if n == len(marks):
-                    marks, shapes = np.concatenate([marks, np.zeros_like(marks)]), np.concatenate([shapes, np.zeros_like(shapes)])
-                marks[n], shapes[n] = sign, shape
-                nodes.append(node)
-                roots.append(r)
-                n += 1
+                    if flagged:
+                        yield rows()
+                    bucket, own, flagged = b, _Bucket(len(sign)), set()
+                able = own.add(first, node, sign, shape, least, plain)
+                if len(able):
+                    flagged.add(own.n - 1)
+                    flagged.update(able.tolist())
+        if flagged:
+            yield rows()
+
+    return run
+
+
+def _settle(table, similarity_least: float, least: float, plain: float):
+    """Links that join classes inside each bucket: every candidate pair whose ends are still apart is verified, and a link joins them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, own, sets, parent = None, None, [], {}
+
+        def find(x: bytes) -> bytes:
+            while parent[x] != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        for batch in batches:
+            out = []
+            for (b, first, node, sign, shape), text in zip(_members(batch), batch.column(4).cast(pa.binary()), strict=True):
+                if b != bucket:
+                    bucket, own, sets, parent = b, _Bucket(len(sign)), [], {}
+                _, h, tf = shingles([text.as_py()])
+                sets.append((h, weights(h, tf, table.value)))
+                parent.setdefault(first, first)
+                for i in own.add(first, node, sign, shape, least, plain).tolist():
+                    x, y = find(own.firsts[i]), find(first)
+                    if x != y and (s := similarity(sets[i], sets[-1])) >= similarity_least:
+                        parent[y] = x
+                        out.append((own.nodes[i], node, s))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.binary()), pa.array([o[1] for o in out], pa.binary()), pa.array([o[2] for o in out], pa.int64())], names=["a", "b", "bucket"])
+                yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.binary()), pa.array([o[1] for o in out], pa.binary()), pa.array([o[2] for o in out], pa.float64())], names=["a", "b", "similarity"])
 
     return run
 
@@ -322,37 +368,38 @@ def candidates(flat: DataFrame, tasks: int, least: float, close: float, links: i
     return found.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("alike").alias("alike"))
 
 
-def settled(flat: DataFrame, tasks: int, pairs: DataFrame, links: DataFrame, roots: DataFrame, docs: DataFrame, table, similarity_least: float, least: float, step: int) -> tuple[DataFrame, DataFrame]:
-    """(links, roots) once no bucket holds an unverified candidate pair across classes; ``pairs`` are decided already."""
+def settled(flat: DataFrame, tasks: int, links: DataFrame, roots: DataFrame, docs: DataFrame, table, similarity_least: float, least: float) -> tuple[DataFrame, DataFrame]:
+    """(links, roots) once no bucket holds an unverified candidate pair across classes.
+
+    Pairs are verified where their bucket is, so that what leaves a bucket is at most one link fewer than its classes.
+    """
+    plain = similarity_least - PROFILE_SLACK
     own = flat.join(roots.select("node", F.col("root").alias("first")), "node", "left").select("bucket", F.coalesce("first", "node").alias("first"), "node", "signature")
     several = own.groupBy("bucket").agg(F.min("first").alias("_a"), F.max("first").alias("_b")).where(F.col("_a") != F.col("_b")).select("bucket")
     rows = materialise(own.join(several, "bucket", "left_semi"), "several-classes")
-    done, low, high = pairs.select("a", "b"), 0, step
-    while True:
-        now = rows.join(roots, "node", "left").select("bucket", "first", F.coalesce("root", "node").alias("root"), "node", "signature")
-        found = materialise(map_arrow(now.repartition(tasks, "bucket").sortWithinPartitions("bucket", "first", "node"), _across(least, similarity_least - PROFILE_SLACK, low, high), "a binary, b binary, bucket long"), "across")
-        new = found.where(F.col("bucket").isNull()).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        new = materialise(new.join(done, ["a", "b"], "left_anti"), "pairs-across")
-        if not new.isEmpty():
-            done = done.unionByName(new)
-            extra = materialise(verified(new, docs, table, similarity_least), "links")
-            if not extra.isEmpty():
-                links = links.unionByName(extra)
-                roots = components(links)
-        more = found.where(F.col("bucket").isNotNull()).select("bucket").distinct()
-        if more.isEmpty():
-            return links, roots
-        rows, low, high = rows.join(more, "bucket", "left_semi"), high, high * step
+    order = ("bucket", "first", "node")
+    open_ones = materialise(map_arrow(rows.repartition(tasks, "bucket").sortWithinPartitions(*order), _undecided(least, plain), "bucket long, node binary"), "undecided")
+    if open_ones.isEmpty():
+        return links, roots
+    rows = rows.join(open_ones, ["bucket", "node"], "left_semi").join(_texts(docs, open_ones.select("node").distinct()), "node").select(*order, "signature", "text")
+    more = map_arrow(rows.repartition(tasks, "bucket").sortWithinPartitions(*order), _settle(table, similarity_least, least, plain), "a binary, b binary, similarity double")
+    more = materialise(more.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("similarity").alias("similarity")), "links")
+    links = links.unionByName(more)
+    return links, components(links)
+
+
+def _texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, text) of the given nodes. A bounded set of digests is broadcast; a larger one is joined by a shuffle."""
+    nodes = materialise(nodes, "ends")
+    texts = docs.select(_node(docs).alias("node"), F.col("text").cast("string").alias("text"))
+    texts = texts.join(F.broadcast(nodes) if nodes.count() <= BROADCAST_ROWS else nodes, "node", "left_semi")
+    return texts.groupBy("node").agg(F.min("text").alias("text"))
 
 
 def verified(pairs: DataFrame, docs: DataFrame, table, least: float) -> DataFrame:
     """The pairs whose texts have a weighted Jaccard similarity of at least ``least``."""
     ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    ends = materialise(ends, "ends")
-    texts = docs.select(_node(docs).alias("node"), F.col("text").cast("string").alias("text"))
-    # A bounded set of digests is broadcast; a larger one is joined by a shuffle.
-    texts = texts.join(F.broadcast(ends) if ends.count() <= BROADCAST_ROWS else ends, "node", "left_semi")
-    texts = texts.groupBy("node").agg(F.min("text").alias("text"))
+    texts = _texts(docs, ends)
     both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("_ta")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("_tb")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -400,7 +447,7 @@ def _node(docs: DataFrame):
     return F.when(F.col("text").isNotNull(), row_key(F.lit("text"), F.col("text").cast("string")))
 
 
-def near_duplicates(docs: DataFrame, similarity_least: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, strength: float = STRENGTH, large: int = 20_000, close: float = 0.9, links: int = 3, step: int = 8) -> tuple[DataFrame, DataFrame]:
+def near_duplicates(docs: DataFrame, similarity_least: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, strength: float = STRENGTH, large: int = 20_000, close: float = 0.9, links: int = 3) -> tuple[DataFrame, DataFrame]:
     """(one row per document: doc_id, node, class_node, class_id, n_links; the verified links: a, b, similarity by node)."""
     spark = docs.sparkSession
     df, n = frequencies(docs)
@@ -420,7 +467,7 @@ def near_duplicates(docs: DataFrame, similarity_least: float = SIMILARITY, bands
     left = left.join(ra, "a", "left").join(rb, "b", "left").where(F.coalesce("_ra", "a") != F.coalesce("_rb", "b")).select("a", "b")
     more = materialise(verified(materialise(left, "pairs-left"), docs, table, similarity_least), "links")
     links_found = edges.unionByName(more)
-    links_found, roots = settled(flat, tasks, pairs, links_found, components(links_found), docs, table, similarity_least, least, step)
+    links_found, roots = settled(flat, tasks, links_found, components(links_found), docs, table, similarity_least, least)
     degree = links_found.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
     classes = reps.select("node", "doc_id").join(roots, "node", "left").join(degree, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("class_node"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     ids = classes.groupBy("class_node").agg(F.min("doc_id").alias("class_id"))

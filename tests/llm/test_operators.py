@@ -190,7 +190,7 @@ def test_near_duplicates_beyond_the_first_pass(spark):
             for j in want:
                 if near_dedup.similarity(sets[i], sets[j]) >= 0.8:
                     want = [min(want[i], want[j]) if x in (want[i], want[j]) else x for x in want]
-    got = near_dedup.near_duplicates(docs, close=0.0, links=1, step=2)[0].collect()
+    got = near_dedup.near_duplicates(docs, close=0.0, links=1)[0].collect()
     assert [r["class_id"] for r in sorted(got, key=lambda r: r["doc_id"])] == want and 1 < len(set(want)) < len(texts)
 
 
