@@ -431,8 +431,8 @@ def text_clean(spark, sf_dir):
 
 
 def _named(spark, sf_dir):
-    """Documents that name an act, with its search keys: an act number is put into every tenth sentence end."""
-    docs = driver.table(spark, sf_dir, "documents").where("doc_id % 5 = 0").selectExpr("doc_id", "concat(substring(text, 1, 400), '. The act ', doc_id % 900 + 1, '/2004 ', element_at(array('is repealed', 'amended by', 'is cited', 'is replaced'), cast(doc_id % 4 as int) + 1), ' here. ', text) as text", "concat('32004R', lpad(cast(doc_id % 900 + 1 as string), 4, '0')) as celex")
+    """Every document, whole, followed by a sentence that names an act, with the act's search keys."""
+    docs = driver.table(spark, sf_dir, "documents").selectExpr("doc_id", "concat(coalesce(text, ''), '. The act ', doc_id % 900 + 1, '/2004 ', element_at(array('is repealed', 'amended by', 'is cited', 'is replaced'), cast(doc_id % 4 as int) + 1), ' here. ') as text", "concat('32004R', lpad(cast(doc_id % 900 + 1 as string), 4, '0')) as celex")
     return docs.select(F.concat(F.lit("f-"), "doc_id").alias("fact_id"), "text", scalars.search_keys(F.col("celex")).alias("keys"))
 
 
