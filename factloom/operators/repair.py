@@ -57,34 +57,47 @@ def components(conflicts: DataFrame, rounds: int = 64) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-def _solve(exact: bool):
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        groups = [set(g["element_id"]) for _, g in rows.sort_values(["conflict_id", "element_id"]).groupby("conflict_id")]
-        weight = dict(zip(rows["element_id"], rows["weight"], strict=True))
-        names = sorted(weight)
-        chosen: set[str] = set()
-        if exact and len(names) <= EXACT:
-            best = None
-            for k in range(1, len(names) + 1):
-                for pick in combinations(names, k):
-                    cost = (sum(weight[x] for x in pick), pick)
-                    if (best is None or cost < best) and all(g & set(pick) for g in groups):
-                        best = cost
-            chosen = set(best[1])
-        else:
-            for g in groups:
-                if not g & chosen:
-                    chosen.add(min(g, key=lambda x: (weight[x], x)))
-        return pd.DataFrame({"element_id": sorted(chosen)}).assign(component=rows["component"].iloc[0])[["component", "element_id"]]
-
-    return run
+def _solve(rows: pd.DataFrame) -> pd.DataFrame:
+    """The set of least weight (then of least names) that hits every conflict of one small component."""
+    groups = [set(g) for _, g in rows.groupby("conflict_id")["element_id"]]
+    weight = dict(zip(rows["element_id"], rows["weight"], strict=True))
+    names, best = sorted(weight), None
+    for k in range(1, len(names) + 1):
+        for pick in combinations(names, k):
+            cost = (sum(weight[x] for x in pick), pick)
+            if (best is None or cost < best) and all(g & set(pick) for g in groups):
+                best = cost
+    return pd.DataFrame({"element_id": best[1]}).assign(component=rows["component"].iloc[0])[["component", "element_id"]]
+
+
+def _greedy(own: DataFrame) -> DataFrame:
+    """What taking conflicts in order, each unhit one giving its least element, would delete.
+
+    In each round every conflict decides that no earlier undecided conflict could hit; the least one always can,
+    and with hashed ids the number of rounds grows with the logarithm of the conflicts.
+    """
+    left, found = cut(own, "conflicts"), None
+    while found is None or not left.isEmpty():
+        picks = left.groupBy("component", "conflict_id").agg(F.min(F.struct("weight", "element_id")).alias("_m")).select("component", "conflict_id", F.col("_m.element_id").alias("element_id"))
+        earliest = picks.groupBy("element_id").agg(F.min("conflict_id").alias("_first"))
+        ready = left.join(earliest, "element_id").groupBy("conflict_id").agg(F.min("_first").alias("_first")).where(F.col("_first") == F.col("conflict_id")).select("conflict_id")
+        chosen = cut(picks.join(ready, "conflict_id", "left_semi").select("component", "element_id").distinct(), "chosen")
+        hit = left.join(chosen.select("element_id"), "element_id", "left_semi").select("conflict_id").distinct()
+        left = cut(left.join(hit, "conflict_id", "left_anti"), "conflicts")
+        found = chosen if found is None else found.unionByName(chosen)
+    return found
 
 
 def deletions(conflicts: DataFrame, exact: bool = False) -> DataFrame:
-    """component, element_id: a hitting set of every component of conflicts, greedy in conflict order or of least weight (small components)."""
+    """component, element_id: a hitting set of every component of conflicts, greedy in conflict order; with ``exact``, of least weight where a component has at most ``EXACT`` elements."""
+    own = conflicts.join(components(conflicts), "conflict_id").select("component", "conflict_id", "element_id", "weight").distinct()
+    if not exact:
+        return _greedy(own)
     ship(conflicts.sparkSession)
-    own = conflicts.join(components(conflicts), "conflict_id").select("component", "conflict_id", "element_id", "weight")
-    return own.groupBy("component").applyInPandas(_solve(exact), "component string, element_id string")
+    own = cut(own, "components")
+    small = own.groupBy("component").agg(F.count_distinct("element_id").alias("_n")).where(F.col("_n") <= EXACT).select("component")
+    solved = own.join(small, "component", "left_semi").groupBy("component").applyInPandas(_solve, "component string, element_id string")
+    return solved.unionByName(_greedy(own.join(small, "component", "left_anti")))
 
 
 def edge_key() -> Column:

@@ -2,6 +2,7 @@
 
 import glob
 import os
+import random
 
 import duckdb
 import pytest
@@ -136,3 +137,17 @@ def test_queries_match_sql(spark, name):
     got = plans.queries()[name](spark, DATA).toPandas()
     assert sorted(got.columns) == sorted(want.columns)
     assert _rows(got, sorted(want.columns)) == _rows(want, sorted(want.columns))
+
+
+def test_greedy_deletions_follow_conflict_order(spark):
+    rng = random.Random(5)
+    weight = {f"e{k}": rng.randint(1, 4) for k in range(40)}
+    groups = {f"c{k:03}": rng.sample(sorted(weight), 3) for k in range(90)}
+    rows = spark.createDataFrame([(c, e, weight[e]) for c, es in groups.items() for e in es] * 2, "conflict_id string, element_id string, weight long")
+    want = set()
+    for c in sorted(groups):
+        if not want & set(groups[c]):
+            want.add(min(groups[c], key=lambda e: (weight[e], e)))
+    assert sorted(r["element_id"] for r in repair.deletions(rows).collect()) == sorted(want)
+    assert sorted(r["element_id"] for r in repair.deletions(rows, exact=True).collect()) == sorted(want)
+    assert repair.deletions(rows.where("conflict_id = 'c000'"), exact=True).count() == 1
