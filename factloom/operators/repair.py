@@ -43,12 +43,14 @@ def greedy_pairs(conflicts: DataFrame) -> DataFrame:
 
 
 def components(conflicts: DataFrame, rounds: int = 64) -> DataFrame:
-    """conflict_id, component: least conflict reachable over shared elements, by label propagation along elements."""
+    """conflict_id, component: least conflict reachable over shared elements, by label propagation along elements and a jump to the label's own label, so that long chains settle in few rounds."""
     members = cut(conflicts.select("conflict_id", "element_id").distinct(), "members")
     label = members.select("conflict_id", F.col("conflict_id").alias("component")).distinct()
     for _ in range(rounds):
         least = members.join(label, "conflict_id").groupBy("element_id").agg(F.min("component").alias("_l"))
         new = cut(members.join(least, "element_id").groupBy("conflict_id").agg(F.min("_l").alias("component")), "component")
+        up = new.select(F.col("conflict_id").alias("component"), F.col("component").alias("_up"))
+        new = cut(new.join(up, "component").select("conflict_id", F.col("_up").alias("component")), "component")
         moved = new.join(label.withColumnRenamed("component", "_old"), "conflict_id").where(F.col("component") != F.col("_old"))
         done = moved.isEmpty()
         label = new

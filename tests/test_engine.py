@@ -151,3 +151,9 @@ def test_greedy_deletions_follow_conflict_order(spark):
     assert sorted(r["element_id"] for r in repair.deletions(rows).collect()) == sorted(want)
     assert sorted(r["element_id"] for r in repair.deletions(rows, exact=True).collect()) == sorted(want)
     assert repair.deletions(rows.where("conflict_id = 'c000'"), exact=True).count() == 1
+
+
+def test_components_of_a_long_chain(spark):
+    rows = spark.createDataFrame([(f"c{k:03}", f"e{e}") for k in range(150) for e in (k, k + 1)] + [("d", "x")], "conflict_id string, element_id string")
+    got = {r["conflict_id"]: r["component"] for r in repair.components(rows).collect()}
+    assert len(got) == 151 and {c for k, c in got.items() if k != "d"} == {"c000"} and got["d"] == "d"
