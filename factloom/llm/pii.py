@@ -3,15 +3,15 @@
 Base kinds (email, ip, card, phone) are found by regular expressions. Positions come from
 ``split``: the pieces between the matches and the matches themselves give every offset in code points.
 
-Information-theoretic sanitisation. A protected entity is a base value; its terms are the words within
-``reach`` code points of it. Over the whole corpus, counted by distinct text, a term t reveals an
-entity e by ``log2(P(e | t) / P(e))`` bits. A term is disclosing when it stands with e in at least ``support``
-distinct texts, P(e | t) is at least ``certain`` and that information, divided by its largest value
-``-log2 P(e, t)``, is at least ``disclosure``. Disclosing terms are spans of kind ``term`` wherever they
-stand, and are generalised like the base spans.
+Information-theoretic sanitisation. A protected entity is a base value; its terms are the words of the whole texts
+that hold it, outside base values. Over the whole corpus, counted by distinct text, a term t reveals an
+entity e by ``log2(P(e | t) / P(e))`` bits, where ``P(e | t) = (texts with both + smooth x P(e)) / (texts with t + smooth)``:
+few texts count as weaker evidence, but none are left out. A term is disclosing when P(e | t) is at least
+``certain`` and that information, divided by its largest value ``-log2 P(e, t)``, is at least ``disclosure``. Disclosing
+terms are spans of kind ``term`` wherever they stand, and are generalised like the base spans.
 
-Term counts are only made for terms that pass the support, which follow from the rows that hold entities; pairs
-are made per entity and word near it, never between rows. If none passes, the texts are read twice and nothing is shuffled but entity contexts.
+Counts are made per entity and term of the texts that hold entities, never between rows; the corpus is only counted for terms
+that could still pass.
 
 The patterns equal the plain ones in what they match, and never step back over a long run: a match can
 only start where the run before it doesn't, or at the end of the last match.
@@ -29,11 +29,11 @@ from factloom.llm._common import fresh, materialise, row_key
 
 KINDS = ("email", "ip", "card", "phone")
 TERM = "term"
-REACH = 80
-SUPPORT = 5
+SMOOTH = 1.0
 CERTAIN = 0.5
 DISCLOSURE = 0.8
 BROADCAST_ROWS = 100_000
+BROADCAST_HASHES = 500_000
 
 PATTERNS = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
@@ -102,48 +102,59 @@ def in_order(spans: Column) -> Column:
     return F.transform(F.array_sort(keyed), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), s["value"].alias("value")))
 
 
-def disclosing(found: DataFrame, reach: int, support: int, certain: float, disclosure: float) -> DataFrame:
+def disclosing(found: DataFrame, smooth: float, certain: float, disclosure: float) -> DataFrame:
     """Terms (lower case) that reveal an entity; ``found``: text, _text (its key) and _spans."""
-    near = found.where(F.size("_spans") > 0).select("_text", "text", F.explode("_spans").alias("_s"))
-    left = F.substring("text", F.greatest(F.col("_s.start") - reach, F.lit(0)) + 1, F.least(F.col("_s.start"), F.lit(reach)))
-    right = F.substring("text", F.col("_s.end") + 1, F.lit(reach))
-    term = F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.concat_ws("\n", left, right)), F.lit(r"\p{L}{3,}"), F.lit(0))))
-    entity = F.concat_ws(":", "_s.kind", F.lower("_s.value"))
-    pairs = near.select("_text", entity.alias("_entity"), term.alias("_term")).distinct()
-    # A term stands in at least the texts where it is near any entity, so common words leave before the corpus is counted.
-    least = pairs.select("_text", "_term").distinct().groupBy("_term").agg(F.count(F.lit(1)).alias("_near"))
-    both = pairs.groupBy("_entity", "_term").agg(F.count(F.lit(1)).alias("_both")).where(F.col("_both") >= support)
-    both = materialise(both.join(least, "_term").where(F.col("_both") / F.col("_near") >= certain).drop("_near"), "pii-pairs")
-    if both.isEmpty():
-        return both.select(F.col("_term").alias("term"))
-    own = near.select("_text", entity.alias("_entity")).distinct().groupBy("_entity").agg(F.count(F.lit(1)).alias("_texts"))
-    terms = materialise(both.select("_term").distinct(), "pii-terms")
-    terms = F.broadcast(terms) if terms.count() <= BROADCAST_ROWS else terms
-    seen = found.where(F.col("text").isNotNull()).select("_text", F.explode(_terms(F.col("text"))).alias("_term")).join(terms, "_term")
-    holds = seen.distinct().groupBy("_term").agg(F.count(F.lit(1)).alias("_holds"))
-    total = found.select(F.count_distinct("_text").cast("double").alias("n")).head()["n"] or 1.0
-    scored = both.join(own, "_entity").join(holds, "_term")
-    joint = F.least(F.col("_both") / total, F.lit(1.0 - 1e-9))
-    bits = F.log2((F.col("_both") / F.col("_holds")) / F.least(F.col("_texts") / total, F.lit(1.0)))
-    return scored.where((F.col("_both") / F.col("_holds") >= certain) & (bits / -F.log2(joint) >= disclosure)).select(F.col("_term").alias("term")).distinct()
+    entities = F.array_distinct(F.transform("_spans", lambda s: F.concat_ws(":", s["kind"], F.lower(s["value"]))))
+    near = found.where(F.size("_spans") > 0).select("_text", entities.alias("_entities"), _terms(_replaced(F.col("text"), in_order(F.col("_spans")), lambda s: F.lit("\n"))).alias("_terms"))
+    near = materialise(near.dropDuplicates(["_text"]), "pii-near")
+    own = near.select(F.explode("_entities").alias("_entity")).groupBy("_entity").agg(F.count(F.lit(1)).alias("_texts"))
+    pairs = near.select("_terms", F.explode("_entities").alias("_entity")).select("_entity", F.explode("_terms").alias("_term"))
+    both = pairs.groupBy("_entity", "_term").agg(F.count(F.lit(1)).alias("_both"))
+    # A term stands in at least the texts where it is with any entity, so common words leave before the corpus is counted.
+    least = near.select(F.explode("_terms").alias("_term")).groupBy("_term").agg(F.count(F.lit(1)).alias("_near"))
+    total = float(found.where(F.col("text").isNotNull()).agg(F.count_distinct("_text").alias("n")).head()["n"] or 1)
+    known = F.col("_texts") / total
+    given = lambda n: (F.col("_both") + smooth * known) / (F.col(n) + smooth)
+    # Both counts have one row for each term, so they are hashed, not sorted.
+    both = both.join(least.hint("shuffle_hash"), "_term").where((F.col("_both") + smooth) / (F.col("_near") + smooth) >= certain)
+    both = materialise(both.join(own, "_entity").where(given("_near") >= certain).drop("_near"), "pii-pairs")
+    terms = materialise(both.select(F.col("_term").alias("term")).distinct(), "pii-terms")
+    if terms.isEmpty():
+        return terms
+    seen = _holding(found, terms).select("_text", F.col("term").alias("_term")).distinct()
+    holds = seen.groupBy("_term").agg(F.count(F.lit(1)).alias("_holds"))
+    scored = both.join(holds.hint("shuffle_hash"), "_term")
+    joint = F.least(given("_holds") * F.col("_holds") / total, F.lit(1.0 - 1e-9))
+    bits = F.log2(given("_holds") / known)
+    return scored.where((given("_holds") >= certain) & (bits / -F.log2(joint) >= disclosure)).select(F.col("_term").alias("term")).distinct()
+
+
+def _holding(found: DataFrame, terms: DataFrame) -> DataFrame:
+    """(_text, term) for every row of ``found`` and each of ``terms`` in it; many terms go by a broadcast of hashes before they are joined."""
+    rows = found.where(F.col("text").isNotNull()).select("_text", F.explode(_terms(F.col("text"))).alias("term"))
+    n = terms.count()
+    if n <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(terms), "term")
+    if n <= BROADCAST_HASHES:
+        rows = rows.withColumn("_hash", F.xxhash64("term")).join(F.broadcast(terms.select(F.xxhash64("term").alias("_hash")).distinct()), "_hash", "left_semi").drop("_hash")
+    return rows.join(terms.hint("shuffle_hash"), "term")
 
 
 def _terms(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}{3,}"), F.lit(0)))
 
 
-def find(docs: DataFrame, out: str = "spans", reach: int = REACH, support: int = SUPPORT, certain: float = CERTAIN, disclosure: float = DISCLOSURE) -> DataFrame:
+def find(docs: DataFrame, out: str = "spans", smooth: float = SMOOTH, certain: float = CERTAIN, disclosure: float = DISCLOSURE) -> DataFrame:
     """``docs`` and ``out``: array<struct<start, end, kind, value>> in code points, base spans and terms."""
     if out in docs.columns:
         raise ValueError(f"documents already have a column {out}")
     text = F.col("text").cast("string")
     keyed = docs.select(row_key(F.col("text")).alias("_text"), text.alias("text"), base_spans(text).alias("_spans"))
-    terms = materialise(disclosing(keyed, reach, support, certain, disclosure), "pii-disclosing")
+    terms = materialise(disclosing(keyed, smooth, certain, disclosure), "pii-disclosing")
     if terms.isEmpty():
         return docs.withColumn(out, in_order(base_spans(text)))
-    own = terms.count()
     key, has = fresh(docs, "_text"), fresh(docs, "_terms")
-    held = keyed.where(F.col("text").isNotNull()).select("_text", F.explode(_terms(F.col("text"))).alias("term")).join(F.broadcast(terms) if own <= BROADCAST_ROWS else terms, "term")
+    held = _holding(keyed, terms)
     held = held.groupBy("_text").agg(F.array_sort(F.collect_set("term")).alias(has)).withColumnRenamed("_text", key)
     held = materialise(held, "pii-held")
     held = F.broadcast(held) if held.count() <= BROADCAST_ROWS else held
@@ -154,18 +165,22 @@ def find(docs: DataFrame, out: str = "spans", reach: int = REACH, support: int =
     return rows.withColumn(out, in_order(F.concat(base_spans(text), extra))).select(*docs.columns, out)
 
 
-def redacted(text: Column, spans: Column) -> Column:
-    """The text with each span (overlapping ones as one) generalised to its kind in angle brackets."""
-    done = F.aggregate(
+def _replaced(text: Column, spans: Column, by) -> Column:
+    """The text with each span (in order; overlapping ones as one) replaced."""
+    return F.aggregate(
         spans,
         F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
         lambda acc, s: F.struct(
             F.greatest(acc["at"], s["end"]).alias("at"),
-            F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit("<"), F.upper(s["kind"]), F.lit(">"))).otherwise(acc["out"]).alias("out"),
+            F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), by(s))).otherwise(acc["out"]).alias("out"),
         ),
         lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))),
     )
-    return F.when(F.size(spans) > 0, done).otherwise(text)
+
+
+def redacted(text: Column, spans: Column) -> Column:
+    """The text with each span (overlapping ones as one) generalised to its kind in angle brackets."""
+    return F.when(F.size(spans) > 0, _replaced(text, spans, lambda s: F.concat(F.lit("<"), F.upper(s["kind"]), F.lit(">")))).otherwise(text)
 
 
 def sanitise(docs: DataFrame, **options) -> DataFrame:

@@ -230,6 +230,17 @@ def test_disclosing_terms(spark):
     assert "term" in got[900] and "term" in got[0] and not got[100]
 
 
+def test_terms_of_few_texts_and_far_away(spark):
+    """Entities of one and of two texts, with a term near and one beyond 80 code points."""
+    far = " " + _prose("en", 40) + " "
+    rows = [(0, "quixel asked"), (1, f"vandermeer{far}rare@corp.org quixel"), (2, f"wolfgramm pair@corp.org{far}"), (3, f"pair@corp.org{far}wolfgramm")]
+    rows += [(100 + i, _prose("en", 30) + f" {i}") for i in range(700)] + [(900 + i, f"quixel saw {_prose('en', 3)} {i}") for i in range(20)]
+    found = {r["doc_id"]: r for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    terms = {k: {r["text"][s["start"] : s["end"]] for s in r["spans"] if s["kind"] == "term"} for k, r in found.items()}
+    assert "vandermeer" in terms[1] and "wolfgramm" in terms[2] and "wolfgramm" in terms[3]
+    assert not any("quixel" in t for t in terms.values()) and not terms[100]
+
+
 def test_pipeline(spark, bench, tmp_path):
     rows = [(i, t, "en" if i < 12 else "de", "s", len(t or "")) for i, t in ROWS if i is not None]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
