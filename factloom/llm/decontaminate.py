@@ -20,6 +20,7 @@ benchmark leaves every document clean.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -83,11 +84,11 @@ def _blocks(benchmark: DataFrame, window: int, block_bytes: int) -> Iterator[dic
     yield block
 
 
-_built: dict[int, object] = {}
+_built: dict[str, object] = {}
 
 
-def automaton(block: dict[bytes, list[str]], key: int | None = None):
-    """The automaton of a block, kept for the life of the worker under the broadcast's id."""
+def automaton(block: dict[bytes, list[str]], key: str | None = None):
+    """The automaton of a block, kept for the life of the worker under a key that no other block has."""
     import ahocorasick
 
     if key is not None and key in _built:
@@ -159,9 +160,10 @@ def _scanner(block, names: list[str], acc: str, final: bool, schema: T.StructTyp
     from pyspark.sql.pandas.types import to_arrow_type
 
     kind = to_arrow_type(schema.fields[-1].dataType)
+    key = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        auto = automaton(block.value, block._jid if hasattr(block, "_jid") else id(block.value))
+        auto = automaton(block.value, key)
         for batch in batches:
             out = []
             before = batch.column(batch.schema.get_field_index(acc))

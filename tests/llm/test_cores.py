@@ -1,10 +1,13 @@
 """The operators' cores against plain brute force, without Spark."""
 
 import itertools
+import pickle
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import types as T
 
 from factloom.llm import decontaminate, html, language, media, near_dedup, order, packing, shard, substring_dedup, tokens
 
@@ -35,6 +38,22 @@ def test_windows_and_scan_match_brute_force():
         assert len(covered) == n_hit and ids == sorted({i for *_, i in want})
 
 
+def test_each_block_is_scanned_with_its_own_automaton():
+    """Blocks that come and go in one worker, as broadcasts do, and may get one another's address."""
+
+    class Sent:
+        def __init__(self, raw):
+            self.value = pickle.loads(raw)
+
+    schema = T.StructType([T.StructField("text", T.StringType()), T.StructField("found", decontaminate._FOUND)])
+    raw = [pickle.dumps({w: ["i"] for w in decontaminate.windows(f"word{k} is here", 3)}) for k in range(40)]
+    for k, block in enumerate(raw):
+        run = decontaminate._scanner(Sent(block), ["text"], "_hits", True, schema)
+        batch = pa.RecordBatch.from_arrays([pa.array([f"a word{k} is here"]), pa.nulls(1, pa.list_(pa.int64()))], names=["text", "_hits"])
+        assert next(run(iter([batch]))).column(1)[0].as_py()["n_hit"] == 3
+        del run
+
+
 def test_repeated_windows_match_brute_force():
     rng = random.Random(2)
     strings = [[rng.choice([b"a", b"b", b"cc"]) for _ in range(rng.randint(4, 9))] for _ in range(200)]
