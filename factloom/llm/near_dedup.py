@@ -13,8 +13,8 @@ candidate pairs, and becomes a leader unless it is very close to one, so pairs s
 rows. What this first pass leaves is then settled: in every bucket that still holds several classes, each member is
 compared with all members of other classes, and every candidate pair whose ends are still apart is verified inside the
 bucket, which gives off only the links that join classes. There a second estimate, over 256 ranges of hashes, rules out pairs well below the
-threshold, so that a family of texts around one shared passage gives no pairs. A bucket above ``large`` members is replaced by its intersections with the other bands, which keeps the pairs
-that are alike and parts those that share one common passage. Candidates are verified by the exact weighted Jaccard similarity
+threshold, so that a family of texts around one shared passage gives no pairs. A bucket above ``large`` members is replaced by its intersections with the other bands in the first pass only;
+to settle, it is cut into blocks, and each block is compared with each other one unless both hold one and the same class. Candidates are verified by the exact weighted Jaccard similarity
 of the whole texts, at first the best of each text, then those whose ends are still in different classes. Classes are
 connected components of verified links, found by hooking to the least neighbour and contracting.
 
@@ -345,17 +345,39 @@ def _settle(table, similarity_least: float, least: float, plain: float):
     return run
 
 
-def bucketed(reps: DataFrame, large: int) -> DataFrame:
-    """(bucket, node, signature): each node in each of its buckets; a bucket above ``large`` is parted by the other bands."""
+def bucketed(reps: DataFrame, large: int) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """(bucket, node, signature) three times: each node in each of its buckets, with a bucket above ``large`` parted by the other bands;
+    the buckets up to ``large``; those above, whole (None if there are none)."""
     rows = reps.where(F.col("bands").isNotNull()).select("node", "signature", "bands", F.posexplode("bands").alias("band", "bucket"))
     hot = materialise(rows.groupBy("bucket").count().where(F.col("count") > large).select("bucket"), "hot-buckets")
     flat = rows.select("bucket", "node", "signature")
     if hot.isEmpty():
-        return flat
+        return flat, flat, None
     both = rows.join(hot, "bucket", "left_semi").select(
         F.explode(F.transform("bands", lambda other: F.when(other != F.col("bucket"), F.xxhash64(F.least(other, F.col("bucket")), F.greatest(other, F.col("bucket")))))).alias("bucket"), "node", "signature"
     )
-    return rows.join(hot, "bucket", "left_anti").select("bucket", "node", "signature").unionByName(both.where(F.col("bucket").isNotNull()))
+    cool = rows.join(hot, "bucket", "left_anti").select("bucket", "node", "signature")
+    return cool.unionByName(both.where(F.col("bucket").isNotNull())), cool, flat.join(hot, "bucket", "left_semi")
+
+
+def blocks(hot: DataFrame, large: int) -> DataFrame:
+    """(bucket, first, node, signature) of two blocks of a bucket at a time, so that any two members of different classes meet.
+
+    A block has about half of ``large`` members: a part of one class, or several small classes whole.
+    """
+    half = max(large // 2, 1)
+    hot = materialise(hot, "hot-members")
+    sizes = hot.groupBy("bucket", "first").agg(F.count(F.lit(1)).alias("_n"))
+    small = sizes.where(F.col("_n") < half).groupBy("bucket").agg(F.ceil(F.sum("_n") / half).alias("_small"))
+    alone = F.when(F.col("_n") >= half, F.col("first"))
+    part = F.when(F.col("_n") >= half, F.xxhash64("first", F.pmod(F.xxhash64("node"), F.ceil(F.col("_n") / half)))).otherwise(F.xxhash64(F.lit("small"), F.pmod(F.xxhash64("first"), F.col("_small"))))
+    placed = hot.join(sizes.join(small, "bucket", "left"), ["bucket", "first"]).select("bucket", "first", "node", "signature", part.alias("_block"), alone.alias("_alone"))
+    placed = materialise(placed, "hot-blocks")
+    one = placed.select("bucket", F.col("_block").alias("_a"), F.col("_alone").alias("_x")).distinct()
+    two = one.select("bucket", F.col("_a").alias("_b"), F.col("_x").alias("_y"))
+    pairs = one.join(two, "bucket").where((F.col("_a") <= F.col("_b")) & ~F.coalesce(F.col("_x") == F.col("_y"), F.lit(False)))
+    pairs = pairs.select("bucket", F.xxhash64("bucket", "_a", "_b").alias("_pair"), F.explode(F.array_distinct(F.array("_a", "_b"))).alias("_block"))
+    return placed.join(pairs, ["bucket", "_block"]).select(F.col("_pair").alias("bucket"), "first", "node", "signature")
 
 
 def _tasks(df: DataFrame) -> int:
@@ -368,13 +390,14 @@ def candidates(flat: DataFrame, tasks: int, least: float, close: float, links: i
     return found.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("alike").alias("alike"))
 
 
-def settled(flat: DataFrame, tasks: int, links: DataFrame, roots: DataFrame, docs: DataFrame, table, similarity_least: float, least: float) -> tuple[DataFrame, DataFrame]:
+def settled(cool: DataFrame, hot: DataFrame | None, large: int, tasks: int, links: DataFrame, roots: DataFrame, docs: DataFrame, table, similarity_least: float, least: float) -> tuple[DataFrame, DataFrame]:
     """(links, roots) once no bucket holds an unverified candidate pair across classes.
 
     Pairs are verified where their bucket is, so that what leaves a bucket is at most one link fewer than its classes.
     """
     plain = similarity_least - PROFILE_SLACK
-    own = flat.join(roots.select("node", F.col("root").alias("first")), "node", "left").select("bucket", F.coalesce("first", "node").alias("first"), "node", "signature")
+    classed = lambda rows: rows.join(roots.select("node", F.col("root").alias("first")), "node", "left").select("bucket", F.coalesce("first", "node").alias("first"), "node", "signature")
+    own = classed(cool) if hot is None else classed(cool).unionByName(blocks(classed(hot), large))
     several = own.groupBy("bucket").agg(F.min("first").alias("_a"), F.max("first").alias("_b")).where(F.col("_a") != F.col("_b")).select("bucket")
     rows = materialise(own.join(several, "bucket", "left_semi"), "several-classes")
     order = ("bucket", "first", "node")
@@ -457,7 +480,7 @@ def near_duplicates(docs: DataFrame, similarity_least: float = SIMILARITY, bands
     reps = sketch.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min(F.struct("bands", "signature")).alias("_s")).select("node", "doc_id", "_s.*")
     # A pair of similarity s agrees in s of the samples; 0.25 below is beyond three deviations.
     least = similarity_least - 0.25
-    flat, tasks = bucketed(reps, large), _tasks(reps)
+    (flat, cool, hot), tasks = bucketed(reps, large), _tasks(reps)
     pairs = materialise(candidates(flat, tasks, least, close, links), "pairs")
     best = pairs.groupBy("b").agg(F.max(F.struct("alike", "a")).alias("_x")).select(F.col("_x.a").alias("a"), "b")
     edges = materialise(verified(best, docs, table, similarity_least), "links")
@@ -467,7 +490,7 @@ def near_duplicates(docs: DataFrame, similarity_least: float = SIMILARITY, bands
     left = left.join(ra, "a", "left").join(rb, "b", "left").where(F.coalesce("_ra", "a") != F.coalesce("_rb", "b")).select("a", "b")
     more = materialise(verified(materialise(left, "pairs-left"), docs, table, similarity_least), "links")
     links_found = edges.unionByName(more)
-    links_found, roots = settled(flat, tasks, links_found, components(links_found), docs, table, similarity_least, least)
+    links_found, roots = settled(cool, hot, large, tasks, links_found, components(links_found), docs, table, similarity_least, least)
     degree = links_found.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
     classes = reps.select("node", "doc_id").join(roots, "node", "left").join(degree, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("class_node"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     ids = classes.groupBy("class_node").agg(F.min("doc_id").alias("class_id"))

@@ -194,6 +194,24 @@ def test_near_duplicates_beyond_the_first_pass(spark):
     assert [r["class_id"] for r in sorted(got, key=lambda r: r["doc_id"])] == want and 1 < len(set(want)) < len(texts)
 
 
+def test_near_duplicates_that_share_one_hot_bucket_only(spark):
+    """Two families in buckets above ``large``, whose members have no other band to meet in."""
+    base = [" ".join(f"w{k * 7919 % 10007}" for k in range(a, a + 150)) for a in (0, 5000)]
+    docs = spark.createDataFrame([(i, base[i % 2] + f" tail{i}") for i in range(24)], "doc_id long, text string").repartition(4)
+    whole, parted = ({r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(docs, bands=1, rows=1, large=n)[0].collect()} for n in (20_000, 5))
+    assert whole == parted and len(set(whole.values())) < 6
+    # Classes of a bucket, one over several blocks, and the pairs of members that meet.
+    rows = [("a" if i < 9 else f"c{i}", f"n{i}") for i in range(16)]
+    hot = spark.createDataFrame([(1, f.encode(), n.encode(), b"") for f, n in rows], "bucket long, first binary, node binary, signature binary")
+    met = {}
+    for r in near_dedup.blocks(hot, 6).collect():
+        met.setdefault(r["bucket"], []).append((bytes(r["first"]).decode(), bytes(r["node"]).decode()))
+    for x in rows:
+        for y in rows:
+            assert x[0] == y[0] or any(x in m and y in m for m in met.values())
+    assert not any({f for f, _ in m} == {"a"} for m in met.values())
+
+
 def test_html_query(spark):
     pages = spark.createDataFrame([(1, "<body><article><p>Some text, here.</p></article></body>", 1), (2, None, 1), (3, "", 1), (1, "<p>", 1)], "page_id long, html string, text int")
     got = sorted((r["page_id"], r["main_text"]) for r in html.extract(pages).collect())
