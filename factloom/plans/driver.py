@@ -55,9 +55,9 @@ def ships(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return facts, nodes
 
 
-def registry(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(facts supplies and same_name, nodes) with parts and suppliers as entities and officers."""
-    line = table(spark, sf_dir, "lineitem").where("l_discount > 0.095 and l_quantity >= 45")
+def registry(spark: SparkSession, sf_dir: str, lines: str = "l_discount > 0.095 and l_quantity >= 45") -> tuple[DataFrame, DataFrame]:
+    """(facts supplies and same_name, nodes) with parts and suppliers as entities and officers; ``lines``: the lines that supply."""
+    line = table(spark, sf_dir, "lineitem").where(lines)
     supplies = line.selectExpr("concat('s:', l_suppkey) as s", "'supplies' as p", "concat('p:', l_partkey) as o")
     part = table(spark, sf_dir, "part")
     first = part.groupBy("p_brand", "p_size").agg(F.min("p_partkey").alias("_k"))

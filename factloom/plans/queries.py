@@ -350,7 +350,7 @@ def repair_signal(spark, sf_dir):
 @query()
 def repair_deletions_by_component(spark, sf_dir):
     """A hitting set of the conflicts of two constraints that share elements, exact in small components."""
-    facts, nodes = driver.registry(spark, sf_dir)
+    facts, nodes = driver.registry(spark, sf_dir, lines="true")
     c = constraints.Constraint(("(a:Officer)-[e:supplies]->(x:Entity|Other)", "(b:Officer)-[f:supplies]->(x)"), ("a.id <> b.id",))
     found = constraints.conflicts(c, facts.distinct(), nodes)
     return repair.deletions(found.select("conflict_id", "element_id", "weight"), exact=True)

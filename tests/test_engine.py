@@ -153,6 +153,13 @@ def test_greedy_deletions_follow_conflict_order(spark):
     assert repair.deletions(rows.where("conflict_id = 'c000'"), exact=True).count() == 1
 
 
+def test_deletions_leave_one_supplier_of_every_part(spark):
+    """Over all lines: a part's suppliers exclude one another, so one edge of each part stays."""
+    pairs = {(r["l_suppkey"], r["l_partkey"]) for r in spark.read.parquet(f"{DATA}/lineitem.parquet").select("l_suppkey", "l_partkey").collect()}
+    gone = [r["element_id"] for r in plans.queries()["repair_deletions_by_component"](spark, DATA).collect()]
+    assert len(gone) == len(set(gone)) == len(pairs) - len({part for _, part in pairs})
+
+
 def test_components_of_a_long_chain(spark):
     rows = spark.createDataFrame([(f"c{k:03}", f"e{e}") for k in range(150) for e in (k, k + 1)] + [("d", "x")], "conflict_id string, element_id string")
     got = {r["conflict_id"]: r["component"] for r in repair.components(rows).collect()}
