@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from fractions import Fraction
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # The letter of a document key and the type it stands for.
 TYPES = {
@@ -131,3 +133,9 @@ def share_count(text: str, pool: int, absolute: bool = False) -> int:
 
 def ratio_text(num: int, den: int) -> str:
     return f"{num / den:.4f}" if den else "undefined"
+
+
+@F.pandas_udf(StringType())
+def ratio_value(num: pd.Series, den: pd.Series) -> pd.Series:
+    """``ratio_text`` of a column (Spark's own format rounds ties another way)."""
+    return pd.Series([ratio_text(a, b) for a, b in zip(num, den, strict=True)], dtype="object")

@@ -22,7 +22,7 @@ EVENT = T.StructType([*[T.StructField(n, T.StringType()) for n in _TEXT], *[T.St
 RANKS = {"ANACHRONISM": 0, "WRONG_VALUE": 0, "WRONG_LABEL": 0, "MERGE": 1, "SPLIT": 1}
 KINDS = (*RANKS, "SPURIOUS_EDGE", "CYCLE", "CYCLE_BLIND", "MISSING", "RIVAL", "DUPLICATE")
 MERGE_DEGREES, SPLIT_DEGREES = (1, 6), (2, 8)
-TRIES = 20
+TRIES, SOURCE_TRIES = 20, 30
 
 
 @dataclass(frozen=True)
@@ -124,16 +124,21 @@ def cycle(facts, nodes, faults, relation: str, rate: str, seed: str, blind: bool
 
 
 def rival(facts, nodes, faults, relation: str, rate: str, seed: str, law: str = "I3"):
-    """A second source for targets that have one, drawn from the relation's sources by hash."""
+    """A second source for targets that have one, drawn from the relation's sources.
+
+    The rate is of all such targets. A target tries up to ``SOURCE_TRIES`` different sources, from a place in hash order that
+    follows its own hash; the first that is neither its source, nor itself, nor stands already is taken, and a target without one is left.
+    """
     own = facts.where(F.col("p") == relation)
     single = own.where(F.col("id").isNotNull()).groupBy("o").agg(F.count(F.lit(1)).alias("_n"), F.min("s").alias("true_s"), F.min("id").alias("true_id")).where("_n = 1")
-    sources = own.select("s").distinct()
-    ranked = cut(sampling.sequential_ids(sources.withColumn("_h", sampling.hashed(seed, F.col("s"))), ["_h", "s"], "%d", "_k").select("s", F.col("_k").cast("long")), "sources")
-    size = max(1, ranked.count())
-    pick = F.pmod(F.conv(F.substring(sampling.hashed(seed, F.concat_ws("|", "o", "_d")), 1, 15), 16, 10).cast("long"), F.lit(size)) + 1
-    tries = single.withColumn("_d", F.explode(F.sequence(F.lit(1), F.lit(TRIES)))).withColumn("_k", pick).join(ranked, "_k").where((F.col("s") != F.col("true_s")) & (F.col("s") != F.col("o")))
-    pool = cut(tries.groupBy("o", "true_id").agg(F.min_by("s", "_d").alias("s")).select("s", F.lit(relation).alias("p"), "o", "true_id"), "rivals")
-    chosen = cut(sampling.sample(pool, _triple(), scalars.share_count(rate, pool.count(), True), seed), "rival")
+    targets = cut(sampling.sample(single, F.col("o"), scalars.share_count(rate, single.count(), True), seed), "targets")
+    sources = own.select("s").distinct().withColumn("_h", sampling.hashed(seed, F.col("s")))
+    ranked = cut(sampling.sequential_ids(sources, ["_h", "s"], "%d", "_k").select("s", F.col("_k").cast("long")), "sources")
+    size = ranked.count()
+    begin = F.conv(F.substring(sampling.hashed(seed, F.concat(F.lit("rival|"), "o")), 1, 13), 16, 10).cast("long")
+    tries = targets.withColumn("_d", F.explode(F.sequence(F.lit(1), F.lit(max(1, min(SOURCE_TRIES, size)))))).withColumn("_k", F.pmod(begin + F.col("_d"), F.lit(max(1, size))) + 1)
+    drawn = tries.join(ranked, "_k").where((F.col("s") != F.col("true_s")) & (F.col("s") != F.col("o"))).join(own.select("s", "o").distinct(), ["s", "o"], "left_anti")
+    chosen = cut(drawn.groupBy("o", "true_id").agg(F.min_by("s", "_d").alias("s")).select("s", F.lit(relation).alias("p"), "o", "true_id"), "rival")
     found = chosen.select(F.lit("SPURIOUS_EDGE").alias("damage"), "s", "p", "o", F.array(F.lit(law)).alias("visible_by_law"), F.lit("blind").alias("arm"), F.col("true_id").alias("cycle_with"))
     return _injected(facts, chosen), nodes, events(found)
 

@@ -9,7 +9,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -17,7 +17,8 @@ from factloom._ship import ship
 from factloom.functions import scalars
 from factloom.operators import laws, sampling
 
-LINE = r'^<([^>]*)>\t<([^>]*)>\t(?:<([^>]*)>|"((?:[^"\\]|\\.)*)"(?:\^\^<[^>]*>|@[\w-]+)?)\s*\.?\s*$'
+# Fixed value: the grammar of a line, fields apart by a tab, closed by a blank and a full stop.
+LINE = r'^<([^>]*)>\t<([^>]*)>\t(?:<([^>]*)>|"((?:[^"\\]++|\\.)*+)"(?:\^\^<[^>]*>|@[a-z-]+)?) \.$'
 _ESCAPE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\(.)")
 _PLAIN = {"t": "\t", "n": "\n", "r": "\r", '"': '"', "\\": "\\"}
 
@@ -45,6 +46,51 @@ def read_triples(spark: SparkSession, path: str) -> DataFrame:
     return triples(spark.read.text(path))
 
 
+def _looked_up(table: dict[str, str], key: str) -> Column:
+    return F.create_map(*[F.lit(x) for pair in table.items() for x in pair])[F.col(key)]
+
+
+def relation_facts(found: DataFrame, relations: dict[str, str], prefix: str, short: str) -> DataFrame:
+    """Distinct s, p, o of the triples whose predicate is one of ``relations``, with shortened ends."""
+    end = lambda c: scalars.shortened(F.col(c), prefix, short)
+    return found.where(F.col("p").isin(*relations) & F.col("o_uri").isNotNull()).select(end("s").alias("s"), _looked_up(relations, "p").alias("p"), end("o_uri").alias("o")).distinct()
+
+
+def property_values(found: DataFrame, properties: dict[str, str], prefix: str, short: str, last_segment: tuple[str, ...] = ("types",)) -> DataFrame:
+    """id, property, value of the triples whose predicate is one of ``properties``: the literal, else the link (of some properties its last segment)."""
+    name = _looked_up(properties, "p")
+    link = F.when(name.isin(*last_segment), F.element_at(F.split("o_uri", "/"), -1)).otherwise(F.col("o_uri"))
+    return found.where(F.col("p").isin(*properties)).select(scalars.shortened(F.col("s"), prefix, short).alias("id"), name.alias("property"), F.coalesce("o_lit", link).alias("value"))
+
+
+def multi_valued(values: DataFrame) -> DataFrame:
+    """property, n: the nodes with several different values of it."""
+    several = values.groupBy("id", "property").agg(F.count_distinct("value").alias("_n"))
+    return several.where(F.col("_n") > 1).groupBy("property").agg(F.count(F.lit(1)).alias("n"))
+
+
+def first_seen(rows: DataFrame, properties: list[str]) -> DataFrame:
+    """id and properties of every end of an edge, as the row of least ``seq`` has them (s before o); labels with ``_`` first are dropped.
+
+    ``rows``: s, o, seq, and structs ``s_node`` and ``o_node`` of the properties.
+    """
+    ends = F.array(*[F.struct("seq", F.lit(k).alias("side"), F.col(e).alias("id"), *[F.col(f"{e}_node")[x].alias(x) for x in properties]) for k, e in enumerate("so")])
+    first = rows.select(F.inline(ends)).groupBy("id").agg(F.min(F.struct("seq", "side", *properties)).alias("_f")).select("id", *[F.col("_f")[x].alias(x) for x in properties])
+    return first.withColumn("labels", F.array_sort(F.filter("labels", lambda x: ~x.startswith("_")))) if "labels" in properties else first
+
+
+def merged_titles(titles: DataFrame, other: DataFrame) -> DataFrame:
+    """id, title: the other source's title where it has one that is not empty."""
+    both = titles.select("id", F.col("title").alias("_a")).join(other.select("id", F.col("title").alias("_b")), "id", "full")
+    return both.select("id", F.coalesce(F.when(F.col("_b") != "", F.col("_b")), "_a").alias("title"))
+
+
+def index_rows(rows: DataFrame, key: str, needed: str, seq: str) -> DataFrame:
+    """The last row of each key, of the rows that have the key and ``needed``."""
+    full = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) != ""
+    return latest_by_key(rows.where(full(key) & (F.size(needed) > 0 if dict(rows.dtypes)[needed].startswith("array") else full(needed))), key, seq)
+
+
 def read_gaps(spark: SparkSession, path: str, prefix: str = "", short: str = "") -> DataFrame:
     """node ids of a list of links."""
     line = F.trim("value")
@@ -104,8 +150,11 @@ def smallest_values(values: DataFrame) -> DataFrame:
     return values.groupBy("id", "property").agg(every.alias("all")).select("id", "property", F.element_at("all", 1).alias("value"), F.when(F.size("all") > 1, F.col("all")).alias("all"))
 
 
-def build(edges: DataFrame, values: DataFrame, gaps: DataFrame) -> Truth:
-    """A frozen truth from edges (s, p, o), property values (id, property, value) and gaps (node)."""
+def build(edges: DataFrame, values: DataFrame, gaps: DataFrame, empty_target: str | None = None) -> Truth:
+    """A frozen truth from edges (s, p, o), property values (id, property, value) and gaps (node).
+
+    ``empty_target``: the id that stands for no target; its edges are faults of their own kind, which L3 does not report again.
+    """
     facts = sampling.sequential_ids(edges.select("s", "p", "o").distinct(), ["p", "s", "o"], "f-%06d").withColumn("evidence_status", F.lit("declared"))
     ids = facts.select(F.explode(F.array("s", "o")).alias("id")).distinct()
     flat = smallest_values(values.join(ids, "id", "left_semi"))
@@ -119,11 +168,15 @@ def build(edges: DataFrame, values: DataFrame, gaps: DataFrame) -> Truth:
     nodes = ids.join(wide, "id", "left").join(lack, "id", "left").withColumn("in_force", scalars.truth_value(F.col("in_force")))
     nodes = nodes.withColumn("date_document_status", scalars.date_status(F.col("date_document"), F.col("celex"))).withColumn("labels", F.coalesce("types", F.array().cast("array<string>")))
     none = F.lit(None).cast("string")
+    if empty_target is not None:
+        nodes = nodes.withColumn("celex", F.when(F.col("id") == empty_target, "").otherwise(F.col("celex")))
     sentinel = nodes.where(F.col("date_document_status") == "sentinel").select(none.alias("fact"), F.col("id").alias("node"), F.lit("sentinel_date").alias("kind"), F.lit(0).alias("seq"))
     broken = laws.violations(facts, nodes).where(F.size("laws") > 0)
-    empty = broken.where(F.array_contains("laws", "L3")).select(F.col("id").alias("fact"), none.alias("node"), F.lit("empty_target").alias("kind"), F.lit(1).alias("seq"))
-    law = broken.where(F.size(F.array_except("laws", F.array(F.lit("L3")))) > 0).select(F.col("id").alias("fact"), none.alias("node"), F.lit("law_violation").alias("kind"), F.lit(2).alias("seq"))
-    reserves = nodes.where(F.col("date_document_status").isin("missing", "inconsistent")).select(F.col("id").alias("node"), F.col("date_document_status").alias("kind"), F.col("date_document").alias("value"), "celex")
+    bare = F.col("o").eqNullSafe(F.lit(empty_target)) if empty_target is not None else F.lit(False)
+    empty = facts.where(bare).select(F.col("id").alias("fact"), none.alias("node"), F.lit("empty_target").alias("kind"), F.lit(1).alias("seq"))
+    law = broken.where(F.size(F.when(bare, F.array_except("laws", F.array(F.lit("L3")))).otherwise(F.col("laws"))) > 0)
+    law = law.select(F.col("id").alias("fact"), none.alias("node"), F.lit("law_violation").alias("kind"), F.lit(2).alias("seq"))
+    reserves = nodes.where(F.col("date_document_status") == "inconsistent").select(F.col("id").alias("node"), F.lit("date_inconsistent_with_key").alias("kind"), F.col("date_document").alias("value"), "celex")
     seen = gaps.select("node").distinct().join(facts.select(F.col("o").alias("node"), "id"), "node", "left").groupBy("node").agg(F.array_sort(F.collect_list("id")).alias("seen_as_target_in"))
     return Truth(nodes, facts, sentinel.unionByName(empty).unionByName(law), seen.withColumn("kind", F.lit("absent_from_source")), reserves)
 
