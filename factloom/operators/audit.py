@@ -8,9 +8,13 @@ from pyspark.sql import functions as F
 from factloom.operators import sampling
 
 
-def draw(facts: DataFrame, quotas: dict[str, int], shared: int, auditors: tuple[str, ...], seed: str) -> DataFrame:
-    """Facts of each relation up to its quota, ``shared`` of them for everyone, the rest dealt in turn."""
-    pool = sampling.by_stratum(facts, "p", F.col("id"), quotas, seed)
+def draw(facts: DataFrame, quotas: dict[str, int], shared: int, auditors: tuple[str, ...], seed: str, unreadable: DataFrame | None = None) -> DataFrame:
+    """Facts of each relation up to its quota, ``shared`` of them for everyone, the rest dealt in turn.
+
+    Facts whose subject is ``unreadable`` (id) are replaced by the next of their relation in hash order; the others keep their place in the sample.
+    """
+    readable = facts if unreadable is None else facts.join(unreadable.select(F.col("id").alias("s")).distinct(), "s", "left_anti").select(*facts.columns)
+    pool = sampling.by_stratum(readable, "p", F.col("id"), quotas, seed)
     common = sampling.sample(pool, F.col("id"), shared, f"{seed}|shared").withColumn("shared", F.lit(True))
     rest = pool.join(common.select("id"), "id", "left_anti").withColumn("shared", F.lit(False))
     everyone = common.withColumn("auditor", F.explode(F.array(*[F.lit(a) for a in auditors])))

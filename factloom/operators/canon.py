@@ -31,6 +31,19 @@ def digest(record: object) -> str:
     return hashlib.sha256(dumps(record).encode()).hexdigest()
 
 
+def sealed(record: dict, key: str = "sha256") -> dict:
+    """The record with the hash of all but that hash."""
+    return {**record, key: digest({k: v for k, v in record.items() if k != key})}
+
+
+def write(path: str, record: object) -> None:
+    """A record for people to read: indented by one, with a new line at the end."""
+    _refuse(record)
+    with open(path, "w", encoding="utf-8") as out:
+        json.dump(record, out, ensure_ascii=False, indent=1)
+        out.write("\n")
+
+
 def row_json(df: DataFrame, out: str = "canonical") -> DataFrame:
     """The row as JSON with sorted keys; nulls stay."""
     return df.withColumn(out, F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"}))

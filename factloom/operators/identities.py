@@ -34,5 +34,16 @@ def splits(resolved: DataFrame, page_one: DataFrame) -> DataFrame:
     return resolved.where("abbreviates").join(own, ["document", "resolved"], "left_anti").select("document", "mention")
 
 
+def assembled(mentions: DataFrame, page_one: DataFrame, with_filter: bool) -> tuple[DataFrame, DataFrame]:
+    """(identities: one row; document, mention left apart) of mentions, resolved first or taken as they stand.
+
+    Documents without an author on page one are left out.
+    """
+    held = mentions.join(page_one.select("document").distinct(), "document", "left_semi")
+    found = reconciled(held, page_one)
+    found = found if with_filter else found.withColumn("resolved", F.col("mention"))
+    return identity_count(found), splits(found, page_one)
+
+
 def identity_count(resolved: DataFrame) -> DataFrame:
     return resolved.agg(F.count_distinct("resolved").alias("identities"))

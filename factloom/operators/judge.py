@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions import scalars
+from factloom.operators import canon
 
 TRIPLE = ["s", "p", "o"]
 
@@ -48,10 +49,10 @@ def fact_status(truth: DataFrame, candidate: DataFrame, faults: DataFrame, absta
 def extra_status(truth: DataFrame, candidate: DataFrame, nodes: DataFrame, gaps: DataFrame, world: DataFrame) -> DataFrame:
     """s, p, o, status, copies of what the truth does not hold; the order of the tests is fixed."""
     extra = copies(candidate).join(truth.select(*TRIPLE).distinct(), TRIPLE, "left_anti")
-    ids, lack = nodes.select(F.col("id")).distinct(), gaps.select(F.col("node").alias("id")).distinct()
+    known = nodes.select("id", F.lit(True).alias("_has"), F.lit(False).alias("_gap")).unionByName(gaps.select(F.col("node").alias("id"), F.lit(False).alias("_has"), F.lit(True).alias("_gap")))
+    known = known.groupBy("id").agg(F.max("_has").alias("_has"), F.max("_gap").alias("_gap"))
     for end in ("s", "o"):
-        extra = extra.join(ids.select(F.col("id").alias(end)).withColumn(f"_has_{end}", F.lit(True)), end, "left")
-        extra = extra.join(lack.select(F.col("id").alias(end)).withColumn(f"_gap_{end}", F.lit(True)), end, "left")
+        extra = extra.join(known.select(F.col("id").alias(end), F.when(F.col("_has"), True).alias(f"_has_{end}"), F.when(F.col("_gap"), True).alias(f"_gap_{end}")), end, "left")
     extra = extra.join(world.select("p", "closed"), "p", "left")
     status = (
         F.when(F.col("closed").isNull(), "out_of_coverage")
@@ -98,9 +99,9 @@ def ratios(dims: DataFrame) -> DataFrame:
 def stated_recall(status: DataFrame, stated: DataFrame) -> DataFrame:
     """Recall on facts that a text states, the histogram of the overlay, and what is missed and not stated."""
     rows = status.where(F.col("status") != "known_fault").join(stated.select("fact_id", "stated"), "fact_id", "left").withColumn("stated", F.coalesce("stated", F.lit("unknown")))
-    yes, found, missed = F.col("stated") == "yes", F.col("status") == "found", F.col("status") == "missed"
+    yes, no, found, missed = F.col("stated") == "yes", F.col("stated") == "no", F.col("status") == "found", F.col("status") == "missed"
     counts = [F.count_if(F.col("stated") == x).alias(f"stated_{x}") for x in ("yes", "no", "unclear", "unknown")]
-    return rows.groupBy("p").agg(F.count_if(yes & found).alias("num"), F.count_if(yes).alias("den"), *counts, F.count_if(missed & ~yes).alias("missed_and_not_stated"))
+    return rows.groupBy("p").agg(F.count_if(yes & found).alias("num"), F.count_if(yes).alias("den"), *counts, F.count_if(missed & no).alias("missed_and_not_stated"))
 
 
 def anachronisms(truth_nodes: DataFrame, candidate_nodes: DataFrame, faults: DataFrame) -> DataFrame:
@@ -156,3 +157,42 @@ def wrongly_broken(status: DataFrame, events: DataFrame) -> DataFrame:
     removed = events.where(F.col("damage") == "MISSING").select(*TRIPLE).distinct()
     moved = events.select(F.explode("moved_facts").alias("fact_id")).where(F.col("fact_id").isNotNull()).distinct()
     return status.where(F.col("status") == "missed").join(removed, TRIPLE, "left_anti").join(moved, "fact_id", "left_anti")
+
+
+def nodes_dimension(shifts: DataFrame, candidate_nodes: DataFrame) -> DataFrame:
+    """One row: metric, num, den, value of the anachronism of nodes; undefined in words where the candidate has no nodes."""
+    has = not candidate_nodes.isEmpty()
+    rows = shifts.agg(F.count_if("shifted").alias("num"), F.count(F.lit(1)).alias("den")).select(F.lit("anachronism").alias("metric"), *[(F.col(c) if has else F.lit(None).cast("long")).alias(c) for c in ("num", "den")])
+    return rows.withColumn("value", scalars.ratio_value(F.col("num"), F.col("den")) if has else F.lit("undefined (candidate has no nodes)"))
+
+
+def known_violations_removed(status: DataFrame) -> DataFrame:
+    """One row: the faults by a law that the candidate does not hold."""
+    return status.agg(F.count_if((F.col("kind") == "law_violation") & (F.col("known_fault") == "removed")).alias("known_violations_removed"))
+
+
+def twins(events: DataFrame, candidate_nodes: DataFrame) -> DataFrame:
+    """outcome, n: twins of splits deleted and kept, and the true facts that they took."""
+    own = events.where(F.col("damage") == "SPLIT").select("twin", F.size(F.array_compact(F.coalesce("moved_facts", F.array().cast("array<string>")))).alias("_m"))
+    here = candidate_nodes.select(F.col("id").alias("twin")).distinct().withColumn("_here", F.lit(True))
+    rows = own.join(here, "twin", "left")
+    counts = rows.agg(F.count_if(F.col("_here").isNull()).alias("_d"), F.count_if("_here").alias("_k"), F.coalesce(F.sum("_m"), F.lit(0)).alias("_m"))
+    pairs = F.array(*[F.struct(F.lit(n).alias("outcome"), F.col(c).cast("long").alias("n")) for n, c in (("deleted", "_d"), ("kept", "_k"), ("true facts it took, not restored", "_m"))])
+    return counts.select(F.inline(pairs))
+
+
+def ordered(rows: DataFrame, *by: str) -> DataFrame:
+    """Rows in order for a sink: facts by fact_id, extra by p, s, o, anachronisms by node."""
+    return rows.orderBy(*by)
+
+
+def verdict(head: dict, parts: dict[str, DataFrame]) -> dict:
+    """A record that names truth, candidate and journal (``head``), with the row count and digest of each part, and its own hash.
+
+    The digests come from hashes of rows, so neither the order nor the partitions of candidate or truth change the record.
+    """
+    record = dict(head)
+    for name, rows in sorted(parts.items()):
+        found = canon.dataset_digest(rows).head()
+        record[name] = {"n": found["n"], "digest": found["digest"]}
+    return canon.sealed(record)

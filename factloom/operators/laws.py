@@ -11,9 +11,13 @@ CUTOFF = "2025-07-01"
 EDGE_LAWS = {"acts": ("L4", "L1", "L2", "L3"), "registry": ("I1", "I3")}
 
 
-def with_ends(facts: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Facts with both end nodes as structs ``_s`` and ``_o`` (null where a node is missing)."""
-    cols = [F.col(c) for c in nodes.columns]
+#: What the laws of a family read of a node.
+READS = {"acts": ("id", "celex", "gap", "date_document", "date_document_status", "date_end_of_validity"), "registry": ("id", "labels", "name")}
+
+
+def with_ends(facts: DataFrame, nodes: DataFrame, reads: tuple[str, ...] | None = None) -> DataFrame:
+    """Facts with both end nodes as structs ``_s`` and ``_o`` (null where a node is missing), of the columns ``reads`` alone."""
+    cols = [F.col(c) for c in nodes.columns if reads is None or c in reads]
     left = nodes.select(F.col("id").alias("s"), F.struct(*cols).alias("_s"))
     right = nodes.select(F.col("id").alias("o"), F.struct(*cols).alias("_o"))
     return facts.join(left, "s", "left").join(right, "o", "left")
@@ -83,7 +87,7 @@ def inactive_violations(nodes: DataFrame, cutoff: str = CUTOFF) -> DataFrame:
 
 def violations(facts: DataFrame, nodes: DataFrame, family: str = "acts", two_edge: bool = True) -> DataFrame:
     """Facts with ``laws``: the ids of the laws each breaks, in the order of the family."""
-    ends = with_ends(facts, nodes)
+    ends = with_ends(facts, nodes, READS[family])
     flags = {"L1": order_law(), "L2": expiry_law(), "L3": identifier_law()} if family == "acts" else {"I1": name_law()}
     law, flagged = ("L4", mutual(facts)) if family == "acts" else ("I3", rivals_for_target(facts))
     if two_edge:
@@ -94,6 +98,12 @@ def violations(facts: DataFrame, nodes: DataFrame, family: str = "acts", two_edg
     return ends.select(*facts.columns, laws.alias("laws"))
 
 
+def order_census(facts: DataFrame, nodes: DataFrame, relations: tuple[str, ...]) -> DataFrame:
+    """p, n, broken of L1; only facts of the relations and the dates of nodes travel."""
+    ends = with_ends(facts.where(F.col("p").isin(*relations)), nodes, ("id", "date_document", "date_document_status"))
+    return ends.groupBy("p").agg(F.count(F.lit(1)).alias("n"), F.count_if(order_law(relations)).alias("broken"))
+
+
 def path_ends(facts: DataFrame, start: str, steps: tuple[str, ...], depth: int) -> DataFrame:
     """Targets reached from the targets of ``start`` by one to ``depth`` edges of ``steps`` (a bounded quantified path)."""
     edges = facts.where(F.col("p").isin(*steps)).select(F.col("s").alias("at"), F.col("o").alias("next")).distinct()

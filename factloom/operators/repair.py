@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from itertools import combinations
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,7 +12,8 @@ from factloom.functions import scalars
 from factloom.operators import laws, sampling
 
 EDGE_WEIGHT, SIGNAL_WEIGHT = 2, 3
-EXACT = 18
+#: Components of at most so many elements are searched for the least deletions, in at most so many steps.
+EXACT, STEPS = 64, 50_000
 
 
 def untouched(facts: DataFrame) -> DataFrame:
@@ -59,17 +58,51 @@ def components(conflicts: DataFrame, rounds: int = 64) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
+def least_hitting_set(groups: list[frozenset], weight: dict, steps: int = STEPS) -> tuple[frozenset, bool] | None:
+    """The set of least weight (then of least names) that hits every group, and whether no other set is as light; None if the steps run out.
+
+    Branch and bound: the open group with the fewest elements is hit by each of its elements in turn, later branches without the earlier ones.
+    """
+    best: list = [None, None, False]
+    left = steps
+
+    def go(taken: tuple, cost, banned: frozenset, open_groups: list[frozenset]) -> bool:
+        nonlocal left
+        left -= 1
+        if left < 0:
+            return False
+        if best[0] is not None and cost > best[0]:
+            return True
+        if not open_groups:
+            names = tuple(sorted(taken))
+            if best[0] is None or cost < best[0]:
+                best[:] = [cost, names, True]
+            else:
+                best[1], best[2] = min(best[1], names), False
+            return True
+        free = min((g - banned for g in open_groups), key=lambda g: (len(g), sorted(g)))
+        for x in sorted(free, key=lambda x: (weight[x], x)):
+            if not go((*taken, x), cost + weight[x], banned, [g for g in open_groups if x not in g]):
+                return False
+            banned = banned | {x}
+        return True
+
+    return (frozenset(best[1] or ()), best[2]) if go((), 0, frozenset(), list(dict.fromkeys(groups))) else None
+
+
 def _solve(rows: pd.DataFrame) -> pd.DataFrame:
-    """The set of least weight (then of least names) that hits every conflict of one small component."""
-    groups = [set(g) for _, g in rows.groupby("conflict_id")["element_id"]]
-    weight = dict(zip(rows["element_id"], rows["weight"], strict=True))
-    names, best = sorted(weight), None
-    for k in range(1, len(names) + 1):
-        for pick in combinations(names, k):
-            cost = (sum(weight[x] for x in pick), pick)
-            if (best is None or cost < best) and all(g & set(pick) for g in groups):
-                best = cost
-    return pd.DataFrame({"element_id": best[1]}).assign(component=rows["component"].iloc[0])[["component", "element_id"]]
+    """The deletions of one small component; those of the greedy choice, not ``exact``, where the search is too long."""
+    groups = [frozenset(g) for _, g in rows.sort_values("conflict_id").groupby("conflict_id")["element_id"]]
+    weight = dict(zip(rows["element_id"], rows["weight"].tolist(), strict=True))
+    found = least_hitting_set(groups, weight)
+    if found is None:
+        chosen: set = set()
+        for g in groups:
+            if not g & chosen:
+                chosen.add(min(g, key=lambda e: (weight[e], e)))
+        found = (frozenset(chosen), None)
+    out = pd.DataFrame({"element_id": sorted(found[0])})
+    return out.assign(component=rows["component"].iloc[0], exact=found[1] is not None, optimum_unique=found[1])[["component", "element_id", "exact", "optimum_unique"]]
 
 
 def _greedy(own: DataFrame) -> DataFrame:
@@ -91,15 +124,49 @@ def _greedy(own: DataFrame) -> DataFrame:
 
 
 def deletions(conflicts: DataFrame, exact: bool = False) -> DataFrame:
-    """component, element_id: a hitting set of every component of conflicts, greedy in conflict order; with ``exact``, of least weight where a component has at most ``EXACT`` elements."""
+    """component, element_id, exact, optimum_unique: a hitting set of every component of conflicts, greedy in conflict order.
+
+    With ``exact``, components of at most ``EXACT`` elements are searched for the least weight; ``exact`` marks those where the search
+    ended, and ``optimum_unique`` (null elsewhere) those without another set as light.
+    """
     own = conflicts.join(components(conflicts), "conflict_id").select("component", "conflict_id", "element_id", "weight").distinct()
+    marked = lambda rows: rows.select("component", "element_id", F.lit(False).alias("exact"), F.lit(None).cast("boolean").alias("optimum_unique"))
     if not exact:
-        return _greedy(own)
+        return marked(_greedy(own))
     ship(conflicts.sparkSession)
     own = cut(own, "components")
-    small = own.groupBy("component").agg(F.count_distinct("element_id").alias("_n")).where(F.col("_n") <= EXACT).select("component")
-    solved = own.join(small, "component", "left_semi").groupBy("component").applyInPandas(_solve, "component string, element_id string")
-    return solved.unionByName(_greedy(own.join(small, "component", "left_anti")))
+    sizes = cut(own.groupBy("component").agg(F.count_distinct("element_id").alias("_n"), F.count_distinct("conflict_id").alias("_c")), "sizes")
+    # A conflict by itself needs no search.
+    alone = greedy_pairs(own.join(sizes.where("_c = 1"), "component", "left_semi").withColumn("element_type", F.lit("")))
+    alone = alone.select(F.col("conflict_id").alias("component"), "element_id", F.lit(True).alias("exact"), "optimum_unique")
+    several = sizes.where("_c > 1")
+    small = several.where(F.col("_n") <= EXACT).select("component")
+    solved = own.join(small, "component", "left_semi").groupBy("component").applyInPandas(_solve, "component string, element_id string, exact boolean, optimum_unique boolean")
+    large = several.where(F.col("_n") > EXACT).select("component")
+    return alone.unionByName(solved).unionByName(marked(_greedy(own.join(large, "component", "left_semi"))))
+
+
+def all_but_heaviest(edges: DataFrame) -> DataFrame:
+    """s, p, o to delete so that every target keeps one source of a relation: the heaviest, of equals the last by name.
+
+    What a constraint of one source asks of all pairs of sources, without making the pairs: in a group where any two exclude
+    each other, the least deletions are all but the heaviest. ``edges``: s, p, o, weight.
+    """
+    kept = edges.groupBy("p", "o").agg(F.max(F.struct("weight", "s")).alias("_k")).select("p", "o", F.col("_k.s").alias("s"))
+    return edges.select("s", "p", "o").join(kept, ["s", "p", "o"], "left_anti")
+
+
+def exported(facts: DataFrame, nodes: DataFrame, weight: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(edges, nodes) for a graph store: edges with the key ``e:<k>:s|p|o`` (k: their place in sort order) and ``conf``, nodes with the key ``n:id`` and the type of their key."""
+    conf = F.coalesce(F.col(weight), F.lit(EDGE_WEIGHT)) if weight else F.lit(EDGE_WEIGHT)
+    ranked = sampling.sequential_ids(facts.withColumn("conf", conf), ["s", "p", "o"], "%d", "_k")
+    edges = ranked.select("s", "p", "o", "conf", F.concat(F.lit("e:"), (F.col("_k").cast("long") - 1).cast("string"), F.lit(":"), edge_key()).alias("key"))
+    return edges, nodes.withColumn("key", F.concat(F.lit("n:"), "id")).withColumn("celex_type", scalars.type_label(F.col("celex")))
+
+
+def stored(df: DataFrame, path: str) -> None:
+    """Replace what stands at the path."""
+    df.write.mode("overwrite").parquet(path)
 
 
 def edge_key() -> Column:

@@ -62,3 +62,15 @@ def sequential_ids(df: DataFrame, order: list[str], form: str, out: str = "id")
     base = df.sparkSession.createDataFrame(counts, "_part int, _base long")
     rank = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
     return ranged.withColumn("_rank", rank).join(F.broadcast(base), "_part").withColumn(out, F.format_string(form, F.col("_base") + F.col("_rank"))).drop("_part", "_base", "_rank")
+
+
+def small_truth(facts: DataFrame, must: DataFrame, stratum: str, each: int, n: int, seed: str) -> DataFrame:
+    """A sample of ``n`` facts that holds the facts ``must`` (id), then ``each`` more of every stratum, then any others by hash."""
+    key = F.col("id")
+    held = cut(facts.join(must.select("id").distinct(), "id", "left_semi"), "must")
+    rest = facts.join(held.select("id"), "id", "left_anti")
+    quotas = {r[0]: each for r in facts.select(stratum).distinct().toLocalIterator()}  # one row a stratum
+    if quotas:
+        held = cut(held.select(*facts.columns).unionByName(by_stratum(rest, stratum, key, quotas, f"{seed}|each").select(*facts.columns)), "each")
+    left = facts.join(held.select("id"), "id", "left_anti").select(*facts.columns)
+    return held.unionByName(sample(left, key, max(0, n - held.count()), f"{seed}|fill").select(*facts.columns))
