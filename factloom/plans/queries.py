@@ -46,6 +46,11 @@ node AS (
     CASE WHEN date_document = '' THEN 'missing' WHEN d IS NULL OR year(d) < 1950 THEN 'sentinel'
       WHEN celex <> '' AND abs(CAST(substr(celex, 2, 4) AS INT) - year(d)) > 10 THEN 'inconsistent' ELSE 'ok' END AS status
   FROM act)"""
+TRADES = r"""
+flow AS (
+  SELECT s_nationkey AS s, c_nationkey AS o, CAST(sum(l_quantity) AS BIGINT) AS q
+  FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN supplier ON s_suppkey = l_suppkey GROUP BY ALL),
+t AS (SELECT s, o FROM (SELECT *, sum(q) OVER (PARTITION BY s) AS total, count(*) OVER (PARTITION BY s) AS n FROM flow) WHERE q * n * 100 > total * 105)"""
 FACTS = r"""
 n AS (SELECT count(*) AS c FROM orders),
 base AS (SELECT o_orderkey AS k, (o_orderkey * 37 + 11) % c AS t, CASE o_orderkey % 3 WHEN 0 THEN 'repeals' WHEN 1 THEN 'amends' ELSE 'based_on' END AS p FROM orders, n),
@@ -96,8 +101,7 @@ SELECT 'ships' AS p, count(*) AS n, count(*) FILTER (WHERE d < CAST(o_orderdate
 FROM lineitem l JOIN line USING (l_orderkey, l_linenumber) JOIN orders ON o_orderkey = l_orderkey""")
 def law_l1_ships_census(spark, sf_dir):
     facts, nodes = driver.ships(spark, sf_dir)
-    ends = laws.with_ends(facts, nodes)
-    return ends.groupBy("p").agg(F.count(F.lit(1)).alias("n"), F.count_if(laws.order_law(("ships",))).alias("broken"))
+    return laws.order_census(facts, nodes, ("ships",))
 
 
 @query(f"WITH {ACTS}, {FACTS}, {LAWS} SELECT p, laws, count(*) AS n FROM broken GROUP BY ALL")
@@ -106,10 +110,7 @@ def law_violations_census(spark, sf_dir):
     return found.groupBy("p", F.array_join("laws", "+").alias("laws")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(r"""
-WITH t AS (SELECT DISTINCT 'n:' || s_nationkey AS s, 'n:' || c_nationkey AS o FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN supplier ON s_suppkey = l_suppkey
-  WHERE l_returnflag = 'R' AND l_quantity >= 50)
-SELECT a.s, 'trades' AS p, a.o FROM t a JOIN t b ON a.s = b.o AND a.o = b.s WHERE a.s <> a.o""")
+@query(f"WITH {TRADES} SELECT 'n:' || a.s AS s, 'trades' AS p, 'n:' || a.o AS o FROM t a JOIN t b ON a.s = b.o AND a.o = b.s WHERE a.s <> a.o")
 def law_l4_mutual_trades(spark, sf_dir):
     return laws.mutual(driver.trades(spark, sf_dir), "trades", loops=False)
 
@@ -135,7 +136,7 @@ def law_i2_inactive_active(spark, sf_dir):
 
 
 @query(r"""
-WITH t AS (SELECT DISTINCT l_suppkey AS s, l_partkey AS o FROM lineitem WHERE l_discount > 0.095 AND l_quantity >= 45)
+WITH t AS (SELECT DISTINCT l_suppkey AS s, l_partkey AS o FROM lineitem)
 SELECT 's:' || s AS s, 'supplies' AS p, 'p:' || o AS o FROM t WHERE o IN (SELECT o FROM t GROUP BY o HAVING count(*) > 1)""")
 def law_i3_unique_source(spark, sf_dir):
     return laws.rivals_for_target(driver.registry(spark, sf_dir)[0], "supplies")
@@ -223,6 +224,17 @@ def damage_wrong_label(spark, sf_dir):
     return damage.wrong_label(None, driver.acts(spark, sf_dir), None, "nodes", "0.10", SEED)[2].select("node", "truth_label", "injected_label")
 
 
+@query(f"""WITH {FACTS}, own AS (SELECT * FROM fact WHERE p = 'amends'), single AS (SELECT o, min(s) AS true_s, min(id) AS true_id FROM own GROUP BY o HAVING count(*) = 1),
+target AS (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY sha256('{SEED}|' || o)) AS r, count(*) OVER () AS c FROM single) WHERE r <= round_even(c * 0.05, 0)),
+src AS (SELECT s, row_number() OVER (ORDER BY sha256('{SEED}|' || s), s) AS k, count(*) OVER () AS size FROM (SELECT DISTINCT s FROM own)),
+draw AS (SELECT target.o, true_s, true_id, d, (CAST(('0x' || substr(sha256('{SEED}|rival|' || target.o), 1, 13)) AS BIGINT) + d) % size + 1 AS k FROM target, (SELECT max(size) AS size FROM src), unnest(range(1, 31)) AS u(d) WHERE d <= size),
+good AS (SELECT src.s, draw.* FROM draw JOIN src USING (k) WHERE src.s <> true_s AND src.s <> draw.o AND NOT EXISTS (SELECT 1 FROM own WHERE own.s = src.s AND own.o = draw.o))
+SELECT arg_min(s, d) AS s, o, true_id AS cycle_with FROM good GROUP BY o, true_id""")
+def damage_rival(spark, sf_dir):
+    facts = driver.numbered(driver.act_facts(spark, sf_dir))
+    return damage.rival(facts, None, None, "amends", "0.05", SEED)[2].select("s", "o", "cycle_with")
+
+
 @query()
 def damage_all_kinds(spark, sf_dir):
     """Every damage of the injector, counted by kind."""
@@ -276,7 +288,7 @@ def judge_collateral(spark, sf_dir):
 
 
 @query(f"""WITH {ACTS}, {FACTS}, {JUDGED}, s AS (SELECT *, CASE WHEN substr(fact_id, 3, 1) IN ('0', '1', '2', '3') THEN 'yes' WHEN substr(fact_id, 3, 1) IN ('4', '5') THEN 'no' WHEN substr(fact_id, 3, 1) = '6' THEN 'unclear' ELSE 'unknown' END AS stated FROM status WHERE status <> 'known_fault')
-SELECT p, count(*) FILTER (WHERE stated = 'yes' AND status = 'found') AS num, count(*) FILTER (WHERE stated = 'yes') AS den, count(*) FILTER (WHERE stated = 'yes') AS stated_yes, count(*) FILTER (WHERE stated = 'no') AS stated_no, count(*) FILTER (WHERE stated = 'unclear') AS stated_unclear, count(*) FILTER (WHERE stated = 'unknown') AS stated_unknown, count(*) FILTER (WHERE status = 'missed' AND stated <> 'yes') AS missed_and_not_stated FROM s GROUP BY p""")
+SELECT p, count(*) FILTER (WHERE stated = 'yes' AND status = 'found') AS num, count(*) FILTER (WHERE stated = 'yes') AS den, count(*) FILTER (WHERE stated = 'yes') AS stated_yes, count(*) FILTER (WHERE stated = 'no') AS stated_no, count(*) FILTER (WHERE stated = 'unclear') AS stated_unclear, count(*) FILTER (WHERE stated = 'unknown') AS stated_unknown, count(*) FILTER (WHERE status = 'missed' AND stated = 'no') AS missed_and_not_stated FROM s GROUP BY p""")
 def judge_stated_recall(spark, sf_dir):
     g, status = _status(spark, sf_dir)
     first = F.substring("id", 3, 1)
@@ -292,19 +304,80 @@ def judge_anachronisms(spark, sf_dir):
     return judge.anachronisms(nodes, other, _faults(spark)).agg(F.count(F.lit(1)).alias("dated"), F.count_if("shifted").alias("shifted"))
 
 
+@query(f"""WITH {ACTS}, x AS (SELECT count(*) AS den, count(*) FILTER (WHERE k % 7 = 0) AS num FROM node WHERE status = 'ok' AND k % 13 <> 0)
+SELECT 'given' AS candidate, 'anachronism' AS metric, num, den, CASE WHEN den = 0 THEN 'undefined' ELSE printf('%.4f', num / den) END AS value FROM x
+UNION ALL SELECT 'empty', 'anachronism', NULL, NULL, 'undefined (candidate has no nodes)'""")
+def judge_nodes_dimension(spark, sf_dir):
+    nodes = driver.acts(spark, sf_dir)
+    k = F.substring("id", 3, 20).cast("long")
+    other = nodes.withColumn("date_document", F.when(k % 7 == 0, scalars.next_year(F.col("date_document"))).otherwise(F.col("date_document"))).withColumn("date_document", F.when(k % 13 != 0, F.col("date_document")))
+    none = other.limit(0)
+    given, empty = (judge.nodes_dimension(judge.anachronisms(nodes, c, _faults(spark)), c).withColumn("candidate", F.lit(name)) for name, c in (("given", other), ("empty", none)))
+    return given.unionByName(empty)
+
+
+@query(f"WITH {ACTS}, {FACTS}, {JUDGED} SELECT count(*) AS known_violations_removed FROM status WHERE known_fault = 'removed'")
+def judge_known_violations(spark, sf_dir):
+    return judge.known_violations_removed(_status(spark, sf_dir)[1])
+
+
+_DIGEST = " || '|' || ".join(f"CAST(sum(CAST(('0x' || substr(h, {a}, 8)) AS HUGEINT)) AS VARCHAR)" for a in range(1, 65, 8))
+
+
+@query(f"""WITH {ACTS}, {FACTS}, {JUDGED}, gone AS (SELECT id FROM node WHERE k % 33 = 0),
+row AS (
+  SELECT 'facts' AS part, sha256('{{"fact_id":"' || fact_id || '","known_fault":' || coalesce('"' || known_fault || '"', 'null') || ',"status":"' || status || '"}}') AS h FROM status
+  UNION ALL SELECT 'collateral', sha256('{{"fact_id":"' || fact_id || '","o":"' || o || '","p":"' || p || '","s":"' || s || '"}}') FROM status WHERE status = 'missed' AND (s IN (SELECT id FROM gone) OR o IN (SELECT id FROM gone)))
+SELECT part, count(*) AS n, sha256({_DIGEST}) AS digest FROM row GROUP BY part""")
+def judge_verdict(spark, sf_dir):
+    """The parts of a verdict record, whose digests no order of rows changes."""
+    g, status = _status(spark, sf_dir)
+    record = judge.verdict({"truth": "acts"}, {"facts": status.select("fact_id", "status", "known_fault"), "collateral": judge.collateral(status, g["deleted"])})
+    return spark.createDataFrame([(part, record[part]["n"], record[part]["digest"]) for part in ("facts", "collateral")], "part string, n long, digest string")
+
+
+# The damages of _injected in SQL, and the graph that the rule without a model leaves.
+DAMAGED = f"""
+moved AS (SELECT id, date_document AS truth_date, d + INTERVAL 1 YEAR AS new FROM (SELECT *, row_number() OVER (ORDER BY sha256('{SEED}|0|nodes|ANACHRONISM|' || id)) AS r, count(*) OVER () AS c FROM node WHERE status = 'ok') WHERE r <= round_even(c * 0.05, 0)),
+relabelled AS (SELECT id FROM (SELECT id, row_number() OVER (ORDER BY sha256('{SEED}|1|nodes|WRONG_LABEL|' || id)) AS r, count(*) OVER () AS c FROM node WHERE celex <> '') WHERE r <= round_even(c * 0.05, 0)),
+dnode AS (SELECT node.id, status, celex, gap, date_end_of_validity, coalesce(CAST(new AS DATE), d) AS d FROM node LEFT JOIN moved USING (id)),
+mirror AS (
+  SELECT f.id AS true_id, f.o AS s, f.p, f.s AS o, coalesce(a.status = 'ok' AND b.status = 'ok' AND b.d < a.d, false) AS informed
+  FROM fact f LEFT JOIN dnode a ON a.id = f.s LEFT JOIN dnode b ON b.id = f.o
+  WHERE f.p = 'repeals' AND NOT EXISTS (SELECT 1 FROM fact r WHERE r.p = 'repeals' AND r.s = f.o AND r.o = f.s)),
+cycle AS (
+  SELECT 'informed' AS arm, * FROM (SELECT *, row_number() OVER (ORDER BY sha256('{SEED}|2|repeals|CYCLE|' || s || '|' || p || '|' || o)) AS r FROM mirror WHERE informed) WHERE r <= 40
+  UNION ALL SELECT 'blind', * FROM (SELECT *, row_number() OVER (ORDER BY sha256('{SEED}|3|repeals|CYCLE_BLIND|' || s || '|' || p || '|' || o)) AS r FROM mirror WHERE NOT informed) WHERE r <= 20),
+taken AS (SELECT s, p, o FROM (SELECT *, row_number() OVER (ORDER BY sha256('{SEED}|4|amends|MISSING|' || s || '|' || p || '|' || o)) AS r, count(*) OVER () AS c FROM fact WHERE p = 'amends') WHERE r <= round_even(c * 0.02, 0)),
+graph AS (SELECT s, p, o FROM fact ANTI JOIN taken USING (s, p, o) UNION ALL SELECT s, p, o FROM cycle),
+ruled AS (
+  SELECT g.s, g.p, g.o FROM graph g LEFT JOIN dnode a ON a.id = g.s LEFT JOIN dnode b ON b.id = g.o
+  WHERE NOT (g.p = 'repeals' AND EXISTS (SELECT 1 FROM graph r WHERE r.p = 'repeals' AND r.s = g.o AND r.o = g.s))
+    AND NOT coalesce(g.p IN ('repeals', 'amends') AND a.status = 'ok' AND b.status = 'ok' AND a.d < b.d, false)
+    AND NOT coalesce(g.p = 'amends' AND b.status = 'ok' AND b.d > CAST(a.date_end_of_validity AS DATE), false)
+    AND NOT (g.p = 'based_on' AND (b.id IS NULL OR (b.celex = '' AND NOT b.gap))))"""
+
+
 def _injected(spark, sf_dir):
     facts, nodes = driver.numbered(driver.act_facts(spark, sf_dir)), driver.acts(spark, sf_dir)
     return facts, nodes, damage.inject(facts, nodes, _faults(spark), damage.parse(["repeals:CYCLE=40", "repeals:CYCLE_BLIND=20", "amends:MISSING=0.02", "nodes:ANACHRONISM=0.05", "nodes:WRONG_LABEL=0.05"]), SEED)
 
 
-@query()
+@query(f"""WITH {ACTS}, {FACTS}, {DAMAGED}, e AS (
+  SELECT 'SPURIOUS_EDGE visible' AS bucket, NOT EXISTS (SELECT 1 FROM ruled WHERE ruled.s = cycle.s AND ruled.p = cycle.p AND ruled.o = cycle.o) AS caught FROM cycle
+  UNION ALL SELECT 'MISSING', EXISTS (SELECT 1 FROM ruled WHERE ruled.s = taken.s AND ruled.p = taken.p AND ruled.o = taken.o) FROM taken
+  UNION ALL SELECT 'ANACHRONISM', strftime(new, '%Y-%m-%d') = truth_date FROM moved
+  UNION ALL SELECT 'WRONG_LABEL', true FROM relabelled)
+SELECT bucket, CASE WHEN caught THEN 'caught' ELSE 'missed' END AS outcome, count(*) AS n FROM e GROUP BY ALL""")
 def judge_repair_buckets(spark, sf_dir):
-    """What the rule without a model does with injected damages."""
+    """What the rule without a model and a second witness of types do with injected damages."""
     _, nodes, (graph, damaged, journal) = _injected(spark, sf_dir)
-    return judge.buckets(journal, repair.rule_only(graph, damaged), damaged)
+    return judge.buckets(journal, repair.rule_only(graph, damaged), repair.second_witness(damaged))
 
 
-@query()
+@query(f"""WITH {ACTS}, {FACTS}, {DAMAGED}, x AS (
+  SELECT arm, EXISTS (SELECT 1 FROM ruled WHERE ruled.s = cycle.o AND ruled.p = cycle.p AND ruled.o = cycle.s) AS kept, NOT EXISTS (SELECT 1 FROM ruled WHERE ruled.s = cycle.s AND ruled.p = cycle.p AND ruled.o = cycle.o) AS deleted FROM cycle)
+SELECT arm, count(*) FILTER (WHERE kept) AS true_kept, count(*) FILTER (WHERE NOT kept) AS true_broken, count(*) FILTER (WHERE deleted) AS false_deleted, count(*) FILTER (WHERE NOT deleted) AS false_kept FROM x GROUP BY arm""")
 def judge_arms(spark, sf_dir):
     facts, _, (graph, damaged, journal) = _injected(spark, sf_dir)
     candidate = repair.rule_only(graph, damaged)
@@ -312,7 +385,7 @@ def judge_arms(spark, sf_dir):
     return judge.arms(journal, judge.fact_status(facts, candidate, _faults(spark), none), candidate)
 
 
-@query()
+@query(f"WITH {ACTS}, {FACTS}, {DAMAGED} SELECT id AS fact_id, s, p, o FROM fact ANTI JOIN ruled USING (s, p, o) ANTI JOIN taken USING (s, p, o)")
 def judge_wrongly_broken(spark, sf_dir):
     facts, _, (graph, damaged, journal) = _injected(spark, sf_dir)
     none = facts.limit(0).select("s", "p", "o")
@@ -349,21 +422,34 @@ def repair_signal(spark, sf_dir):
 
 @query()
 def repair_deletions_by_component(spark, sf_dir):
-    """A hitting set of the conflicts of two constraints that share elements, exact in small components."""
-    facts, nodes = driver.registry(spark, sf_dir, lines="true")
-    c = constraints.Constraint(("(a:Officer)-[e:supplies]->(x:Entity|Other)", "(b:Officer)-[f:supplies]->(x)"), ("a.id <> b.id",))
-    found = constraints.conflicts(c, facts.distinct(), nodes)
+    """The least deletions that leave no path of two edges with a gap on it; neighbouring paths share edges and acts."""
+    facts, nodes = driver.act_facts(spark, sf_dir), driver.acts(spark, sf_dir)
+    c = constraints.Constraint(("(a)-[e:repeals|amends|based_on]->(b)", "(b)-[f:repeals|amends|based_on]->(c)"), ("a.gap or b.gap or c.gap",))
+    found = constraints.conflicts(c, facts, nodes)
     return repair.deletions(found.select("conflict_id", "element_id", "weight"), exact=True)
 
 
 @query(r"""
-WITH t AS (SELECT DISTINCT l_suppkey AS s, l_partkey AS o FROM lineitem WHERE l_discount > 0.095 AND l_quantity >= 45)
-SELECT 's:' || least(a.s, b.s) AS a, 's:' || greatest(a.s, b.s) AS b, 'p:' || a.o AS x FROM t a JOIN t b ON a.o = b.o AND CAST(a.s AS VARCHAR) < CAST(b.s AS VARCHAR)""".replace("least(a.s, b.s)", "a.s").replace("greatest(a.s, b.s)", "b.s"))
+WITH w AS (SELECT l_suppkey AS s, l_partkey AS o, count(*) AS weight FROM lineitem GROUP BY ALL)
+SELECT 's:' || s AS s, 'supplies' AS p, 'p:' || o AS o FROM (SELECT *, row_number() OVER (PARTITION BY o ORDER BY weight DESC, 's:' || s DESC) AS r FROM w) WHERE r > 1""")
+def repair_unique_source(spark, sf_dir):
+    """What to delete of all supplies so that a part keeps one supplier, the one of most lines."""
+    supplies = driver.registry(spark, sf_dir)[0].where("p = 'supplies'")
+    return repair.all_but_heaviest(supplies.groupBy("s", "p", "o").agg(F.count(F.lit(1)).alias("weight")))
+
+
+@query(f"""WITH {ACTS}, {FACTS} SELECT f.s AS a, f.o AS b FROM fact f JOIN fact r ON r.s = f.o AND r.o = f.s AND r.p = f.p JOIN node x ON x.id = f.s JOIN node y ON y.id = f.o
+WHERE f.p = 'repeals' AND f.s < f.o AND x.label IN ('Regulation', 'Directive', 'Decision', 'Agreement')""")
 def constraint_matches(spark, sf_dir):
-    """Two sources of one target, from a declared constraint."""
-    facts, nodes = driver.registry(spark, sf_dir)
-    c = constraints.Constraint(("(a:Officer)-[e:supplies]->(x:Entity|Other)", "(b:Officer)-[f:supplies]->(x)"), ("a.id < b.id",))
-    return constraints.matches(c, facts.distinct(), nodes).select("a.id", "b.id", "x.id").toDF("a", "b", "x")
+    """Two acts that repeal each other, from a declared constraint."""
+    facts, nodes = driver.act_facts(spark, sf_dir), driver.acts(spark, sf_dir)
+    c = constraints.Constraint(("(a:Regulation|Directive|Decision|Agreement)-[e:repeals]->(b)", "(b)-[f:repeals]->(a)"), ("a.id < b.id",))
+    return constraints.matches(c, facts, nodes).select("a.id", "b.id").toDF("a", "b")
+
+
+@query(f"WITH {FACTS} SELECT s, p, o, 2 AS conf, 'e:' || (row_number() OVER (ORDER BY s, p, o) - 1) || ':' || s || '|' || p || '|' || o AS key FROM fact")
+def graph_export(spark, sf_dir):
+    return repair.exported(driver.act_facts(spark, sf_dir), driver.acts(spark, sf_dir))[0]
 
 
 @query(f"WITH {ACTS}, {FACTS}, gone AS (SELECT id FROM node WHERE k % 33 = 0) SELECT s, p, o FROM fact WHERE NOT (s = o) AND s NOT IN (SELECT id FROM gone) AND o NOT IN (SELECT id FROM gone) AND p <> 'amends'")
@@ -376,11 +462,14 @@ def candidate_read_back(spark, sf_dir):
     return repair.read_back(facts, nodes, edge.unionByName(node))[0]
 
 
-@query(r"""WITH r AS (SELECT o_orderpriority AS name, o_orderstatus AS arm, year(o_orderdate) AS run, count(*) FILTER (WHERE o_orderkey % 2 = 0) AS kept FROM orders GROUP BY ALL), g AS (SELECT name, arm, 130 AS of, count(*) AS runs, string_agg(CAST(kept AS VARCHAR), ',' ORDER BY run) AS kept, min(kept) AS least, max(kept) AS most FROM r GROUP BY ALL)
-SELECT name, arm, of, runs, kept, least, most, CASE WHEN runs >= 2 THEN least = most END AS stable, CAST(54 AS BIGINT) AS coin_low, CAST(76 AS BIGINT) AS coin_high FROM g""")
+@query(r"""WITH r AS (SELECT o_orderpriority AS name, o_orderstatus AS arm, year(o_orderdate) AS run, count(*) FILTER (WHERE o_orderkey % 2 = 0) AS kept, 25 * length(o_orderpriority) + CASE WHEN o_orderstatus = 'F' THEN 100 ELSE 0 END AS of FROM orders GROUP BY ALL),
+g AS (SELECT name, arm, CAST(max(of) AS INT) AS of, count(*) AS runs, string_agg(CAST(kept AS VARCHAR), ',' ORDER BY run) AS kept, min(kept) AS least, max(kept) AS most, median(kept) AS median FROM r GROUP BY ALL)
+SELECT *, CASE WHEN runs >= 2 THEN least = most END AS stable, CASE WHEN runs < 2 THEN 'not repeated' WHEN least = most THEN 'stable' ELSE 'moves' END AS reading, of / 2 AS coin_expected, round_even(sqrt(of * 0.25), 2) AS coin_deviation,
+  CAST(round_even(of / 2 - 1.96 * sqrt(of * 0.25), 0) AS BIGINT) AS coin_low, CAST(round_even(of / 2 + 1.96 * sqrt(of * 0.25), 0) AS BIGINT) AS coin_high FROM g""")
 def spread_of_runs(spark, sf_dir):
-    runs = driver.table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("name"), F.col("o_orderstatus").alias("arm"), F.year("o_orderdate").alias("run")).agg(F.count_if(F.col("o_orderkey") % 2 == 0).alias("kept")).withColumn("of", F.lit(130))
-    return spread.spread(runs).select("name", "arm", "of", "runs", F.array_join(F.transform("kept", lambda x: x.cast("string")), ",").alias("kept"), "least", "most", "stable", "coin_low", "coin_high")
+    of = 25 * F.length("o_orderpriority") + F.when(F.col("o_orderstatus") == "F", 100).otherwise(0)
+    runs = driver.table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("name"), F.col("o_orderstatus").alias("arm"), F.year("o_orderdate").alias("run"), of.alias("of")).agg(F.count_if(F.col("o_orderkey") % 2 == 0).alias("kept"))
+    return spread.spread(runs).withColumn("kept", F.array_join(F.transform("kept", lambda x: x.cast("string")), ","))
 
 
 _ANSWER = "CASE CAST(('0x' || substr(sha256('vote|' || doc_id || '|' || auditor), 1, 4)) AS INT) % 4 WHEN 0 THEN 'non' WHEN 3 THEN NULL ELSE 'oui' END"
@@ -412,10 +501,32 @@ def audit_agreement(spark, sf_dir):
     return audit.agreement(_votes(spark, sf_dir))
 
 
-@query()
+@query(f"""WITH {ACTS}, {FACTS}, readable AS (SELECT * FROM fact WHERE s NOT IN (SELECT id FROM node WHERE k % 29 = 0)),
+pool AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY p ORDER BY sha256('11|' || id)) AS r FROM readable) WHERE r <= CASE WHEN p = 'based_on' THEN 60 ELSE 70 END),
+two AS (SELECT *, row_number() OVER (ORDER BY sha256('11|shared|' || id)) <= 30 AS shared FROM pool),
+rest AS (SELECT *, row_number() OVER (ORDER BY sha256('11|' || id), id) - 1 AS k FROM two WHERE NOT shared)
+SELECT id, p, shared, auditor FROM two, (VALUES ('A'), ('B'), ('C')) AS a(auditor) WHERE shared UNION ALL SELECT id, p, shared, ['A', 'B', 'C'][k % 3 + 1] FROM rest""")
 def audit_draw(spark, sf_dir):
     facts = driver.numbered(driver.act_facts(spark, sf_dir))
-    return audit.draw(facts, {"repeals": 70, "amends": 70, "based_on": 60}, 30, ("A", "B", "C"), "11").select("id", "p", "shared", "auditor")
+    unreadable = driver.acts(spark, sf_dir).where("cast(substring(id, 3) as bigint) % 29 = 0").select("id")
+    return audit.draw(facts, {"repeals": 70, "amends": 70, "based_on": 60}, 30, ("A", "B", "C"), "11", unreadable).select("id", "p", "shared", "auditor")
+
+
+@query(f"""WITH {ACTS}, {FACTS}, sent AS (SELECT id FROM node WHERE status = 'sentinel'),
+a AS (SELECT id FROM (SELECT id, row_number() OVER (ORDER BY sha256('{SEED}|empty|' || id)) AS r FROM fact WHERE o = 'o:0') WHERE r <= 2),
+b AS (SELECT id FROM (SELECT id, row_number() OVER (ORDER BY sha256('{SEED}|sentinel|' || id)) AS r FROM fact WHERE s IN (SELECT id FROM sent) OR o IN (SELECT id FROM sent)) WHERE r <= 2),
+must AS (SELECT id FROM a UNION SELECT id FROM b),
+each AS (SELECT id FROM (SELECT id, row_number() OVER (PARTITION BY p ORDER BY sha256('{SEED}|each|' || id)) AS r FROM fact ANTI JOIN must USING (id)) WHERE r <= 5),
+held AS (SELECT id FROM must UNION ALL SELECT id FROM each),
+fill AS (SELECT id FROM (SELECT id, row_number() OVER (ORDER BY sha256('{SEED}|fill|' || id)) AS r FROM fact ANTI JOIN held USING (id)) WHERE r <= 60 - (SELECT count(*) FROM held))
+SELECT fact.* FROM fact SEMI JOIN (SELECT id FROM held UNION ALL SELECT id FROM fill) AS k USING (id)""")
+def sample_small_truth(spark, sf_dir):
+    """Sixty facts with some of every kind of trouble and of every relation."""
+    facts = driver.numbered(driver.act_facts(spark, sf_dir))
+    sent = driver.acts(spark, sf_dir).where("date_document_status = 'sentinel'").select("id")
+    touched = facts.join(sent.select(F.col("id").alias("s")), "s", "left_semi").select("id").union(facts.join(sent.select(F.col("id").alias("o")), "o", "left_semi").select("id")).distinct()
+    must = sampling.sample(facts.where("o = 'o:0'").select("id"), F.col("id"), 2, f"{SEED}|empty").union(sampling.sample(touched, F.col("id"), 2, f"{SEED}|sentinel"))
+    return sampling.small_truth(facts, must, "p", 5, 60, SEED).select("id", "s", "p", "o")
 
 
 @query(r"SELECT doc_id, CAST(count(*) AS BIGINT) AS n FROM (SELECT doc_id, unnest(regexp_split_to_array(regexp_replace(text, '([.;:!?])\s+', '\1' || chr(1), 'g'), '[\x01]|\n+')) AS s FROM documents) WHERE length(regexp_replace(s, '^\s+|\s+$', '', 'g')) BETWEEN 10 AND 900 GROUP BY doc_id")
@@ -424,27 +535,107 @@ def text_sentences(spark, sf_dir):
     return rows.where("n > 0")
 
 
-@query()
+_REFERENCES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&copy;", "©"), ("&middot;", "·"), ("&nbsp;", "\u00a0"), ("&amp;", "&"))
+
+
+def _decoded(sql: str) -> str:
+    """The references that the pages have."""
+    for a, b in _REFERENCES:
+        sql = f"replace({sql}, '{a}', '{b}')"
+    return sql
+
+
+_CLEANED = _decoded(r"""regexp_replace(regexp_replace(regexp_replace(html, '(?s)<script.*?</script>|<style.*?</style>', ' ', 'g'), '</(P|p|TI|ti|ALINEA|alinea|NP|np|TXT|txt|div|li|tr|td|h\d)>', chr(10), 'g'), '<[^>]+>', ' ', 'g')""")
+
+
+@query(f"""WITH c AS (SELECT page_id, regexp_replace({_CLEANED}, '[ \t\u00a0]+', ' ', 'g') AS t FROM pages) SELECT page_id, CAST(length(t) AS BIGINT) AS n_chars, sha256(t) AS digest FROM c""")
 def text_clean(spark, sf_dir):
     rows = driver.table(spark, sf_dir, "pages").select("page_id", text.clean(F.col("html")).alias("t"))
     return rows.select("page_id", F.length("t").cast("long").alias("n_chars"), F.sha2("t", 256).alias("digest"))
 
 
 def _named(spark, sf_dir):
-    """Every document, whole, followed by a sentence that names an act, with the act's search keys."""
-    docs = driver.table(spark, sf_dir, "documents").selectExpr("doc_id", "concat(coalesce(text, ''), '. The act ', doc_id % 900 + 1, '/2004 ', element_at(array('is repealed', 'amended by', 'is cited', 'is replaced'), cast(doc_id % 4 as int) + 1), ' here. ') as text", "concat('32004R', lpad(cast(doc_id % 900 + 1 as string), 4, '0')) as celex")
+    """Every document, whole, followed by sentences that name an act, with the act's search keys."""
+    k = "doc_id % 900 + 1"
+    docs = driver.table(spark, sf_dir, "documents").selectExpr(
+        "doc_id",
+        f"concat(coalesce(text, ''), '. The act ', {k}, '/2004 ', element_at(array('is repealed', 'amended by', 'is cited', 'is replaced'), cast(doc_id % 4 as int) + 1), ' here. ',"
+        f" element_at(array('', 'The following are repealed: 9/1999; ', 'ANNEX IV acts repealed 7/2001; ', 'The end. '), cast(doc_id % 5 as int) % 4 + 1), repeat('so on ', cast(doc_id % 7 as int) * 20), case when doc_id % 3 = 0 then concat('; also 2004/', {k}, ' of it') else '' end) as text",
+        f"concat('32004R', lpad(cast({k} as string), 4, '0')) as celex",
+    )
     return docs.select(F.concat(F.lit("f-"), "doc_id").alias("fact_id"), "text", scalars.search_keys(F.col("celex")).alias("keys"))
 
 
-@query()
+NAMED = r"""
+doc AS (
+  SELECT 'f-' || doc_id AS fact_id, CAST(doc_id % 900 + 1 AS VARCHAR) AS m,
+    coalesce(text, '') || '. The act ' || (doc_id % 900 + 1) || '/2004 ' || ['is repealed', 'amended by', 'is cited', 'is replaced'][CAST(doc_id % 4 AS INT) + 1] || ' here. '
+    || ['', 'The following are repealed: 9/1999; ', 'ANNEX IV acts repealed 7/2001; ', 'The end. '][CAST(doc_id % 5 AS INT) % 4 + 1] || repeat('so on ', CAST(doc_id % 7 AS INT) * 20) || CASE WHEN doc_id % 3 = 0 THEN '; also 2004/' || (doc_id % 900 + 1) || ' of it' ELSE '' END AS t
+  FROM documents),
+named AS (SELECT fact_id, t, [m || '/2004', '2004/' || m, m || '/04', '04/' || m] AS keys FROM doc)"""
+_SENTENCES = r"list_transform(regexp_split_to_array(regexp_replace({0}, '([.;:!?])\s+', '\1' || chr(1), 'g'), '[\x01]|\n+'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g'))"
+
+
+@query(rf"""WITH {NAMED},
+s AS (SELECT fact_id, keys, unnest({_SENTENCES.format("t")}) AS sentence, generate_subscripts({_SENTENCES.format("t")}, 1) AS place FROM named),
+k AS (SELECT fact_id, place, sentence, unnest(keys) AS key, generate_subscripts(keys, 1) AS i FROM s WHERE length(sentence) BETWEEN 12 AND 900),
+h AS (SELECT * FROM k WHERE regexp_matches(sentence, '(^|[^0-9])' || key || '([^0-9]|$)') QUALIFY row_number() OVER (PARTITION BY fact_id, place ORDER BY i) = 1),
+x AS (SELECT *, length(regexp_extract(sentence, '(?s)^(.*?)(^|[^0-9])' || key || '([^0-9]|$)', 1)) + length(regexp_extract(sentence, '(?s)^(.*?)(^|[^0-9])' || key || '([^0-9]|$)', 2)) AS a,
+  regexp_matches(sentence, '(?i)abrog|repeal') AS has_verb,
+  length(sentence) - length(replace(sentence, ' ', '')) >= length(sentence) / 12 AND list_max(list_transform(regexp_split_to_array(sentence, '\s+'), lambda w: length(w))) <= 28 AND NOT regexp_matches(sentence, '[0-9][a-zé]{{3,}}|[a-zé]{{3,}}\)') AS readable FROM h),
+r AS (SELECT *, row_number() OVER (PARTITION BY fact_id ORDER BY NOT (has_verb AND readable), CASE WHEN has_verb AND readable THEN -place ELSE place END) AS rank FROM x)
+SELECT fact_id, CAST(rank AS INT) AS rank, key, has_verb, readable, sha256(CASE WHEN a > 210 THEN '… ' ELSE '' END || substr(sentence, greatest(a - 210, 0) + 1, least(length(sentence), a + length(key) + 210) - greatest(a - 210, 0)) || CASE WHEN a + length(key) + 210 < length(sentence) THEN ' …' ELSE '' END) AS sentence
+FROM r WHERE rank <= 2""")
 def text_located(spark, sf_dir):
     return text.located(_named(spark, sf_dir), "repeals").select("fact_id", "rank", "key", "has_verb", "readable", F.sha2("sentence", 256).alias("sentence"))
 
 
-@query()
+_VERB, _OTHER = (f"(?i){t['repeals']}".replace("'", "''") for t in (text.STATES, text.OTHERWISE))
+_ANNEX = f"(?i){text.ANNEXES['repeals']}"
+_SQUEEZED = r"regexp_replace(regexp_replace({0}, '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g')"
+
+
+def _between(a: str, b: str) -> str:
+    return f"substr(t, greatest({a}, 0) + 1, greatest({b} - greatest({a}, 0), 0))"
+
+
+@query(rf"""WITH {NAMED},
+ann AS (SELECT fact_id, t, regexp_extract_all(t, '{_ANNEX}') AS f, regexp_split_to_array(t, '{_ANNEX}') AS b FROM named),
+head AS (SELECT fact_id, t, unnest(range(1, len(f) + 1)) AS j, f, b FROM ann),
+span0 AS (SELECT fact_id, t, CAST(list_sum(list_transform(b[1:j], lambda x: length(x))) AS BIGINT) + coalesce(CAST(list_sum(list_transform(f[1:j - 1], lambda x: length(x))) AS BIGINT), 0) AS a, length(f[j]) AS n FROM head),
+span AS (SELECT fact_id, a, CASE WHEN regexp_matches(substr(t, a + n + 1), '(?i){text.ANNEX_END}') THEN a + n + length(regexp_extract(substr(t, a + n + 1), '(?is)^(.*?)(?:{text.ANNEX_END})', 1)) ELSE least(length(t), a + n + 8000) END AS b FROM span0),
+spans AS (SELECT fact_id, list({{'a': a, 'b': b}}) AS spans FROM span GROUP BY fact_id),
+key AS (SELECT fact_id, t, unnest(keys) AS key, generate_subscripts(keys, 1) AS i FROM named),
+cut AS (SELECT *, string_split(t, key) AS parts FROM key WHERE contains(t, key)),
+hit AS (SELECT *, unnest(range(1, len(parts))) AS j FROM cut),
+occ0 AS (SELECT fact_id, t, key, i, CAST(list_sum(list_transform(parts[1:j], lambda x: length(x))) AS BIGINT) + (j - 1) * length(key) AS place FROM hit),
+occ AS (
+  SELECT *, list_filter({_SENTENCES.format(_between('place - 500', 'place + 500'))}, lambda x: length(x) BETWEEN 10 AND 900 AND contains(x, key)) AS near, {_between('place + length(key)', 'place + 400')} AS after, {_between('place - 1500', 'place')} AS lead
+  FROM occ0 WHERE NOT (place > 0 AND regexp_matches(substr(t, place, 1), '[0-9]')) AND NOT regexp_matches(substr(t, place + length(key) + 1, 1), '[0-9]')),
+x AS (
+  SELECT occ.*, CASE WHEN len(near) > 0 THEN near[1] ELSE regexp_replace({_between('place - 300', 'place + 300')}, '^\s+|\s+$', '', 'g') END AS sentence,
+    regexp_matches(after, '{_VERB}') AS ahead, regexp_extract(after, '(?s)^(.*?)(?:{_VERB})', 1) AS between_, regexp_extract(lead, '{_VERB}') AS v, regexp_split_to_array(lead, '{_VERB}') AS apart, regexp_extract_all(lead, '{_VERB}') AS verbs,
+    len(list_filter(coalesce(spans, []), lambda s: s.a <= place AND place < s.b)) > 0 AS annexed
+  FROM occ LEFT JOIN spans USING (fact_id)),
+y AS (
+  SELECT *, v || list_last(string_split(lead, v)) AS since, length(lead) - length(list_last(apart)) - length(list_last(verbs)) AS last
+  FROM x),
+z AS (
+  SELECT *, CASE WHEN regexp_matches(sentence, '{_VERB}') AND NOT regexp_matches(sentence, '{_OTHER}') THEN 'stated'
+    WHEN ahead AND NOT regexp_matches(between_, '{_OTHER}') AND len(list_filter(regexp_extract_all(between_, '{text.ACT_NUMBER}'), lambda n: n <> key)) = 0 THEN 'stated_ahead'
+    WHEN len(verbs) > 0 AND NOT regexp_matches(since, '(?i)\bArticle\s+\d+') THEN 'stated_in_list'
+    WHEN annexed THEN 'stated_in_annex' ELSE 'named_only' END AS way FROM y),
+e AS (
+  SELECT *, CASE WHEN way = 'stated_ahead' THEN 'stated' ELSE way END AS class,
+    CASE way WHEN 'stated_ahead' THEN {_SQUEEZED.format(_between('place', 'place + 300'))}
+      WHEN 'stated_in_list' THEN regexp_replace(substr(lead, greatest(last - 80, 0) + 1) || ' ⟶ ' || {_between('place', 'place + 160')}, '^\s+|\s+$', '', 'g')
+      WHEN 'stated_in_annex' THEN 'annexe des actes abrogés ⟶ ' || {_SQUEEZED.format(_between('place - 120', 'place + 140'))} ELSE sentence END AS evidence
+  FROM z),
+r AS (SELECT *, row_number() OVER (PARTITION BY fact_id ORDER BY list_position(['stated', 'stated_in_list', 'stated_in_annex', 'named_only'], class), CASE WHEN class = 'stated' THEN -i ELSE i END, CASE WHEN class = 'stated' THEN -place ELSE place END) AS r FROM e)
+SELECT named.fact_id, coalesce(class, 'not_named') AS class, key, sha256(substr(evidence, 1, 400)) AS evidence FROM named LEFT JOIN (SELECT * FROM r WHERE r = 1) AS best USING (fact_id)""")
 def text_stated(spark, sf_dir):
     found = text.stated(_named(spark, sf_dir), "repeals")
-    return found.groupBy("class").agg(F.count(F.lit(1)).alias("n"))
+    return found.select("fact_id", "class", "key", F.sha2("evidence", 256).alias("evidence"))
 
 
 def _articles(spark, sf_dir):
@@ -459,6 +650,19 @@ def _articles(spark, sf_dir):
     return cust.selectExpr("concat('a', c_custkey) as name", f"{xml} as xml")
 
 
+ARTICLE_XML = (
+    "'<article><front><article-meta><article-id pub-id-type=\"doi\">10.1/' || c_custkey || '</article-id><article-id pub-id-type=\"pmid\">' || (c_custkey + 1000) || '</article-id>'"
+    " || '<title-group><article-title>On <i>' || c_mktsegment || '</i></article-title></title-group>'"
+    " || '<contrib-group><contrib contrib-type=\"author\"><name><surname>S' || c_nationkey || '</surname><given-names>G' || (c_custkey % 7) || '</given-names></name></contrib></contrib-group>'"
+    " || '<pub-date><day>1</day><year>' || (1990 + c_nationkey) || '</year></pub-date>' || CASE WHEN c_custkey % 4 = 0 THEN '<pub-date><year>' || (1991 + c_nationkey) || '</year></pub-date>' ELSE '' END || '</article-meta></front></article>'"
+)
+
+
+@query(f"SELECT 'a' || c_custkey AS document, sha256({ARTICLE_XML}) AS sha256, CAST(length({ARTICLE_XML}) AS BIGINT) AS characters, CAST(5 AS INT) AS n_facts FROM customer")
+def document_truth(spark, sf_dir):
+    return documents.truth(_articles(spark, sf_dir)).select("document", "sha256", "characters", F.size("facts").alias("n_facts"))
+
+
 _ARTICLE = "'a' || c_custkey AS name, '10.1/' || c_custkey AS doi, CAST(c_custkey + 1000 AS VARCHAR) AS pmid, 'On ' || c_mktsegment AS title, 'G' || (c_custkey % 7) || ' S' || c_nationkey AS authors"
 
 
@@ -474,10 +678,74 @@ def document_reader_all(spark, sf_dir):
     return rows.select("name", *[F.element_at("f", F.lit(k)).alias(k) for k in ("doi", "pmid", "title", "authors", "year")])
 
 
-@query()
+def _choice(form: str, what: str, n: int | str) -> str:
+    return f"CAST(CAST(('0x' || substr(sha256('{SEED}|' || name || '|{form}|{what}'), 1, 13)) AS BIGINT) % {n} AS INT)"
+
+
+@query(f"""WITH a AS (SELECT c_custkey AS k, {_ARTICLE}, 1990 + c_nationkey AS y, 'S' || c_nationkey AS last, 'G' || (c_custkey % 7) AS first FROM customer),
+b AS (
+  SELECT *, doi || '/;' || ({_choice("form-192", "year", 11)} + 2015) || ';' || ({_choice("form-192", "number", 60)} + 1) AS doi1, ['two-digit', 'interval', 'bare-with-season'][{_choice("form-198", "shape", 3)} + 1] AS shape,
+    ['Wang', 'Li', 'Chen'][{_choice("form-026", "name", 3)} + 1] AS surname FROM a),
+c AS (SELECT *, {_choice("form-118", "place", "(length(doi1) - 1)")} + 1 AS place, CASE shape WHEN 'two-digit' THEN substr(CAST(y AS VARCHAR), 3) WHEN 'interval' THEN y || '-' || (y + 1) ELSE 'Spring ' || y END AS year1 FROM b),
+d AS (SELECT *, substr(doi1, 1, place) || chr(8203) || substr(doi1, place + 1) AS doi2 FROM c),
+e AS (SELECT *, doi2 || '.r00' || ({_choice("form-107", "review", 3)} + 1) AS doi3, first || ' ' || surname AS renamed FROM d),
+r AS (
+  SELECT 'first' AS reader, name AS document, 'doi' AS field, doi AS truth, 1 AS copies, true AS aimed_at, doi2 AS read_back FROM e
+  UNION ALL SELECT 'first', name, 'pmid', pmid, 1, true, 'PMC' || pmid FROM e
+  UNION ALL SELECT 'first', name, 'year', CAST(y AS VARCHAR), 1, true, CASE WHEN k % 4 = 0 THEN CAST(y + 1 AS VARCHAR) END FROM e
+  UNION ALL SELECT 'first', name, 'title', title, 0, false, title FROM e
+  UNION ALL SELECT 'first', name, 'authors', authors, NULL, true, renamed FROM e
+  UNION ALL SELECT 'all', name, 'doi', doi, 1, true, 'DISAGREEMENT: ' || doi2 || ' ≠ ' || doi3 FROM e
+  UNION ALL SELECT 'all', name, 'pmid', pmid, 1, true, 'PMC' || pmid FROM e
+  UNION ALL SELECT 'all', name, 'year', CAST(y AS VARCHAR), 1, true, CASE WHEN k % 4 = 0 THEN 'DISAGREEMENT: ' || year1 || ' ≠ ' || (y + 1) ELSE year1 END FROM e
+  UNION ALL SELECT 'all', name, 'title', title, 0, false, title FROM e
+  UNION ALL SELECT 'all', name, 'authors', authors, NULL, true, 'DISAGREEMENT: ' || renamed || ' ≠ ' || substr(first, 1, 1) || '. ' || surname || ' et al.' FROM e)
+SELECT reader, document, field, CASE WHEN read_back IS NULL THEN 'lost' WHEN read_back = truth THEN 'held' WHEN starts_with(read_back, 'DISAGREEMENT:') THEN 'flagged' ELSE 'wrong' END AS state, aimed_at, CAST(copies AS BIGINT) AS copies, truth, read_back FROM r""")
 def document_judge(spark, sf_dir):
-    got = documents.judge(documents.inject(_articles(spark, sf_dir), list(documents.FORMS), SEED))
-    return got.groupBy("field", "state", "aimed_at").agg(F.count(F.lit(1)).alias("n"))
+    """All forms of damage on every article, read back by both readers."""
+    damaged = documents.inject(_articles(spark, sf_dir), list(documents.FORMS), SEED)
+    first, every = (documents.judge(damaged, reader).withColumn("reader", F.lit(name)) for name, reader in (("first", documents.read_first), ("all", documents.read_all)))
+    return first.unionByName(every)
+
+
+_LETTERS = "translate({0}, '0123456789', 'abcdefghij')"
+
+
+def _papers(spark, sf_dir):
+    """Articles of two authors, some with a running head that abbreviates the first."""
+    word = lambda c: _LETTERS.format(f"cast({c} as string)")
+    one = f"concat('Fam', {word('c_custkey % 90')})"
+    contrib = "'<contrib contrib-type=\"author\"><name><surname>', {0}, '</surname><given-names>', {1}, '</given-names></name></contrib>'"
+    head = f"case c_custkey % 3 when 0 then concat('<alt-title alt-title-type=\"running-head\">G. ', {one}, ' et al.</alt-title>') when 1 then '<alt-title alt-title-type=\"running-head\">On it</alt-title>' else '' end"
+    first = contrib.format(one, f"concat('Gi', {word('c_custkey')})")
+    second = contrib.format(f"concat('Fam', {word('c_custkey % 45')})", "'Ha'")
+    return driver.table(spark, sf_dir, "customer").selectExpr("concat('a', c_custkey) as document", f"concat('<article><title-group>', {head}, '</title-group>', {first}, {second}, '</article>') as xml")
+
+
+PAPERS = f"""paper AS (SELECT 'a' || c_custkey AS document, c_custkey % 3 = 0 AS abbreviated, 'Gi' || {_LETTERS.format("CAST(c_custkey AS VARCHAR)")} || ' Fam' || {_LETTERS.format("CAST(c_custkey % 90 AS VARCHAR)")} AS one,
+  'Ha Fam' || {_LETTERS.format("CAST(c_custkey % 45 AS VARCHAR)")} AS two, 'G. Fam' || {_LETTERS.format("CAST(c_custkey % 90 AS VARCHAR)")} AS head FROM customer)"""
+
+
+@query(f"WITH {PAPERS} SELECT document, one || '|' || two || CASE WHEN abbreviated THEN '|' || head ELSE '' END AS mentions FROM paper")
+def article_mentions(spark, sf_dir):
+    return _papers(spark, sf_dir).select("document", F.array_join(documents.mentions(F.col("xml")), "|").alias("mentions"))
+
+
+@query(f"""WITH {PAPERS}, m AS (SELECT one AS x FROM paper UNION SELECT two FROM paper)
+SELECT false AS with_filter, (SELECT count(*) FROM (SELECT x FROM m UNION SELECT head FROM paper WHERE abbreviated)) AS identities, (SELECT count(*) FROM paper WHERE abbreviated) AS splits
+UNION ALL SELECT true, (SELECT count(*) FROM m), 0""")
+def article_identities(spark, sf_dir):
+    """Identities of an assembly that takes every mention, and of one that resolves them first."""
+    papers = _papers(spark, sf_dir)
+    page_one = papers.select("document", F.explode(documents.authors(F.col("xml"))).alias("name"))
+    mentions = papers.select("document", F.explode(documents.mentions(F.col("xml"))).alias("name"))
+    rows = None
+    for with_filter in (False, True):
+        count, apart = identities.assembled(mentions, page_one, with_filter)
+        own = count.select("identities", F.lit(0).cast("long").alias("splits")).unionByName(apart.agg(F.lit(0).cast("long").alias("identities"), F.count(F.lit(1)).alias("splits")))
+        own = own.agg(F.sum("identities").alias("identities"), F.sum("splits").alias("splits")).withColumn("with_filter", F.lit(with_filter))
+        rows = own if rows is None else rows.unionByName(own)
+    return rows
 
 
 @query(r"""WITH one AS (SELECT 'd' || (c_custkey % 50) AS document, translate('Given' || c_custkey || ' Fam' || (c_custkey % 90), '0123456789', 'abcdefghij') AS name, translate('G. Fam' || (c_custkey % 90), '0123456789', 'abcdefghij') AS mention FROM customer),
@@ -497,21 +765,94 @@ def canonical_row_hash(spark, sf_dir):
     return canon.row_json(rows).select("n_nationkey", F.sha2("canonical", 256).alias("digest"))
 
 
-@query(r"""SELECT 'http://x/n/' || n_nationkey AS s, 'http://x/name' AS p, CAST(NULL AS VARCHAR) AS o_uri, n_name || chr(10) || '"é"' AS o_lit FROM nation UNION ALL SELECT 'http://x/n/' || n_nationkey, 'http://x/in', 'http://x/r/' || n_regionkey, NULL FROM nation""")
+@query(r"""SELECT 'http://x/n/' || n_nationkey AS s, 'http://x/name' AS p, CAST(NULL AS VARCHAR) AS o_uri, n_name || chr(10) || '"é"' AS o_lit FROM nation UNION ALL SELECT 'http://x/n/' || n_nationkey, 'http://x/in', 'http://x/r/' || n_regionkey, NULL FROM nation
+UNION ALL SELECT 'http://x/n/' || n_nationkey, 'http://x/key', NULL, CAST(n_nationkey AS VARCHAR) FROM nation""")
 def n_triples_scan(spark, sf_dir):
     nation = driver.table(spark, sf_dir, "nation")
     lit = nation.select(F.concat(F.lit("<http://x/n/"), "n_nationkey", F.lit('>\t<http://x/name>\t"'), "n_name", F.lit('\\n\\"\\u00e9\\""@en .')).alias("value"))
     uri = nation.select(F.concat(F.lit("<http://x/n/"), "n_nationkey", F.lit(">\t<http://x/in>\t<http://x/r/"), "n_regionkey", F.lit("> .")).alias("value"))
-    return records.triples(lit.unionByName(uri).unionByName(nation.select(F.lit("no triple").alias("value"))))
+    typed = nation.select(F.concat(F.lit("<http://x/n/"), "n_nationkey", F.lit('>\t<http://x/key>\t"'), "n_nationkey", F.lit('"^^<http://x/int> .')).alias("value"))
+    # Not in the grammar: no full stop, blanks after it, a language in capitals, blanks for tabs.
+    bad = ('<http://x/a>\t<http://x/b>\t"c"', '<http://x/a>\t<http://x/b>\t"c" . ', '<http://x/a>\t<http://x/b>\t"c"@EN .', '<http://x/a>\t<http://x/b>\t<http://x/c>.', "<http://x/a> <http://x/b> <http://x/c> .", "no triple")
+    return records.triples(lit.unionByName(uri).unionByName(typed).unionByName(spark.createDataFrame([(b,) for b in bad], "value string")))
+
+
+_AT = "http://x/act/"
+_PROPERTIES = {"http://x/p/celex": "celex", "http://x/p/date": "date_document", "http://x/p/type": "types"}
+
 
+def _pages(spark, sf_dir):
+    """The acts as pages of triples: keys and dates as literals, types as links."""
+    acts, head = driver.acts(spark, sf_dir), F.concat(F.lit(f"<{_AT}"), "id", F.lit(">\t<http://x/p/"))
+    celex = acts.where("celex <> ''").select(F.concat(head, F.lit('celex>\t"'), "celex", F.lit('" .')).alias("value"))
+    date = acts.where("date_document <> ''").select(F.concat(head, F.lit('date>\t"'), "date_document", F.lit('"^^<http://x/date> .')).alias("value"))
+    types = acts.select("id", F.explode("labels").alias("t")).select(F.concat(head, F.lit("type>\t<http://x/t/"), "t", F.lit("> .")).alias("value"))
+    return records.triples(celex.unionByName(date).unionByName(types))
 
-@query(r"""WITH RECURSIVE t AS (SELECT DISTINCT s_nationkey AS s, c_nationkey AS o FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN supplier ON s_suppkey = l_suppkey WHERE l_returnflag = 'R' AND l_quantity >= 50),
-a AS (SELECT s, o, 0 AS k FROM t WHERE s < 3 UNION SELECT a.s, t.o, k + 1 FROM a JOIN t ON a.o = t.s WHERE k < 3)
+
+@query(f"""WITH {ACTS} SELECT id, 'celex' AS property, celex AS value, NULL AS several FROM node WHERE celex <> '' UNION ALL SELECT id, 'date_document', date_document, NULL FROM node WHERE date_document <> ''
+UNION ALL SELECT id, 'types', label, label || ',Work' FROM node""")
+def property_values_of_pages(spark, sf_dir):
+    values = records.smallest_values(records.property_values(_pages(spark, sf_dir), _PROPERTIES, _AT, ""))
+    return values.select("id", "property", "value", F.array_join("all", ",").alias("several"))
+
+
+@query("SELECT 'types' AS property, count(*) AS n FROM orders")
+def multi_valued_properties(spark, sf_dir):
+    return records.multi_valued(records.property_values(_pages(spark, sf_dir), _PROPERTIES, _AT, ""))
+
+
+@query(f"WITH {FACTS} SELECT s, p, o FROM fact")
+def relation_facts_of_pages(spark, sf_dir):
+    link = lambda c: F.concat(F.lit(f"<{_AT}"), c, F.lit(">"))
+    lines = driver.act_facts(spark, sf_dir).select(F.concat_ws("\t", link("s"), F.concat(F.lit("<http://x/r/"), "p", F.lit(">")), F.concat(link("o"), F.lit(" ."))).alias("value"))
+    return records.relation_facts(records.triples(lines), {f"http://x/r/{p}": p for p in ("repeals", "amends", "based_on")}, _AT, "")
+
+
+@query(r"""WITH e AS (
+  SELECT l_orderkey * 8 + l_linenumber AS seq, 0 AS side, 's:' || l_suppkey AS id, ['L' || l_linenumber, '_x'] AS labels, l_returnflag AS status FROM lineitem
+  UNION ALL SELECT l_orderkey * 8 + l_linenumber, 1, 'p:' || l_partkey, ['Part', '_y'], l_linestatus FROM lineitem)
+SELECT id, labels[1] AS labels, status FROM e QUALIFY row_number() OVER (PARTITION BY id ORDER BY seq, side, labels, status) = 1""")
+def first_seen_endpoints(spark, sf_dir):
+    rows = driver.table(spark, sf_dir, "lineitem").selectExpr(
+        "concat('s:', l_suppkey) as s", "concat('p:', l_partkey) as o", "l_orderkey * 8 + l_linenumber as seq",
+        "struct(array(concat('L', l_linenumber), '_x') as labels, l_returnflag as status) as s_node", "struct(array('Part', '_y') as labels, l_linestatus as status) as o_node",
+    )
+    return records.first_seen(rows, ["labels", "status"]).select("id", F.array_join("labels", ",").alias("labels"), "status")
+
+
+@query(r"""SELECT 'http://x/w/' || c_custkey AS id, CASE WHEN c_custkey % 5 = 0 AND c_custkey % 10 <> 0 THEN 'fr ' || c_name WHEN c_custkey % 3 <> 0 THEN c_name || '-1' END AS title FROM customer WHERE c_custkey % 3 <> 0 OR c_custkey % 5 = 0""")
+def titles_merged(spark, sf_dir):
+    """The first title of each wanted work, and another source's where it has one."""
+    cust = driver.table(spark, sf_dir, "customer")
+    found = cust.selectExpr("c_custkey", "c_name", "explode(sequence(1, 2)) as j").selectExpr("concat('http://x/w/', c_custkey, '.', j) as s", "case when c_custkey % 11 = 0 and j = 2 then 'http://x#other' else 'http://x#expression_title' end as p", "concat(c_name, '-', j) as o_lit", "j as seq")
+    wanted = cust.where("c_custkey % 3 <> 0").selectExpr("concat('http://x/w/', c_custkey) as id")
+    other = cust.where("c_custkey % 5 = 0").selectExpr("concat('http://x/w/', c_custkey) as id", "case when c_custkey % 10 <> 0 then concat('fr ', c_name) else '' end as title")
+    return records.merged_titles(records.titles(found, wanted), other)
+
+
+@query(r"""SELECT 'd' || doc_id AS key, CASE WHEN coalesce(text, '') = '' THEN 'none' WHEN doc_id % 3 = 0 THEN 'lot/fr' WHEN doc_id % 5 <> 0 THEN 'dump/en' ELSE 'none' END AS source,
+  CAST(CASE WHEN coalesce(text, '') = '' THEN 0 WHEN doc_id % 3 = 0 THEN length(text) WHEN doc_id % 5 <> 0 THEN length(text) + 1 ELSE 0 END AS BIGINT) AS n_chars FROM documents""")
+def best_text_of_sources(spark, sf_dir):
+    docs = driver.table(spark, sf_dir, "documents").selectExpr("concat('d', doc_id) as key", "doc_id", "coalesce(text, '') as text")
+    lot = docs.selectExpr("key", "case when doc_id % 3 = 0 then text else '' end as text", "'lot/fr' as source", "1 as priority")
+    dump = docs.selectExpr("key", "case when doc_id % 5 <> 0 and text <> '' then concat(text, '!') else '' end as text", "'dump/en' as source", "2 as priority")
+    return records.best_text(lot.unionByName(dump), docs).select("key", "source", F.length("text").cast("long").alias("n_chars"))
+
+
+@query(r"""SELECT 'c' || o_custkey AS key, arg_max(o_orderkey, o_orderkey) AS uuid, arg_max(o_orderpriority, o_orderkey) AS langs FROM orders WHERE o_orderkey % 4 <> 0 GROUP BY o_custkey""")
+def index_last_wins(spark, sf_dir):
+    rows = driver.table(spark, sf_dir, "orders").selectExpr("concat('c', o_custkey) as key", "o_orderkey as uuid", "case when o_orderkey % 4 <> 0 then o_orderpriority else '' end as langs", "o_orderkey as seq")
+    return records.index_rows(rows, "key", "langs", "seq").select("key", "uuid", "langs")
+
+
+@query(f"""WITH RECURSIVE {TRADES},
+a AS (SELECT s, o, 0 AS k FROM t UNION SELECT a.s, t.o, k + 1 FROM a JOIN t ON a.o = t.s WHERE k < 3)
 SELECT 'n:' || s AS source, 'n:' || o AS target, CAST(min(k) AS INT) AS steps FROM a WHERE k > 0 GROUP BY ALL""")
 def path_of_bounded_length(spark, sf_dir):
+    """From the partners of every nation by one to three trades."""
     trades = driver.trades(spark, sf_dir)
-    start = trades.where("cast(substring(s, 3) as int) < 3").withColumn("p", F.lit("first"))
-    return laws.path_ends(trades.unionByName(start), "first", ("trades",), 3)
+    return laws.path_ends(trades.unionByName(trades.withColumn("p", F.lit("first"))), "first", ("trades",), 3)
 
 
 @query(r"""SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n, count(*) FILTER (WHERE value < 10) AS n_broken FROM events GROUP BY ALL""")
@@ -519,12 +860,18 @@ def windowed_law_check(spark, sf_dir):
     return stream_laws.violations_by_window(driver.table(spark, sf_dir, "events"), F.col("value") < 10).withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
-@query()
+@query(f"""WITH {ACTS}, {FACTS}, {LAWS}, e AS (SELECT s AS id FROM fact UNION SELECT o FROM fact),
+own AS (SELECT e.id, coalesce(status, 'missing') AS status FROM e LEFT JOIN node USING (id)),
+bare AS (SELECT id, CASE WHEN o = 'o:0' THEN array_to_string(list_filter(string_split(laws, '+'), lambda x: x <> 'L3'), '+') ELSE laws END AS laws FROM broken)
+SELECT 'node ' || status AS what, count(*) AS n FROM own GROUP BY status UNION ALL SELECT 'fact ' || p, count(*) FROM fact GROUP BY p
+UNION ALL SELECT 'fault sentinel_date', count(*) FROM own WHERE status = 'sentinel' HAVING count(*) > 0 UNION ALL SELECT 'fault empty_target', count(*) FROM fact WHERE o = 'o:0' HAVING count(*) > 0
+UNION ALL SELECT 'fault law_violation', count(*) FROM bare WHERE laws <> '' HAVING count(*) > 0 UNION ALL SELECT 'gap', count(*) FROM node WHERE gap HAVING count(*) > 0
+UNION ALL SELECT 'reserve date_inconsistent_with_key', count(*) FROM own WHERE status = 'inconsistent' HAVING count(*) > 0""")
 def truth_from_edges(spark, sf_dir):
     """A frozen truth: facts, nodes, faults, gaps and reserves, counted."""
     nodes = driver.acts(spark, sf_dir)
-    values = nodes.select("id", F.explode(F.create_map(F.lit("celex"), "celex", F.lit("date_document"), "date_document")).alias("property", "value")).where("value <> ''")
-    t = records.build(driver.act_facts(spark, sf_dir), values, nodes.where("gap").select(F.col("id").alias("node")))
+    values = nodes.select("id", F.explode(F.create_map(F.lit("celex"), "celex", F.lit("date_document"), "date_document", F.lit("date_end_of_validity"), "date_end_of_validity")).alias("property", "value")).where("value <> ''")
+    t = records.build(driver.act_facts(spark, sf_dir), values, nodes.where("gap").select(F.col("id").alias("node")), empty_target="o:0")
     parts = [t.nodes.select(F.concat(F.lit("node "), "date_document_status").alias("what")), t.facts.select(F.concat(F.lit("fact "), "p").alias("what")), t.faults.select(F.concat(F.lit("fault "), "kind").alias("what")), t.gaps.select(F.lit("gap").alias("what")), t.reserves.select(F.concat(F.lit("reserve "), "kind").alias("what"))]
     rows = parts[0]
     for p in parts[1:]:
