@@ -4,24 +4,31 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom._ship import ship
 
+#: Bytes of an Arrow batch on its way to a Python worker; a count of rows alone would not bound long texts.
+BATCH_BYTES = 4 << 20
 _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset (tests on a
-    local master) is a folder of our own made, once for each session.
+    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset on a local master
+    (tests) is a folder of our own made, once for each session; elsewhere that is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = "file://" + tempfile.mkdtemp(prefix="factloom-")
@@ -64,7 +71,38 @@ def read(spark: SparkSession, sf_dir: str, table: str, *cols: str) -> DataFrame:
     return df.select(*cols) if cols else df
 
 
+def _bounded(spark: SparkSession) -> None:
+    ship(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def map_arrow(df: DataFrame, run, schema) -> DataFrame:
-    """``mapInArrow``, with this package sent to the workers."""
-    ship(df.sparkSession)
+    """``mapInArrow``, with this package sent to the workers and batches of at most ``BATCH_BYTES``."""
+    _bounded(df.sparkSession)
     return df.mapInArrow(run, schema)
+
+
+def arrow_column(spark: SparkSession, run, kind, *cols: Column) -> Column:
+    """A column made by Python from ``cols`` alone; the other columns of the row stay in the JVM.
+
+    ``run``: an iterator of tuples of arrays to an iterator of arrays as long. It runs once, where the column is made.
+    """
+    _bounded(spark)
+
+    def each(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        yield from run((b,) if isinstance(b, pa.Array) else b for b in batches)
+
+    one: type = Iterator[pa.Array] if len(cols) == 1 else Iterator[tuple[(pa.Array,) * len(cols)]]
+    each.__annotations__ = {"batches": one, "return": Iterator[pa.Array]}
+    return F.arrow_udf(each, kind).asNondeterministic()(*cols)
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], n: str, total: int) -> DataFrame:
+    """``rows`` with the one row of their group; ``n``: rows of the group, of ``total``.
+
+    Groups of a thousandth of all rows or more, of which there are at most a thousand, are broadcast, so that no key gathers its rows in one task.
+    """
+    hot = materialise(groups.where(F.col(n) * 1000 >= total).drop(n), "hot-groups")
+    near = rows.join(F.broadcast(hot), keys)
+    far = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(groups.where(F.col(n) * 1000 < total).drop(n), keys)
+    return near.unionByName(far)

@@ -10,12 +10,13 @@ original text.
 The benchmark is the stated query set. Its windows are streamed to the driver and broadcast
 in blocks of at most ``block_bytes``; a benchmark of one block (the usual case) is one scan, a
 larger one a chain of scans in the same task, one automaton each, so no broadcast grows beyond
-the block size. The documents are never shuffled.
+the block size. The documents are never shuffled, and only their text goes to Python, a few megabytes at a time.
 
 Defined cases: a null or empty text has no words and no hits; a benchmark item whose text is
 null or has no word has no window; an item whose id is null marks words, but is not listed; an item
 id that stands on several rows counts once; repeated documents are separate rows; an empty
-benchmark leaves every document clean.
+benchmark leaves every document clean; a text of any length is scanned whole; other columns pass through
+unread.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from factloom.llm._common import fresh, map_arrow
+from factloom.llm._common import arrow_column, fresh
 
 WINDOW = 10
 BLOCK_BYTES = 4 << 20
@@ -141,34 +142,44 @@ def resolve(text: bytes, hits: list[tuple[int, int, str | None]]) -> tuple[int,
 
 
 def find(docs: DataFrame, benchmark: DataFrame, out: str = "found", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``docs`` (all its columns, with ``text``) and a struct column ``out``: n_words, hits (by word), n_hit, item_ids, spans."""
-    spark: SparkSession = docs.sparkSession
+    """``docs`` (all its columns, with ``text``) and a struct column ``out``: n_words, hits (by word), n_hit, item_ids, spans.
+
+    A column that is already named ``out`` raises ValueError.
+    """
     if out in docs.columns:
         raise ValueError(f"documents already have a column {out}")
-    names = docs.columns
-    acc = fresh(docs, "_hits")
-    df = docs.withColumn(acc, F.lit(None).cast(_HITS))
-    blocks = list(_blocks(benchmark, window, block_bytes))
-    for k, block in enumerate(blocks):
-        final = k == len(blocks) - 1
-        kept = T.StructType([*docs.schema.fields, T.StructField(out, _FOUND) if final else T.StructField(acc, _HITS)])
-        df = map_arrow(df, _scanner(spark.sparkContext.broadcast(block), names, acc, final, kept), kept)
-    return df
-
-
-def _scanner(block, names: list[str], acc: str, final: bool, schema: T.StructType):
+    acc, df = fresh(docs, "_hits"), docs
+    text, before = F.col("text").cast("string"), F.lit(None).cast(_HITS)
+    for block, final in _with_last(_blocks(benchmark, window, block_bytes)):
+        df = df.withColumn(out if final else acc, arrow_column(docs.sparkSession, _scanner(_sent(docs.sparkSession, block), final), _FOUND if final else _HITS, text, before))
+        before = F.col(acc)
+    return df.drop(acc)
+
+
+def _with_last(blocks: Iterator[dict]) -> Iterator[tuple[dict, bool]]:
+    held = next(blocks)
+    for block in blocks:
+        yield held, False
+        held = block
+    yield held, True
+
+
+def _sent(spark: SparkSession, block: dict[bytes, list[str]]):
+    return spark.sparkContext.broadcast((uuid.uuid4().hex, block))
+
+
+def _scanner(block, final: bool):
+    """Hits of one block added to those before; with the last block, what they come to."""
     from pyspark.sql.pandas.types import to_arrow_type
 
-    kind = to_arrow_type(schema.fields[-1].dataType)
-    key = uuid.uuid4().hex
+    kind = to_arrow_type(_FOUND if final else _HITS)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        auto = automaton(block.value, key)
-        for batch in batches:
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        key, patterns = block.value
+        auto = automaton(patterns, key)
+        for texts, before in batches:
             out = []
-            before = batch.column(batch.schema.get_field_index(acc))
-            text = batch.column(batch.schema.get_field_index("text")).cast(pa.binary())
-            for t, old in zip(text, before, strict=True):
+            for t, old in zip(texts.cast(pa.binary()), before, strict=True):
                 raw = t.as_py()
                 n, hits = scan(raw, auto)
                 if old.is_valid:
@@ -179,13 +190,31 @@ def _scanner(block, names: list[str], acc: str, final: bool, schema: T.StructTyp
                     out.append({"n_words": n, "hits": rows, "n_hit": n_hit, "item_ids": ids, "spans": [{"start": a, "end": b} for a, b in spans]})
                 else:
                     out.append(rows)
-            cols = [batch.column(batch.schema.get_field_index(c)) for c in names]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(out, kind)], names=[f.name for f in schema.fields])
+            yield pa.array(out, kind)
 
     return run
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The documents without any window of the benchmark, with their own columns."""
-    out = fresh(docs, "found")
-    return find(docs, benchmark, out, window).where(F.col(out)["n_hit"] == 0).select(*docs.columns)
+def _clean(block):
+    """Whether a text has no window of the block; the scan of a text ends at its first match."""
+
+    def run(batches: Iterator[tuple[pa.Array]]) -> Iterator[pa.Array]:
+        key, patterns = block.value
+        auto = automaton(patterns, key)
+        for (texts,) in batches:
+            yield pa.array([not has_match(t.as_py(), auto) for t in texts.cast(pa.binary())], pa.bool_())
+
+    return run
+
+
+def has_match(text: bytes | None, auto) -> bool:
+    w = words(text)
+    return bool(w) and len(auto) > 0 and next(auto.iter((b" " + b" ".join(w) + b" ").decode("latin-1")), None) is not None
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The documents without any window of the benchmark, with their own columns; only the text goes through Python, and only a flag comes back."""
+    spark, kept = docs.sparkSession, docs
+    for block in _blocks(benchmark, window, block_bytes):
+        kept = kept.where(arrow_column(spark, _clean(_sent(spark, block)), "boolean", F.col("text").cast("string")))
+    return kept

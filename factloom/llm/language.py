@@ -4,15 +4,17 @@ A word is a run of letters. Its script (by Unicode range of its first letter) na
 candidates to the languages that training saw in that script; a word has a score per candidate, the
 sum of log likelihoods of its character 1- to 4-grams (hashed into a fixed table). Viterbi decoding over the
 words of a document with a switching penalty labels every word; runs of one label are the spans. The document's
-language is the one with the most letters, its score their share of all letters.
+language is the one with the most letters, its score the share of all letters that stand in its words of a script
+with candidates.
 
 The model is fitted on at most ``per_language`` documents a language in expectation (chosen by a hash of the
 text, so copies count once); that bound is the only one. Model size is 4 x ``BUCKETS`` x languages,
 whatever the input. Prediction sees the text alone, whole, in one narrow pass.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0 and no span; nothing learned
-makes every text ``und``; a word of a script without candidates is no evidence and joins its neighbours' span; ties go to
-the language first in order; repeated rows are predicted each.
+makes every text ``und``; a word of a script without candidates is no evidence and joins its neighbours' span, so a text
+of nothing else has the score 0; ties go to the language first in order; repeated rows are predicted each; a very long text is
+scored in pieces cut between words and decoded whole.
 """
 
 from __future__ import annotations
@@ -26,14 +28,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from factloom.llm._common import fresh, map_arrow
+from factloom.llm._common import arrow_column, fresh, map_arrow
 
 BUCKETS = 1 << 16
 ORDERS = 4
 PER_LANGUAGE = 4000
 PENALTY = 8.0
-CHUNK_CHARS = 4 << 20
-PIECE_CHARS = 1 << 19
+CHUNK_CHARS = 1 << 20
+PIECE_CHARS = 1 << 18
 UNKNOWN = "und"
 
 # First and last code point of Unicode script ranges.
@@ -133,6 +135,10 @@ class Model:
     log: np.ndarray  # orders x buckets x languages
     candidates: np.ndarray  # scripts x languages
 
+    def known(self, w: Words) -> np.ndarray:
+        """Whether the script of each word has a candidate."""
+        return self.candidates[w.script].any(1)
+
     def scores(self, w: Words) -> np.ndarray:
         """Words x languages; a language that is no candidate for the script is far below."""
         out = np.zeros((len(w.start), len(self.languages)), np.float32)
@@ -266,13 +272,14 @@ def label_texts(model: Model, texts: list[str | None], penalty: float = PENALTY)
         w = split("\n".join(x[2] for x in group))
         part = np.searchsorted(begin, w.start, "right") - 1
         shift = np.array([x[1] for x in group]) - begin[:-1]
-        found.append((np.array([x[0] for x in group])[part], w.start + shift[part], w.end + shift[part], model.scores(w)))
+        found.append((np.array([x[0] for x in group])[part], w.start + shift[part], w.end + shift[part], model.known(w), model.scores(w)))
     if not found:
         return out
-    doc, start, end, scores = (np.concatenate(x) for x in zip(*found, strict=True))
+    doc, start, end, known, scores = (np.concatenate(x) for x in zip(*found, strict=True))
     label = viterbi(scores, np.bincount(doc, minlength=len(texts)), penalty)
-    letters = np.zeros((len(texts), len(model.languages)), np.int64)
+    letters, evident = np.zeros((2, len(texts), len(model.languages)), np.int64)
     np.add.at(letters, (doc, label), end - start)
+    np.add.at(evident, (doc[known], label[known]), (end - start)[known])
     cut = np.flatnonzero(np.concatenate([[True], (np.diff(doc) != 0) | (np.diff(label) != 0)])) if len(doc) else np.zeros(0, np.int64)
     stop = np.concatenate([cut[1:], [len(doc)]]) - 1
     spans: dict[int, list[dict]] = {}
@@ -280,37 +287,43 @@ def label_texts(model: Model, texts: list[str | None], penalty: float = PENALTY)
         spans.setdefault(int(doc[a]), []).append({"start": int(start[a]), "end": int(end[b]), "lang": model.languages[label[a]]})
     for d, own in spans.items():
         best = int(letters[d].argmax())
-        out[d] = {"lang_pred": model.languages[best], "score": float(letters[d, best] / letters[d].sum()), "spans": own}
+        out[d] = {"lang_pred": model.languages[best], "score": float(evident[d, best] / letters[d].sum()), "spans": own}
     return out
 
 
 def identify(docs: DataFrame, model: Model, out: str = "language", penalty: float = PENALTY) -> DataFrame:
-    """``docs`` and a struct column ``out``: lang_pred, score, spans."""
+    """``docs`` and a struct column ``out``: lang_pred, score, spans. A column that is already named ``out`` raises ValueError."""
     if out in docs.columns:
         raise ValueError(f"documents already have a column {out}")
+    return docs.withColumn(out, _labelled(docs.sparkSession, model, penalty, _FOUND))
+
+
+def _labelled(spark, model: Model, penalty: float, kind: T.StructType):
+    """The fields of ``kind`` for each text."""
     from pyspark.sql.pandas.types import to_arrow_type
 
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-    kind, limit = to_arrow_type(_FOUND), max(1, CHUNK_CHARS * 4 // max(4, len(model.languages)))
+    sent = spark.sparkContext.broadcast(model)
+    arrow, limit = to_arrow_type(kind), max(1, CHUNK_CHARS * 4 // max(4, len(model.languages)))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, found, held = [], [], 0
-            for t in batch.column(batch.schema.get_field_index("text")):
+    def run(batches: Iterator[tuple[pa.Array]]) -> Iterator[pa.Array]:
+        for (column,) in batches:
+            texts, parts, held = [], [], 0
+            for t in column:
                 t = t.as_py()
                 texts.append(t)
                 held += len(t or "")
                 if held >= limit:
-                    found += label_texts(sent.value, texts, penalty)
+                    parts.append(pa.array(label_texts(sent.value, texts, penalty), arrow))
                     texts, held = [], 0
-            found += label_texts(sent.value, texts, penalty) if texts else []
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, kind)], names=[*batch.schema.names, out])
+            if texts:
+                parts.append(pa.array(label_texts(sent.value, texts, penalty), arrow))
+            yield pa.concat_arrays(parts) if parts else pa.array([], arrow)
 
-    return map_arrow(docs, run, T.StructType([*docs.schema.fields, T.StructField(out, _FOUND)]))
+    return arrow_column(spark, run, kind, F.col("text").cast("string"))
 
 
 def known(docs: DataFrame, model: Model, least: float = 0.0) -> DataFrame:
-    """The documents with a language (and a score of at least ``least``), with their own columns."""
+    """The documents with a language and a score of at least ``least``, with their own columns."""
     out = fresh(docs, "language")
-    found = identify(docs, model, out)
+    found = docs.withColumn(out, _labelled(docs.sparkSession, model, PENALTY, T.StructType(_FOUND.fields[:2])))
     return found.where((F.col(out)["lang_pred"] != UNKNOWN) & (F.col(out)["score"] >= least)).select(*docs.columns)

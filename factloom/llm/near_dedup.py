@@ -13,8 +13,10 @@ candidate pairs, and becomes a leader unless it is very close to one, so pairs s
 rows. What this first pass leaves is then settled: in every bucket that still holds several classes, each member is
 compared with all members of other classes, and every candidate pair whose ends are still apart is verified inside the
 bucket, which gives off only the links that join classes. There a second estimate, over 256 ranges of hashes, rules out pairs well below the
-threshold, so that a family of texts around one shared passage gives no pairs. A bucket above ``large`` members is replaced by its intersections with the other bands in the first pass only;
-to settle, it is cut into blocks, and each block is compared with each other one unless both hold one and the same class. Candidates are verified by the exact weighted Jaccard similarity
+threshold, so that a family of texts around one shared passage gives no pairs. A bucket above ``large`` members is replaced by its intersections with the other bands in the first pass only.
+To settle, a bucket of more than two blocks of text is cut into blocks of ``block_bytes``, and each block is compared with each
+other one, in a task's turn of its own, unless both hold one and the same class; so a task holds the shingles of two blocks at most,
+whatever the bucket. Candidates are verified by the exact weighted Jaccard similarity
 of the whole texts, at first the best of each text, then those whose ends are still in different classes. Classes are
 connected components of verified links, found by hooking to the least neighbour and contracting.
 
@@ -22,7 +24,7 @@ Equal texts form one node from the start: only one representative of a text goes
 
 Defined cases: a null text is a class of its own row; a text without a word only equals itself; fewer than
 five words are one shingle; the class id is the least doc_id of the class (null if it has none); repeated
-rows are copies of each other.
+rows are copies of each other; a very long text is sketched and compared whole, and is a block by itself.
 """
 
 from __future__ import annotations
@@ -43,7 +45,11 @@ SIMILARITY = 0.8
 BANDS, ROWS = 9, 3
 STRENGTH = 0.2
 TABLE = 1 << 20
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
+#: Text of a block of a bucket; a member counts as ``MEMBER_BYTES`` at least, which bounds the members of a block.
+BLOCK_BYTES, MEMBER_BYTES = 8 << 20, 800
+#: Weighted sets that are kept for the next pairs, in bytes, and sketches that are kept for copies.
+KEPT_BYTES, KEPT_SKETCHES = 16 << 20, 5_000
 BROADCAST_ROWS = 500_000
 PROFILE = 256
 #: Below the similarity by what weights (a factor of 1.2 in the odds) and three deviations of a profile's estimate can make up.
@@ -208,14 +214,14 @@ def _sketch(table, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, tuple] = {}
         for batch in batches:
-            node = batch.column(0).to_pylist()
+            node, size = batch.column(0).to_pylist(), [max(MEMBER_BYTES, len(t.as_py() or b"")) for t in batch.column(2).cast(pa.binary())]
             out: list[tuple] = [(None, None)] * batch.num_rows
             for start, texts in _text_chunks(batch, 2):
+                if len(known) > KEPT_SKETCHES:
+                    known.clear()  # before it is seen which texts of the chunk are new
                 fresh_ones = [i for i in range(len(texts)) if node[start + i] is not None and node[start + i] not in known]
                 fresh_ones = list({node[start + i]: i for i in fresh_ones}.values())
                 doc, h, tf = shingles([texts[i] for i in fresh_ones])
-                if len(known) > 20_000:
-                    known.clear()
                 if len(doc):
                     s = samples(doc, h, weights(h, tf, table.value), bands * rows)
                     keys, profile = band_keys(s, bands, rows).astype(np.int64), profiles(doc, h, tf)
@@ -224,7 +230,7 @@ def _sketch(table, bands: int, rows: int):
                 for i in range(len(texts)):
                     out[start + i] = known.get(node[start + i], (None, None))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([o[0] for o in out], pa.list_(pa.int64())), pa.array([o[1] for o in out], pa.binary())], names=["node", "doc_id", "bands", "signature"]
+                [batch.column(0), batch.column(1), pa.array([o[0] for o in out], pa.list_(pa.int64())), pa.array([o[1] for o in out], pa.binary()), pa.array(size, pa.int64())], names=["node", "doc_id", "bands", "signature", "bytes"]
             )
 
     return run
@@ -345,39 +351,40 @@ def _settle(table, similarity_least: float, least: float, plain: float):
     return run
 
 
-def bucketed(reps: DataFrame, large: int) -> tuple[DataFrame, DataFrame, DataFrame | None]:
-    """(bucket, node, signature) three times: each node in each of its buckets, with a bucket above ``large`` parted by the other bands;
-    the buckets up to ``large``; those above, whole (None if there are none)."""
+def bucketed(reps: DataFrame, large: int) -> DataFrame:
+    """(bucket, node, signature): each node in each of its buckets, with a bucket above ``large`` parted by the other bands."""
     rows = reps.where(F.col("bands").isNotNull()).select("node", "signature", "bands", F.posexplode("bands").alias("band", "bucket"))
     hot = materialise(rows.groupBy("bucket").count().where(F.col("count") > large).select("bucket"), "hot-buckets")
-    flat = rows.select("bucket", "node", "signature")
     if hot.isEmpty():
-        return flat, flat, None
+        return rows.select("bucket", "node", "signature")
     both = rows.join(hot, "bucket", "left_semi").select(
         F.explode(F.transform("bands", lambda other: F.when(other != F.col("bucket"), F.xxhash64(F.least(other, F.col("bucket")), F.greatest(other, F.col("bucket")))))).alias("bucket"), "node", "signature"
     )
     cool = rows.join(hot, "bucket", "left_anti").select("bucket", "node", "signature")
-    return cool.unionByName(both.where(F.col("bucket").isNotNull())), cool, flat.join(hot, "bucket", "left_semi")
+    return cool.unionByName(both.where(F.col("bucket").isNotNull()))
 
 
-def blocks(hot: DataFrame, large: int) -> DataFrame:
-    """(bucket, first, node, signature) of two blocks of a bucket at a time, so that any two members of different classes meet.
+def blocks(rows: DataFrame, block_bytes: int) -> DataFrame:
+    """(bucket, first, node, signature), a bucket of more than two blocks by two blocks at a time, so that any two members of different classes meet.
 
-    A block has about half of ``large`` members: a part of one class, or several small classes whole.
+    ``rows`` also has ``bytes``. A block has about ``block_bytes``: a part of one class, or several small classes whole.
     """
-    half = max(large // 2, 1)
-    hot = materialise(hot, "hot-members")
-    sizes = hot.groupBy("bucket", "first").agg(F.count(F.lit(1)).alias("_n"))
-    small = sizes.where(F.col("_n") < half).groupBy("bucket").agg(F.ceil(F.sum("_n") / half).alias("_small"))
-    alone = F.when(F.col("_n") >= half, F.col("first"))
-    part = F.when(F.col("_n") >= half, F.xxhash64("first", F.pmod(F.xxhash64("node"), F.ceil(F.col("_n") / half)))).otherwise(F.xxhash64(F.lit("small"), F.pmod(F.xxhash64("first"), F.col("_small"))))
-    placed = hot.join(sizes.join(small, "bucket", "left"), ["bucket", "first"]).select("bucket", "first", "node", "signature", part.alias("_block"), alone.alias("_alone"))
+    sizes = rows.groupBy("bucket", "first").agg(F.sum("bytes").alias("_n"))
+    hot = materialise(sizes.groupBy("bucket").agg(F.sum("_n").alias("_all")).where(F.col("_all") > 2 * block_bytes).select("bucket"), "hot-buckets")
+    if hot.isEmpty():
+        return rows.select("bucket", "first", "node", "signature")
+    sizes = sizes.join(hot, "bucket", "left_semi")
+    small = sizes.where(F.col("_n") < block_bytes).groupBy("bucket").agg(F.ceil(F.sum("_n") / block_bytes).alias("_small"))
+    alone = F.when(F.col("_n") >= block_bytes, F.col("first"))
+    part = F.when(F.col("_n") >= block_bytes, F.xxhash64("first", F.pmod(F.xxhash64("node"), F.ceil(F.col("_n") / block_bytes)))).otherwise(F.xxhash64(F.lit("small"), F.pmod(F.xxhash64("first"), F.col("_small"))))
+    placed = rows.join(sizes.join(small, "bucket", "left"), ["bucket", "first"]).select("bucket", "first", "node", "signature", part.alias("_block"), alone.alias("_alone"))
     placed = materialise(placed, "hot-blocks")
     one = placed.select("bucket", F.col("_block").alias("_a"), F.col("_alone").alias("_x")).distinct()
     two = one.select("bucket", F.col("_a").alias("_b"), F.col("_x").alias("_y"))
     pairs = one.join(two, "bucket").where((F.col("_a") <= F.col("_b")) & ~F.coalesce(F.col("_x") == F.col("_y"), F.lit(False)))
     pairs = pairs.select("bucket", F.xxhash64("bucket", "_a", "_b").alias("_pair"), F.explode(F.array_distinct(F.array("_a", "_b"))).alias("_block"))
-    return placed.join(pairs, ["bucket", "_block"]).select(F.col("_pair").alias("bucket"), "first", "node", "signature")
+    cut = placed.join(pairs, ["bucket", "_block"]).select(F.col("_pair").alias("bucket"), "first", "node", "signature")
+    return rows.join(hot, "bucket", "left_anti").select("bucket", "first", "node", "signature").unionByName(cut)
 
 
 def _tasks(df: DataFrame) -> int:
@@ -390,17 +397,17 @@ def candidates(flat: DataFrame, tasks: int, least: float, close: float, links: i
     return found.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("alike").alias("alike"))
 
 
-def settled(cool: DataFrame, hot: DataFrame | None, large: int, tasks: int, links: DataFrame, roots: DataFrame, docs: DataFrame, table, similarity_least: float, least: float) -> tuple[DataFrame, DataFrame]:
+def settled(reps: DataFrame, block_bytes: int, tasks: int, links: DataFrame, roots: DataFrame, docs: DataFrame, table, similarity_least: float, least: float) -> tuple[DataFrame, DataFrame]:
     """(links, roots) once no bucket holds an unverified candidate pair across classes.
 
     Pairs are verified where their bucket is, so that what leaves a bucket is at most one link fewer than its classes.
     """
     plain = similarity_least - PROFILE_SLACK
-    classed = lambda rows: rows.join(roots.select("node", F.col("root").alias("first")), "node", "left").select("bucket", F.coalesce("first", "node").alias("first"), "node", "signature")
-    own = classed(cool) if hot is None else classed(cool).unionByName(blocks(classed(hot), large))
+    own = reps.where(F.col("bands").isNotNull()).join(roots.select("node", F.col("root").alias("first")), "node", "left")
+    own = own.select(F.explode("bands").alias("bucket"), F.coalesce("first", "node").alias("first"), "node", "signature", "bytes")
     several = own.groupBy("bucket").agg(F.min("first").alias("_a"), F.max("first").alias("_b")).where(F.col("_a") != F.col("_b")).select("bucket")
     rows = materialise(own.join(several, "bucket", "left_semi"), "several-classes")
-    order = ("bucket", "first", "node")
+    rows, order = blocks(rows, block_bytes), ("bucket", "first", "node")
     open_ones = materialise(map_arrow(rows.repartition(tasks, "bucket").sortWithinPartitions(*order), _undecided(least, plain), "bucket long, node binary"), "undecided")
     if open_ones.isEmpty():
         return links, roots
@@ -427,13 +434,17 @@ def verified(pairs: DataFrame, docs: DataFrame, table, least: float) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: dict[bytes, tuple[np.ndarray, np.ndarray]] = {}
+        held = 0
 
         def weighted(key: bytes, text: bytes) -> tuple[np.ndarray, np.ndarray]:
+            nonlocal held
             if key not in kept:
-                if len(kept) >= 256:
+                if held > KEPT_BYTES:
                     kept.clear()
+                    held = 0
                 _, h, tf = shingles([text])
                 kept[key] = (h, weights(h, tf, table.value))
+                held += 16 * len(h)
             return kept[key]
 
         for batch in batches:
@@ -470,18 +481,18 @@ def _node(docs: DataFrame):
     return F.when(F.col("text").isNotNull(), row_key(F.lit("text"), F.col("text").cast("string")))
 
 
-def near_duplicates(docs: DataFrame, similarity_least: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, strength: float = STRENGTH, large: int = 20_000, close: float = 0.9, links: int = 3) -> tuple[DataFrame, DataFrame]:
+def near_duplicates(docs: DataFrame, similarity_least: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, strength: float = STRENGTH, large: int = 20_000, close: float = 0.9, links: int = 3, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, DataFrame]:
     """(one row per document: doc_id, node, class_node, class_id, n_links; the verified links: a, b, similarity by node)."""
     spark = docs.sparkSession
     df, n = frequencies(docs)
     table = spark.sparkContext.broadcast(idf_table(df, n, strength))
     keyed = docs.select(_node(docs).alias("node"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sketch = materialise(map_arrow(keyed, _sketch(table, bands, rows), "node binary, doc_id long, bands array<long>, signature binary"), "sketch")
-    reps = sketch.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min(F.struct("bands", "signature")).alias("_s")).select("node", "doc_id", "_s.*")
+    sketch = materialise(map_arrow(keyed, _sketch(table, bands, rows), "node binary, doc_id long, bands array<long>, signature binary, bytes long"), "sketch")
+    reps = sketch.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min(F.struct("bands", "signature", "bytes")).alias("_s")).select("node", "doc_id", "_s.*")
     # A pair of similarity s agrees in s of the samples; 0.25 below is beyond three deviations.
     least = similarity_least - 0.25
-    (flat, cool, hot), tasks = bucketed(reps, large), _tasks(reps)
-    pairs = materialise(candidates(flat, tasks, least, close, links), "pairs")
+    tasks = _tasks(reps)
+    pairs = materialise(candidates(bucketed(reps, large), tasks, least, close, links), "pairs")
     best = pairs.groupBy("b").agg(F.max(F.struct("alike", "a")).alias("_x")).select(F.col("_x.a").alias("a"), "b")
     edges = materialise(verified(best, docs, table, similarity_least), "links")
     roots = components(edges)
@@ -490,7 +501,7 @@ def near_duplicates(docs: DataFrame, similarity_least: float = SIMILARITY, bands
     left = left.join(ra, "a", "left").join(rb, "b", "left").where(F.coalesce("_ra", "a") != F.coalesce("_rb", "b")).select("a", "b")
     more = materialise(verified(materialise(left, "pairs-left"), docs, table, similarity_least), "links")
     links_found = edges.unionByName(more)
-    links_found, roots = settled(cool, hot, large, tasks, links_found, components(links_found), docs, table, similarity_least, least)
+    links_found, roots = settled(reps, block_bytes, tasks, links_found, components(links_found), docs, table, similarity_least, least)
     degree = links_found.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
     classes = reps.select("node", "doc_id").join(roots, "node", "left").join(degree, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("class_node"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     ids = classes.groupBy("class_node").agg(F.min("doc_id").alias("class_id"))

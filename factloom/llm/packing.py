@@ -9,11 +9,13 @@ are then dealt in turn to step groups, so that groups hold the same mix of filli
 
 The plan works on the histogram of lengths (at most ``context`` rows): pieces of one length
 are interchangeable, so a pattern of lengths is repeated as often as its scarcest length allows, and
-what a pattern takes is a range of ranks. Documents get their rank within a length from counts in salted parts (at most
-``context`` x ``PARTS`` rows reach the driver). Texts are tokenised once and not shuffled.
+what a pattern takes is a range of ranks. Documents get their rank within a length from counts in salted parts, whose number
+follows the rows, so that a length that many documents share is no single task; the driver sees the histogram alone (``context`` rows).
+Texts are tokenised once; their ids, not the texts, are dealt by length and part.
 
 Defined cases: a null or empty text is the end id alone; repeated rows are packed each on their
-own; an empty table gives no pieces; every id lies in exactly one piece.
+own; an empty table gives no pieces; every id lies in exactly one piece; a very long text is whole windows and a rest; documents of
+one length are ranked by doc_id and ids; other columns are left out.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ from factloom.llm._common import map_arrow, materialise
 
 CONTEXT = 1024
 TIERS = (1024, 512, 256, 128)
-PARTS = 64
+PARTS, PART_ROWS = 64, 250_000
 SLACK = 8
 END = 0
 STEP = 8
@@ -162,24 +164,25 @@ def pack(docs: DataFrame, path: str | None = None, context: int = CONTEXT, tiers
     path = path or tokens.default_path()
     width = tokens.encoder(path).width
     ids = materialise(tokenised(docs, path), "tokens")
-    part = F.pmod(F.xxhash64("doc_id", "n"), F.lit(PARTS)).cast("int")
+    part = F.pmod(F.xxhash64("doc_id", "n"), F.lit(max(PARTS, ids.count() // PART_ROWS))).cast("int")
     ids = ids.select("*", (F.col("n") % context).cast("int").alias("_rest"), F.expr(f"n div {context}").alias("_full"), part.alias("_part"))
-    counts = sorted(tuple(r) for r in ids.groupBy("_rest", "_part").agg(F.count(F.lit(1)).alias("n"), F.sum("_full").alias("f")).collect())
-    histogram: dict[int, int] = {}
-    full, starts = 0, []
-    for rest, p, n, f in counts:
-        starts.append((rest, p, histogram.get(rest, 0), full))
-        histogram[rest] = histogram.get(rest, 0) + n
+    counts = materialise(ids.groupBy("_rest", "_part").agg(F.count(F.lit(1)).alias("_n"), F.sum("_full").alias("_f")), "packing-counts")
+    totals = sorted((r[0], r[1], r[2]) for r in counts.groupBy("_rest").agg(F.sum("_n"), F.sum("_f")).toLocalIterator())  # at most context rows
+    histogram = {rest: n for rest, n, _ in totals if rest}
+    full, before = 0, []
+    for rest, _, f in totals:
+        before.append((rest, full))
         full += f
-    histogram.pop(0, None)
     segments, windows = plan(histogram, context, tiers)
     groups = max(1, -(-(full + windows) // STEP))
-    start = spark.createDataFrame(starts, "_rest int, _part int, _rank0 long, _full0 long")
+    parts = Window.partitionBy("_rest").orderBy("_part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    start = counts.join(F.broadcast(spark.createDataFrame(before, "_rest int, _full0 long")), "_rest")
+    start = start.select("_rest", "_part", (F.sum("_n").over(parts) - F.col("_n")).alias("_rank0"), (F.sum("_f").over(parts) - F.col("_f") + F.col("_full0")).alias("_full0"))
     w = Window.partitionBy("_rest", "_part").orderBy("doc_id", F.xxhash64("ids"))
     ranked = (
         ids.withColumn("_rank", F.row_number().over(w).cast("long") - 1)
         .withColumn("_before", F.sum("_full").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_full"))
-        .join(F.broadcast(start), ["_rest", "_part"])  # at most context x PARTS rows
+        .join(start, ["_rest", "_part"])
         .select("doc_id", "n", "ids", "_rest", (F.col("_rank") + F.col("_rank0")).alias("_rank"), (F.col("_before") + F.col("_full0")).alias("_first"))
     )
     schema = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, tier int, step_group long"

@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -77,16 +78,27 @@ def test_substring_dedup(docs, none):
 
 def test_media(docs, none):
     index, folder = media.store(docs, shard_bytes=20_000)
-    rows = media.load(index, folder).collect()
+    found = media.load(media.metadata(media.places(index), folder), folder)
+    rows = media.described(index, found).collect()
     by_digest = {media.hashlib.sha256(media.payload((t or "").encode())).hexdigest(): (t or "").encode() for _, t in ROWS}
     assert len(rows) == len(ROWS)
     for r in rows:
         raw = by_digest[r["payload_sha256"]]
-        assert r["digest"] == r["payload_sha256"] and r["n_bytes"] == len(raw) and r["payload_bytes"] == len(media.payload(raw)) and r["tail_crc32"] == zlib.crc32(media.payload(raw)[-64:])
-    assert {(r["width"], r["bits"]) for r in media.metadata(index, folder).collect()} == {(64, 8)}
-    one = media.canonical(index)
-    assert one.count() == len(ROWS) and one.select("digest", "shard", "offset").distinct().count() == len(by_digest)
-    assert media.load(*media.store(none)).count() == 0
+        padded = raw + bytes(-len(raw) % 64 if raw else 64)
+        assert r["digest"] == r["payload_sha256"] == hashlib.sha256(padded).hexdigest() and r["n_bytes"] == len(raw) and r["payload_bytes"] == len(padded) and r["tail_crc32"] == zlib.crc32(padded[-64:])
+        # The stored member, read and decoded without the store's own code.
+        with open(f"{folder.removeprefix('file://')}/{r['shard']}", "rb") as f:
+            f.seek(r["offset"])
+            png = f.read(r["length"])
+        assert png[:8] == b"\x89PNG\r\n\x1a\n" and r["media_sha256"] == hashlib.sha256(png).hexdigest()
+        body = zlib.decompress(png[41 : 41 + int.from_bytes(png[33:37], "big")])
+        assert b"".join(body[k + 1 : k + 65] for k in range(0, len(body), 65)) == padded
+        columns = [sum(padded[k::64]) for k in range(64)]
+        mark = sum(1 << k for k in range(64) if columns[k] * 64 > sum(columns))
+        assert r["feature"] == f"64x{len(padded) // 64};min={min(padded)};max={max(padded)};sum={sum(padded)};distinct={len(set(padded))};mark={mark:016x}"
+        assert (r["width"], r["height"], r["bits"]) == (64, len(padded) // 64, 8)
+    assert len({(r["digest"], r["shard"], r["offset"]) for r in rows}) == len(by_digest)
+    assert media.described(media.store(none)[0], found.limit(0)).count() == 0
 
 
 def test_sharding(docs, none):
@@ -108,14 +120,28 @@ def test_large_group_is_dealt(spark):
 
 def test_training_order(docs, none, tmp_path):
     folder = f"file://{tmp_path}/order"
-    index = order.write_in_training_order(docs, folder, length=64).collect()
+    index = order.write_in_training_order(docs, folder, length=64, shard_bytes=64 * 2 * 7).collect()
     assert sorted(r["slot"] for r in index) == list(range(len(index)))
-    encode, ids = tokens.encoder(tokens.default_path()), 0
+    encode, whole = tokens.encoder(tokens.default_path()), {}
     for r in index:
+        assert (r["shard"], r["index"], r["offset"]) == (r["slot"] // r["capacity"], r["slot"] % r["capacity"], r["slot"] % r["capacity"] * r["stride"]) and r["capacity"] == 7
         raw = order.read_sequence(folder, r["shard"], r["index"], 64)
-        assert zlib.crc32(raw.tobytes()) == r["ids_crc32"]
-        ids += r["n_ids"]
-    assert ids == sum(len(encode(t or "")) + 1 for _, t in ROWS) and order.write_in_training_order(none).count() == 0
+        assert zlib.crc32(raw.tobytes()) == r["ids_crc32"] and not raw[r["n_ids"] :].any()
+        ids, stops = raw[: r["n_ids"]].tolist(), [*r["starts"]]
+        for k, (doc, start) in enumerate(zip(r["doc_ids"], r["starts"])):
+            # A document's ids end with the end id, unless the sequence ends first.
+            n = ids.index(0) + 1 if 0 in ids else len(ids)
+            n = len(ids) if k == len(stops) - 1 else n
+            whole.setdefault(doc, []).append((start, tuple(ids[:n])))
+            ids = ids[n:]
+    for doc in {i for i, _ in ROWS}:
+        texts = [[*encode(t or "").tolist(), 0] for i, t in ROWS if i == doc]
+        parts = sorted(whole[doc])
+        if len(texts) == 1:
+            assert [x for _, p in parts for x in p] == texts[0] and [a for a, _ in parts] == [sum(len(p) for _, p in parts[:k]) for k in range(len(parts))]
+        else:
+            assert sorted(x for _, p in parts for x in p) == sorted(x for t in texts for x in t)
+    assert order.write_in_training_order(none).count() == 0
 
 
 def test_packing(docs, none):
@@ -194,17 +220,32 @@ def test_near_duplicates_beyond_the_first_pass(spark):
     assert [r["class_id"] for r in sorted(got, key=lambda r: r["doc_id"])] == want and 1 < len(set(want)) < len(texts)
 
 
+def test_copies_are_sketched_whatever_is_kept(spark, monkeypatch):
+    """Copies in later chunks, with no sketch kept from one chunk to the next."""
+    monkeypatch.setattr(near_dedup, "KEPT_SKETCHES", 0)
+    monkeypatch.setattr(near_dedup, "CHUNK_BYTES", 300)
+    line = [f"w{k * 7919 % 10007}" for k in range(60)]
+    texts = [" ".join(line), *(f"other {k} text of its own {k * k}" for k in range(20)), " ".join(line), *(f"more {k} of text here {k * k}" for k in range(20)), " ".join([*line, "tail"])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    run = near_dedup._sketch(type("Sent", (), {"value": near_dedup.idf_table(*near_dedup.frequencies(docs), near_dedup.STRENGTH)}), near_dedup.BANDS, near_dedup.ROWS)
+    batch = pa.RecordBatch.from_arrays([pa.array([t.encode() for t in texts], pa.binary()), pa.array(range(len(texts)), pa.int64()), pa.array(texts)], names=["node", "doc_id", "text"])
+    found = next(run(iter([batch]))).to_pylist()
+    assert all(r["bands"] for r in found) and found[0]["bands"] == found[21]["bands"]
+
+
 def test_near_duplicates_that_share_one_hot_bucket_only(spark):
     """Two families in buckets above ``large``, whose members have no other band to meet in."""
     base = [" ".join(f"w{k * 7919 % 10007}" for k in range(a, a + 150)) for a in (0, 5000)]
     docs = spark.createDataFrame([(i, base[i % 2] + f" tail{i}") for i in range(24)], "doc_id long, text string").repartition(4)
     whole, parted = ({r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(docs, bands=1, rows=1, large=n)[0].collect()} for n in (20_000, 5))
     assert whole == parted and len(set(whole.values())) < 6
+    small = {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(docs, bands=1, rows=1, block_bytes=2000)[0].collect()}
+    assert small == whole
     # Classes of a bucket, one over several blocks, and the pairs of members that meet.
     rows = [("a" if i < 9 else f"c{i}", f"n{i}") for i in range(16)]
-    hot = spark.createDataFrame([(1, f.encode(), n.encode(), b"") for f, n in rows], "bucket long, first binary, node binary, signature binary")
+    hot = spark.createDataFrame([(1, f.encode(), n.encode(), b"", 1) for f, n in rows], "bucket long, first binary, node binary, signature binary, bytes long")
     met = {}
-    for r in near_dedup.blocks(hot, 6).collect():
+    for r in near_dedup.blocks(hot, 3).collect():
         met.setdefault(r["bucket"], []).append((bytes(r["first"]).decode(), bytes(r["node"]).decode()))
     for x in rows:
         for y in rows:
@@ -242,6 +283,43 @@ def test_pii(spark, docs, none):
     assert clean[TEXTS.index(hit["text"])] == "mail <EMAIL>, call <PHONE> or <CARD> at <IP> and 10.0.0.300" and clean[0] == TEXTS[0]
 
 
+def _luhn(digits):
+    total = 0
+    for k, c in enumerate(reversed(digits)):
+        x = int(c) * (1 + k % 2)
+        total += x - 9 if x > 9 else x
+    return total % 10 == 0
+
+
+def _plain_spans(text):
+    """The base spans by the plain patterns of the contract."""
+    patterns = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+    found = []
+    for rank, (kind, pattern) in enumerate(patterns.items()):
+        for m in re.finditer(pattern, text or ""):
+            digits = re.sub("[^0-9]", "", m[0])
+            if {"email": True, "ip": kind == "ip" and all(int(x) <= 255 for x in m[0].split(".")), "card": 12 <= len(digits) <= 19 and _luhn(digits), "phone": 9 <= len(digits) <= 15}[kind]:
+                found.append((m.start(), rank, m.end(), kind))
+    return sorted(found)
+
+
+def test_base_spans_and_redaction_match_plain_patterns(spark):
+    rng = random.Random(13)
+    texts = ["".join(rng.choice("a@.b-1 2+34().9%_\n5é-0😀") for _ in range(rng.randint(0, 60))) for _ in range(3000)]
+    texts += ["".join(rng.choice("0123456789") + rng.choice(["", "", " ", "-", "."]) for _ in range(rng.randint(10, 24))) for _ in range(3000)]
+    texts += [" ".join(rng.choice([f"u{i}@h.com", f"10.0.{i % 300}.1", f"w{i}é", "+49 (30) 123-456 7", "4111 1111 1111 1111"]) for i in range(3000)), None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string").repartition(4)
+    spans = pii.in_order(pii.base_spans(F.col("text")))
+    for r in df.select("i", pii.listed(spans).alias("x"), pii.redacted(F.col("text"), spans).alias("clean")).collect():
+        text, want = texts[r["i"]], _plain_spans(texts[r["i"]])
+        assert (r["x"] or "") == ",".join(f"{k}:{a}:{b}" for a, _, b, k in want)
+        at, out = 0, ""
+        for a, _, b, k in want:
+            out += text[at:a] + f"<{k.upper()}>" if a >= at else ""
+            at = max(at, b)
+        assert r["clean"] == (None if text is None else out + text[at:])
+
+
 def test_disclosing_terms(spark):
     rows = [(i, f"{_prose('en', 5)} zorblax writes to boss@corp.org often {i}") for i in range(8)] + [(100 + i, _prose("en", 30)) for i in range(200)] + [(900, "zorblax was seen")]
     got = {r["doc_id"]: [s["kind"] for s in r["spans"]] for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
