@@ -1,7 +1,9 @@
 """Main text of web pages: boosted trees over DOM nodes, decoded over the tree.
 
-A tolerant reader builds the tree of block elements (inline elements only mark links), drops what is never text
-(scripts, styles, templates, comments of the markup) and keeps text as blocks. Each node has features: its
+A reader takes tags, attributes, comments and raw text by position, as the HTML standard reads them: a quote within an unquoted
+value is a character of it, and scripts, styles and other raw text end at their own closing tag whatever they hold. It builds
+the tree of block elements (inline elements only mark links), drops what is never text (scripts, styles, templates, drawings,
+controls, comments of the markup) and keeps text as blocks. Each node has features: its
 element, tokens of class, id and role of its own and above it, text and link density of its subtree,
 depth, place among its siblings and their statistics. Gradient-boosted trees give each node log odds of
 being main text, weighted by the text that stands directly in it.
@@ -14,7 +16,9 @@ The trees are fitted on ``TRAINING_PAGES`` labelled pages that a generator of pa
 words are random syllables, so no language is learned); that is the bound of the sample. Each page is read whole, by itself.
 
 Defined cases: null or empty html has no text; a page without main text gives an empty string; unclosed and stray
-tags are repaired by position; repeated pages are extracted each.
+tags are repaired by position; a quote that nothing closes is a plain character; a comment, script or style that nothing closes
+holds the rest of the page, other raw elements that nothing closes are read as if they were not raw; repeated pages are
+extracted each; a very long page is read whole; other columns pass through unread.
 """
 
 from __future__ import annotations
@@ -29,21 +33,27 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from factloom.llm import boosting
-from factloom.llm._common import map_arrow
+from factloom.llm._common import arrow_column
 
 TRAINING_PAGES = 600
 ENTER, LEAVE = 0.25, 0.25
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
-_ATTRIBUTE = re.compile(r"(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-_SPACE = re.compile(r"\s+")
-
-RAW = frozenset(("script", "style", "noscript", "template", "svg", "iframe", "object", "canvas", "math", "textarea", "select", "title", "head", "xmp", "noembed", "noframes"))
+_VALUE = r"(?:\"[^\"]*+\"|'[^']*+'|(?![\"'])[^\s>]++)?+"
+_NAME = r"(?:=[^\s/>=]*+|[^\s/>=]++)"
+_OPEN = re.compile(rf"<([a-zA-Z][^\s/>]*+)((?:[\s/]++|{_NAME}(?:\s*+=\s*+{_VALUE})?+)*+)>", re.A)
+_CLOSE = re.compile(rf"</([a-zA-Z][^\s/>]*+)(?:[\s/]++|{_NAME}(?:\s*+=\s*+{_VALUE})?+)*+>", re.A)
+_ATTRIBUTE = re.compile(r"(=[^\s/>=]*+|[^\s/>=]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|((?![\"'])[^\s>]++))?+)?+", re.A)
+_COMMENT_END = re.compile(r"--!?>")
+_EMPTY_ELEMENT = re.compile(r"(?:^|[\s\"'])/$")
+_SCRIPT_STATE = re.compile(r"<!--|-->|<(/?)script(?=[\s/>])", re.I | re.A)
+
+#: Elements whose content is not markup, and those left out with all they hold.
+RAW = frozenset(("script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes"))
+LEFT_OUT = frozenset(("template", "svg", "select", "button", "option"))
 VOID = frozenset(("br", "hr", "img", "input", "meta", "link", "wbr", "area", "base", "col", "embed", "source", "track", "param"))
-BLOCKS = ("body", "main", "article", "section", "div", "nav", "header", "footer", "aside", "form", "p", "h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol", "li", "dl", "dt", "dd", "table", "thead", "tbody", "tfoot", "tr", "td", "th", "caption", "blockquote", "pre", "figure", "figcaption", "address", "details", "summary", "fieldset", "legend", "menu", "dialog", "label", "button", "center", "hgroup", "search")
+BLOCKS = ("body", "main", "article", "section", "div", "nav", "header", "footer", "aside", "form", "p", "h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol", "li", "dl", "dt", "dd", "table", "thead", "tbody", "tfoot", "tr", "td", "th", "caption", "blockquote", "pre", "figure", "figcaption", "address", "details", "summary", "fieldset", "legend", "menu", "dialog", "label", "button", "center", "hgroup", "search", "noscript")
 _INDEX = {t: i for i, t in enumerate(BLOCKS)}
 #: An opening tag of the key closes open elements of the values, up to the nearest container.
 _CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "tbody": ("thead", "tbody", "tr", "td", "th"), "tfoot": ("tbody", "tr", "td", "th")}
@@ -85,24 +95,137 @@ class Page:
     owner: list[int]
 
 
-def parse(html: str) -> Page:
+def _script_end(html: str, at: int) -> int:
+    """Where the closing tag of a script is. A script within a comment within the script has a closing tag of its own; if that leaves
+    the script open, the first closing tag ends it."""
+    first, state = -1, 0  # 0 plain, 1 in a comment, 2 in a script of the comment
+    for m in _SCRIPT_STATE.finditer(html, at):
+        if m[0] == "<!--":
+            # "<!-->" and "<!--->" are whole comments.
+            state = state or (0 if html.startswith((">", "->"), m.end()) else 1)
+        elif m[0] == "-->":
+            state = 0
+        elif not m[1]:
+            state = 2 if state == 1 else state
+        else:
+            first = m.start() if first < 0 else first
+            if state < 2:
+                return m.start()
+            state = 1
+    return first
+
+
+class _Ends:
+    """Where elements end; a name that was looked for in vain is not looked for again."""
+
+    def __init__(self, html: str) -> None:
+        self.html, self.patterns, self.none = html, {}, set()
+
+    def raw(self, name: str, at: int) -> int:
+        if name in self.none:
+            return -1
+        if name == "script":
+            end = _script_end(self.html, at)
+        else:
+            pattern = self.patterns.setdefault(name, re.compile(rf"</{name}(?=[\s/>])", re.I | re.A))
+            m = pattern.search(self.html, at)
+            end = m.start() if m else -1
+        if end < 0:
+            self.none.add(name)
+        return end
+
+    def nested(self, name: str, at: int) -> int:
+        """As ``raw``, past elements of the same name inside."""
+        pattern, depth = self.patterns.setdefault(("", name), re.compile(rf"<(/?){name}(?=[\s/>])", re.I | re.A)), 1
+        if ("", name) in self.none:
+            return -1
+        for m in pattern.finditer(self.html, at):
+            depth += -1 if m[1] else 1
+            if not depth:
+                return m.start()
+        self.none.add(("", name))
+        return -1
+
+
+def tokens(html: str) -> Iterator[tuple[str, str, str]]:
+    """("text", text, ""), ("open", name, attributes), ("close", name, "") and ("raw", name, content) in order; names in lower case.
+
+    Character references stand as they are. What a left-out element holds is not read.
+    """
+    at, start, n, ends = 0, 0, len(html), _Ends(html)
+    while True:
+        lt = html.find("<", at)
+        if lt < 0 or lt + 1 >= n:
+            break
+        c = html[lt + 1]
+        if c.isascii() and c.isalpha():
+            m = _OPEN.match(html, lt)
+            if lt > start:
+                yield "text", html[start:lt], ""
+            if m is None:  # the page ends within a tag
+                return
+            name, at = m[1].lower(), m.end()
+            yield "open", name, m[2]
+            if name in RAW or name in LEFT_OUT:
+                if not (m[2] and _EMPTY_ELEMENT.search(m[2])):
+                    end = ends.raw(name, at) if name in RAW else ends.nested(name, at)
+                    if end < 0 and name in ("script", "style"):
+                        end = n
+                    if end >= 0:
+                        if name in RAW:
+                            yield "raw", name, html[at:end]
+                        at = end
+            start = at
+        elif c == "/" and lt + 2 < n and html[lt + 2].isascii() and html[lt + 2].isalpha():
+            m = _CLOSE.match(html, lt)
+            if lt > start:
+                yield "text", html[start:lt], ""
+            if m is None:
+                return
+            yield "close", m[1].lower(), ""
+            start = at = m.end()
+        elif c in "!?" or (c == "/" and lt + 2 < n):
+            if lt > start:
+                yield "text", html[start:lt], ""
+            if html.startswith("<!--", lt):
+                if html.startswith((">", "->"), lt + 4):
+                    start = at = html.index(">", lt) + 1
+                    continue
+                m = _COMMENT_END.search(html, lt + 4)
+                end = m.end() if m else 0
+            elif html.startswith("<![CDATA[", lt):
+                end = html.find("]]>", lt) + 3
+                end = n if end < 3 else end
+                yield "text", html[lt + 9 : end].removesuffix("]]>").replace("&", "&amp;"), ""
+            else:
+                end = html.find(">", lt) + 1
+            if not end:  # a comment that nothing closes
+                return
+            start = at = end
+        else:
+            at = lt + 1
+    if start < n:
+        yield "text", html[start:], ""
+
+
+def parse(html: str, labels: list[bool] | None = None) -> Page:
+    """The tree of a page. ``labels`` gets, for each node after the first, whether the generator of layouts marked it."""
     nodes = [Node("body", -1, 0, 0)]
     page = Page(nodes, [], [], [])
-    stack, parts, linked, in_link = [0], [], 0, 0
-    at, raw = 0, None
-    lower = None
+    stack, parts, linked, in_link, in_head = [0], [], 0, 0, False
 
     def text(s: str) -> None:
         nonlocal linked
-        if s:
-            parts.append(s)
-            if in_link:
-                linked += len(s)
+        if "&" in s:
+            s = _html.unescape(s)
+        parts.append(s)
+        if in_link:
+            linked += len(s)
 
     def flush() -> None:
         nonlocal parts, linked
         if parts:
-            block = " ".join(_html.unescape("".join(parts)).split())
+            block = " ".join("".join(parts).split())
             if block:
                 nodes[stack[-1]].blocks.append(len(page.blocks))
                 page.blocks.append(block)
@@ -119,76 +242,49 @@ def parse(html: str) -> Page:
             if tag in within:
                 return
 
-    for m in _TAG.finditer(html):
-        if m.start() < at:
-            continue
-        text(html[at : m.start()])
-        at = m.end()
-        name = m[2] or m[5]
-        if not name:
-            if m[0].startswith("<![CDATA["):
-                text(m[0][9:].removesuffix("]]>"))
-            continue
-        closing, name = bool(m[1] or m[4]), name.lower()
-        if name in RAW:
-            if not closing and not (m[3] or m[6] or "").rstrip().endswith("/"):
-                if lower is None:
-                    lower = html.lower()
-                end = lower.find(f"</{name}", at)
-                if name == "head":  # may be left open: the body ends it
-                    body = lower.find("<body", at)
-                    end = body if body >= 0 and (end < 0 or body < end) else end
-                    if end < 0:
-                        continue
-                    at = end if end == body else (lower.find(">", end) + 1 or len(html))
-                elif end < 0:
-                    at = len(html) if name in ("script", "style") else at
-                else:
-                    at = lower.find(">", end) + 1 or len(html)
-                    if name == "select" or name == "textarea":
-                        text(" ")
-            continue
-        if name == "a":
-            in_link = 0 if closing else 1
-            continue
-        if name in ("br", "wbr"):
-            text(" " if name == "br" else "")
-            continue
-        if name == "hr":
+    for kind, name, more in tokens(html):
+        if kind == "text":
+            if in_head and not name.strip():
+                continue
+            in_head = False
+            text(name)
+        elif kind == "raw":
+            if name == "xmp" and not in_head:
+                text(more.replace("&", "&amp;"))
+        elif name == "head":
+            in_head = kind == "open"
+        elif name == "a":
+            in_link = int(kind == "open")
+        elif name in ("br", "select", "textarea"):
+            text(" ")
+        elif name == "hr":
+            flush()
+        elif name in _INDEX and name not in ("label", "button"):
+            if in_head and name == "noscript":
+                continue
+            in_head = False
             flush()
-            continue
-        if name not in _INDEX or name == "label" or name == "button":
-            if name == "html" or name in VOID:
+            if kind == "close":
+                for k in range(len(stack) - 1, 0, -1):
+                    if nodes[stack[k]].tag == name:
+                        del stack[k:]
+                        in_link = 0
+                        break
                 continue
-            if name == "button" or name == "option":
-                # Controls are no text.
-                if not closing:
-                    if lower is None:
-                        lower = html.lower()
-                    end = lower.find(f"</{name}", at)
-                    at = at if end < 0 else lower.find(">", end) + 1 or len(html)
+            if name == "body":
+                nodes[0].marks |= _marks(more)
                 continue
-            continue
-        flush()
-        if closing:
-            for k in range(len(stack) - 1, 0, -1):
-                if nodes[stack[k]].tag == name:
-                    del stack[k:]
-                    in_link = 0
-                    break
-            continue
-        if name == "body":
-            nodes[0].marks |= _marks(m[3] or m[6] or "")
-            continue
-        close(("p",), _CONTAINERS - {"body"}) if nodes[stack[-1]].tag == "p" else None
-        if name in _CLOSES:
-            close(_CLOSES[name], _CONTAINERS)
-        if name[0] == "h" and name[1:].isdigit() and nodes[stack[-1]].tag[0] == "h" and nodes[stack[-1]].tag[1:].isdigit():
-            stack.pop()
-        nodes.append(Node(name, stack[-1], len(stack), _marks(m[3] or m[6] or "")))
-        nodes[stack[-1]].children.append(len(nodes) - 1)
-        stack.append(len(nodes) - 1)
-    text(html[at:])
+            if nodes[stack[-1]].tag == "p":
+                stack.pop()
+            if name in _CLOSES:
+                close(_CLOSES[name], _CONTAINERS)
+            if name[0] == "h" and name[1:].isdigit() and nodes[stack[-1]].tag[0] == "h" and nodes[stack[-1]].tag[1:].isdigit():
+                stack.pop()
+            nodes.append(Node(name, stack[-1], len(stack), _marks(more)))
+            nodes[stack[-1]].children.append(len(nodes) - 1)
+            stack.append(len(nodes) - 1)
+            if labels is not None:
+                labels.append(_KEPT in more)
     flush()
     return page
 
@@ -197,8 +293,9 @@ def _marks(attributes: str) -> int:
     marks = 0
     if "=" in attributes:
         for m in _ATTRIBUTE.finditer(attributes):
-            for w in _TOKEN.findall((m[2] or m[3] or m[4] or "").lower()):
-                marks |= _GROUP_OF.get(w, 0)
+            if m[1].lower() in ("class", "id", "role"):
+                for w in _TOKEN.findall((m[2] or m[3] or m[4] or "").lower()):
+                    marks |= _GROUP_OF.get(w, 0)
     return marks
 
 
@@ -366,7 +463,7 @@ class Layouts:
         return f"<html><head><title>{self.words(2, 5)}</title></head><body>{before}{body}{after}</body></html>"
 
 
-_KEPT = re.compile(r'data-k="1"')
+_KEPT = 'data-k="1"'
 _fitted: list[boosting.Boosted] = []
 
 
@@ -376,15 +473,8 @@ def train(pages: int = TRAINING_PAGES, seed: int = 7) -> boosting.Boosted:
         return _fitted[0]
     make, xs, ys = Layouts(seed), [], []
     for _ in range(pages):
-        source = make.page()
-        page, truth = parse(source), []
-        for m in _TAG.finditer(source):
-            name = (m[2] or m[5] or "").lower()
-            if name in _INDEX and name not in ("body", "label", "button") and not (m[1] or m[4]):
-                truth.append(bool(_KEPT.search(m[0])))
-        if len(truth) + 1 != len(page.nodes):
-            raise AssertionError("generated pages are well formed")
-        x, _ = features(page)
+        truth: list[bool] = []
+        x, _ = features(parse(make.page(), truth))
         xs.append(x)
         ys.append(np.array([False, *truth], float))
     model = boosting.fit(np.concatenate(xs), np.concatenate(ys))
@@ -411,15 +501,15 @@ def texts(pages: list[str | None], model: boosting.Boosted) -> list[str]:
 
 
 def extract(pages: DataFrame, out: str = "main_text", batch_bytes: int = 2 << 20) -> DataFrame:
-    """``pages`` (with ``html``) and the main text in ``out``."""
+    """``pages`` (with ``html``) and the main text in ``out``. A column that is already named ``out`` raises ValueError."""
     if out in pages.columns:
         raise ValueError(f"pages already have a column {out}")
     model = pages.sparkSession.sparkContext.broadcast(train())
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+    def run(batches: Iterator[tuple[pa.Array]]) -> Iterator[pa.Array]:
+        for (column,) in batches:
             found, group, held = [], [], 0
-            for h in batch.column(batch.schema.get_field_index("html")):
+            for h in column:
                 h = h.as_py()
                 group.append(h)
                 held += len(h or "")
@@ -427,6 +517,6 @@ def extract(pages: DataFrame, out: str = "main_text", batch_bytes: int = 2 << 20
                     found += texts(group, model.value)
                     group, held = [], 0
             found += texts(group, model.value) if group else []
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string())], names=[*batch.schema.names, out])
+            yield pa.array(found, pa.string())
 
-    return map_arrow(pages.withColumn("html", F.col("html").cast("string")), run, T.StructType([*[T.StructField(f.name, T.StringType()) if f.name == "html" else f for f in pages.schema.fields], T.StructField(out, T.StringType())]))
+    return pages.withColumn(out, arrow_column(pages.sparkSession, run, "string", F.col("html").cast("string")))
