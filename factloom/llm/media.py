@@ -3,16 +3,17 @@
 A payload is stored losslessly as an 8-bit greyscale PNG of 64 samples a line. Each task of the
 scan writes its own tar shard, whose members are named by the payload's SHA-256 and follow each
 other in scan order; a payload that stands again in a task is stored once. Rows carry digest, shard,
-offset and length of the PNG, so payloads never go through a shuffle. ``header`` fills the
-metadata columns from a range read of the first 33 bytes (signature and IHDR); ``load`` reads a
-member's range, decodes it and computes features. Copies in different tasks are stored once a task (at
-most as often as there are tasks); ``canonical`` points all rows of a digest at one of them.
+offset and length of the PNG, so payloads never go through a shuffle. Copies in different tasks are stored once a task (at
+most as often as there are tasks); ``places`` picks one location for each digest, which all rows of it share and every read uses.
+``metadata`` fills the metadata columns from range reads of the first 33 bytes alone (signature and IHDR); ``load`` reads a
+member's range, decodes it and computes features, once for each digest; ``described`` gives the rows what was found for their digest.
 
 A shard is written under a temporary name and moved when whole; a task that runs again writes the same
 bytes. The index is written before it is read, so no shard is read that is not whole.
 
 Defined cases: a null text is an empty one; an empty text is 64 zero bytes; repeated rows share one member;
-an empty table writes nothing.
+an empty table writes nothing; a very long text is one member; of several locations the least by shard and offset is taken; other
+columns are left out.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm import _store
-from factloom.llm._common import map_arrow, materialise, scratch
+from factloom.llm._common import join_groups, map_arrow, materialise, scratch
 
 LINE = 64
 SHARD_BYTES = 256 << 20
@@ -136,10 +137,15 @@ def store(docs: DataFrame, folder: str | None = None, shard_bytes: int = SHARD_B
     return materialise(map_arrow(rows, _writer(folder, shard_bytes), INDEX), "media-index"), folder
 
 
-def canonical(index: DataFrame) -> DataFrame:
-    """The index with one location for each digest."""
-    place = index.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("_at"))
-    return index.drop("shard", "offset", "length").join(place, "digest").select("doc_id", "n_bytes", "digest", "_at.shard", "_at.offset", "_at.length")
+def places(index: DataFrame) -> DataFrame:
+    """One location for each digest, and its number of rows: digest, shard, offset, length, n_rows."""
+    found = index.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("_at"), F.count(F.lit(1)).alias("n_rows"))
+    return materialise(found.select("digest", "_at.shard", "_at.offset", "_at.length", "n_rows"), "media-places")
+
+
+def described(index: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of the index (doc_id, n_bytes) with their digest's columns of ``found`` (places, with more columns)."""
+    return join_groups(index.select("doc_id", "n_bytes", "digest"), found, ["digest"], "n_rows", index.count())
 
 
 def _ranges(index: DataFrame) -> DataFrame:
@@ -151,7 +157,7 @@ def _ranges(index: DataFrame) -> DataFrame:
 
 
 def metadata(index: DataFrame, folder: str) -> DataFrame:
-    """The index with width, height and bits, from header-only range reads."""
+    """The index (or places) with width, height and bits, from header-only range reads."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = _store.Reader(folder)
@@ -162,11 +168,15 @@ def metadata(index: DataFrame, folder: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, pa.int32()) for c in cols)], names=[*batch.schema.names, "width", "height", "bits"])
         reader.close()
 
-    return map_arrow(_ranges(index), run, f"{INDEX}, width int, height int, bits int")
+    return map_arrow(_ranges(index), run, f"{_columns(index)}, width int, height int, bits int")
+
+
+def _columns(df: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
 
 
 def load(index: DataFrame, folder: str) -> DataFrame:
-    """The index with payload_bytes, payload_sha256, tail_crc32, media_sha256, feature, width and height, from the stored bytes."""
+    """The index (or places) with payload_bytes, payload_sha256, tail_crc32, media_sha256 and feature, from the stored bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = _store.Reader(folder)
@@ -176,15 +186,14 @@ def load(index: DataFrame, folder: str) -> DataFrame:
             for s, o, n in zip(batch.column(at("shard")), batch.column(at("offset")), batch.column(at("length")), strict=True):
                 place = (s.as_py(), o.as_py(), n.as_py())
                 if place != last:  # rows of one member follow each other
-                    width, height, _ = header(reader.read(*place[:2], HEADER_BYTES))
                     media = reader.read(*place)
                     data = decode(media)
-                    last, value = place, (len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-64:]), hashlib.sha256(media).hexdigest(), feature(data), width, height)
+                    last, value = place, (len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-64:]), hashlib.sha256(media).hexdigest(), feature(data))
                 rows.append(value)
-            cols = list(zip(*rows, strict=True)) or [[]] * 7
-            kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32()]
-            names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_sha256", "feature", "width", "height"]
+            cols = list(zip(*rows, strict=True)) or [[]] * 5
+            kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string()]
+            names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_sha256", "feature"]
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], names=[*batch.schema.names, *names])
         reader.close()
 
-    return map_arrow(_ranges(index), run, f"{INDEX}, payload_bytes long, payload_sha256 string, tail_crc32 long, media_sha256 string, feature string, width int, height int")
+    return map_arrow(_ranges(index), run, f"{_columns(index)}, payload_bytes long, payload_sha256 string, tail_crc32 long, media_sha256 string, feature string")

@@ -1,19 +1,20 @@
 """Training-order materialisation of token sequences in fixed-stride binary shards.
 
 One pass tokenises the documents of a task into a stream (each document's ids and an end id) and cuts it
-into sequences of ``length`` ids; only a task's last one is padded. Sequence ``i`` of task ``t`` has the
-number ``t * room + i`` in a domain of tasks x room. A keyed Feistel network on the next even number of
-bits, walked along its cycle until it falls into the domain, permutes that domain, so each sequence
-has a pseudo-random place in training order that is known at once. The domain is divided
-into equal ranges, one shard each; a range is sorted and written as one file of fixed stride, so sequence
-``index`` of a shard is at ``index * stride``. Counts of the shards give the gapless global slot.
-A reader resumes at slot ``s`` with one look-up of the shard and one seek.
-
-The number of shards follows the bytes of text. A task that runs again writes the same bytes and moves them over the first
+into sequences of ``length`` ids; only a task's last one is padded. The sequences are written to a table, and the counts
+of its tasks (one number each) give every sequence a dense number below the number of all sequences, N.
+A keyed Feistel network on the next even number of bits, walked along its cycle until it falls below N, permutes these
+numbers: the image is the sequence's global slot. A shard holds a fixed number of consecutive slots, so slot ``s`` stands
+in shard ``s div capacity`` at ``(s mod capacity) * stride``, which a reader computes without an index; the inverse
+permutation leads from a slot back to the sequence's number. Shards are range partitions, each sorted and
+written as one file of fixed stride, read forward from any slot.
+
+The number of shards follows N. A task that runs again writes the same bytes and moves them over the first
 (each file is written under a name of its own and renamed).
 
 Defined cases: a null or empty text is the end id alone; repeated rows are written each; an
-empty table writes no shard and gives no rows; pieces of one document in several sequences are listed in each.
+empty table writes no shard and gives no rows; pieces of one document in several sequences are listed in each; a very long
+text is a stretch of sequences; other columns are left out.
 """
 
 from __future__ import annotations
@@ -27,11 +28,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm import _store, tokens
-from factloom.llm._common import map_arrow, materialise, scratch
+from factloom.llm._common import arrow_column, map_arrow, materialise, scratch
 
 LENGTH = 1024
 SHARD_BYTES = 64 << 20
-ROOM = 1 << 24
+LEAST_SHARDS = 12
 ROUNDS = 6
 END = 0
 
@@ -61,6 +62,22 @@ class Feistel:
             if i < self.size:
                 return i
 
+    def many(self, numbers: np.ndarray) -> np.ndarray:
+        """The images of an array, all walked together."""
+        out, left_over = numbers.astype(np.uint64), np.arange(len(numbers))
+        mask, half = np.uint64(self.mask), np.uint64(self.half)
+        while len(left_over):
+            x = out[left_over]
+            left, right = x >> half, x & mask
+            for k in self.keys:
+                y = right ^ np.uint64(k)
+                y = (y ^ (y >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+                y = (y ^ (y >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+                left, right = right, left ^ ((y ^ (y >> np.uint64(31))) & mask)
+            out[left_over] = (left << half) | right
+            left_over = left_over[out[left_over] >= np.uint64(self.size)]
+        return out.astype(np.int64)
+
     def back(self, i: int) -> int:
         while True:
             left, right = i >> self.half, i & self.mask
@@ -71,7 +88,7 @@ class Feistel:
                 return i
 
 
-def _sequences(path: str, length: int, order: Feistel, room: int, ranges: int, end: int):
+def _sequences(path: str, length: int, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -101,19 +118,16 @@ def _sequences(path: str, length: int, order: Feistel, room: int, ranges: int, e
                     at += take
                     if at == count:
                         who, at = who + 1, 0
-                if made >= room:
-                    raise ValueError("a task holds more sequences than the domain has room for")
-                place = order(task * room + made)
-                made += 1
                 padded = part if len(part) == length else np.concatenate([part, np.full(length - len(part), end, encode.width)])
-                rows.append((place * ranges // order.size, place, len(part), docs, starts, padded.tobytes()))
+                rows.append((task, made, len(part), docs, starts, padded.tobytes()))
+                made += 1
             held = [stream[n * length :]] if n * length < size else []
             owners = [(owners[who][0], owners[who][1] + at, owners[who][2] - at), *owners[who + 1 :]] if who < len(owners) else []
             size = max(0, size - n * length)
-            for a in range(0, len(rows), 4096):
-                cols = list(zip(*rows[a : a + 4096], strict=True))
+            for a in range(0, len(rows), 1024):
+                cols = list(zip(*rows[a : a + 1024], strict=True))
                 kinds = [pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["shard", "place", "n_ids", "doc_ids", "starts", "ids"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["task", "made", "n_ids", "doc_ids", "starts", "ids"])
 
         for batch in batches:
             for doc, text in zip(batch.column(0), batch.column(1), strict=True):
@@ -128,8 +142,8 @@ def _sequences(path: str, length: int, order: Feistel, room: int, ranges: int, e
     return run
 
 
-def _write(folder: str):
-    """Files of consecutive sequences; rows come sorted by shard and place."""
+def _write(folder: str, capacity: int):
+    """Files of consecutive slots; rows come sorted by shard and slot."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zlib
@@ -137,19 +151,21 @@ def _write(folder: str):
         out, shard, index = None, None, 0
         for batch in batches:
             index_of, offsets, crc = [], [], []
-            for s, raw in zip(batch.column(0), batch.column(5), strict=True):
+            for s, slot, raw in zip(batch.column(0), batch.column(1), batch.column(5), strict=True):
                 s, raw = s.as_py(), raw.as_py()
                 if s != shard:
                     if out is not None:
                         out.close()
                     out, shard, index = _store.Writer(folder, f"shard-{s:06d}.bin"), s, 0
+                if slot.as_py() != s * capacity + index:
+                    raise ValueError("slots of a shard follow each other")
                 offsets.append(out.write(raw))
                 index_of.append(index)
                 crc.append(zlib.crc32(raw))
                 index += 1
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:5], pa.array(index_of, pa.int64()), pa.array(offsets, pa.int64()), pa.array(crc, pa.int64())],
-                names=["shard", "place", "n_ids", "doc_ids", "starts", "index", "offset", "ids_crc32"],
+                names=["shard", "slot", "n_ids", "doc_ids", "starts", "index", "offset", "ids_crc32"],
             )
         if out is not None:
             out.close()
@@ -157,31 +173,36 @@ def _write(folder: str):
     return run
 
 
-def write_in_training_order(docs: DataFrame, folder: str | None = None, key: bytes = b"epoch-0", path: str | None = None, length: int = LENGTH, shard_bytes: int = SHARD_BYTES, room: int = ROOM) -> DataFrame:
-    """Write the shards; one row per sequence: slot, shard, index, offset, stride, n_ids, doc_ids, starts, ids_crc32."""
+def write_in_training_order(docs: DataFrame, folder: str | None = None, key: bytes = b"epoch-0", path: str | None = None, length: int = LENGTH, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """Write the shards; one row per sequence: slot, shard, index, offset, stride, capacity, n_ids, doc_ids, starts, ids_crc32."""
     spark = docs.sparkSession
     path = path or tokens.default_path()
     folder = folder or scratch(spark, "order")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    # About 0.4 ids a byte; each shard holds a bounded number of bytes whatever the input.
     stride = length * tokens.encoder(path).width.itemsize
-    size = rows.agg(F.sum(F.octet_length("text"))).head()[0] or 0
-    shards = max(12, -(-size * 4 // 5 // shard_bytes))
-    order = Feistel(max(1, rows.rdd.getNumPartitions()) * room, key)
-    cut = map_arrow(rows, _sequences(path, length, order, room, shards, END), "shard int, place long, n_ids long, doc_ids array<long>, starts array<long>, ids binary")
+    cut = materialise(map_arrow(rows, _sequences(path, length, END), "task int, made long, n_ids long, doc_ids array<long>, starts array<long>, ids binary"), "order-sequences")
+    base, total = [], 0
+    for task, n in sorted((r[0], r[1]) for r in cut.groupBy("task").count().toLocalIterator()):  # one row a task
+        base.append((task, total))
+        total += n
+    order = Feistel(max(1, total), key)
+    capacity = max(1, min(shard_bytes // stride, -(-total // LEAST_SHARDS)))
+
+    def slots(batches: Iterator[tuple[pa.Array]]) -> Iterator[pa.Array]:
+        for (number,) in batches:
+            yield pa.array(order.many(number.to_numpy(zero_copy_only=False)), pa.int64())
+
+    numbered = cut.join(F.broadcast(spark.createDataFrame(base, "task int, _base long")), "task")
+    numbered = numbered.withColumn("slot", arrow_column(spark, slots, "long", F.col("_base") + F.col("made")))
+    numbered = numbered.select(F.expr(f"cast(slot div {capacity} as int)").alias("shard"), "slot", "n_ids", "doc_ids", "starts", "ids")
     _store.make(folder)
     written = (
-        cut.repartitionById(shards, F.col("shard"))
-        .sortWithinPartitions("shard", "place")
-        .mapInArrow(_write(folder), "shard int, place long, n_ids long, doc_ids array<long>, starts array<long>, index long, offset long, ids_crc32 long")
+        numbered.repartitionById(max(1, -(-total // capacity)), F.col("shard"))
+        .sortWithinPartitions("shard", "slot")
+        .mapInArrow(_write(folder, capacity), "shard int, slot long, n_ids long, doc_ids array<long>, starts array<long>, index long, offset long, ids_crc32 long")
     )
     index = materialise(written, "order-index")
-    base, at = [], 0
-    for s, n in sorted((r[0], r[1]) for r in index.groupBy("shard").count().toLocalIterator()):  # one row a shard
-        base.append((s, at))
-        at += n
-    base = spark.createDataFrame(base, "shard int, _base long")
-    return index.join(F.broadcast(base), "shard").select((F.col("_base") + F.col("index")).alias("slot"), "shard", "index", "offset", F.lit(stride).cast("long").alias("stride"), "n_ids", "doc_ids", "starts", "ids_crc32")
+    return index.select("slot", "shard", "index", "offset", F.lit(stride).cast("long").alias("stride"), F.lit(capacity).cast("long").alias("capacity"), "n_ids", "doc_ids", "starts", "ids_crc32")
 
 
 def read_sequence(folder: str, shard: int, index: int, length: int = LENGTH, width: type = np.uint16) -> np.ndarray:

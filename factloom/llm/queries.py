@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.llm import decontaminate, html, language, media, near_dedup, order, packing, pii, shard, substring_dedup
-from factloom.llm._common import read
+from factloom.llm._common import materialise, read
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,7 +32,8 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     index, folder = media.store(read(spark, sf_dir, "documents", "doc_id", "text"))
-    return media.load(index, folder).select(
+    found = media.load(media.metadata(media.places(index), folder), folder)
+    return media.described(index, materialise(found, "media-found")).select(
         "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", F.col("length").alias("media_bytes"), "media_sha256", "feature", "digest", "shard", "offset", "width", "height"
     )
 

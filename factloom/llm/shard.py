@@ -5,7 +5,8 @@ Groups sorted by size enter the fullest bin that still takes them, found in a ba
 bin as long as it takes them, so the packing runs on the histogram of group sizes: the driver
 sees one row for each distinct size (with a total of T bytes at most sqrt(2 T) of them) and returns, for
 each size, ranges of ranks with their bin. Ranks and slots are counted in salted parts whose small
-counts give the offsets, so no task holds all groups of a size or all rows of a shard. Texts are
+counts give the offsets, so no task holds all groups of a size or all rows of a shard. Rows of the largest groups (a thousandth
+of all rows or more) learn their shard by a broadcast, so no group gathers in one task. Texts are
 reduced to a digest in the scan and never shuffled.
 
 ``pack`` opens as many bins of a fixed capacity as needed. ``shard`` finds the smallest
@@ -14,7 +15,8 @@ capacity for which best fit needs no more than ``shards`` bins, which makes thei
 Defined cases: a null text has size 1 (no bytes) and is a group of its own row; rows with equal
 texts share a shard unless the group alone exceeds a shard's capacity: only then it is dealt
 by a hash of doc_id into parts, each indivisible; repeated rows are separate rows in one
-shard; an empty table gives no rows.
+shard; an empty table gives no rows; a very long text that exceeds a shard's capacity is a shard's only large group; bins of
+equal room are taken by number; other columns are left out.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.llm._common import fresh, materialise, row_key
+from factloom.llm._common import fresh, join_groups, materialise, row_key
 
 SHARDS = 8
 PARTS = 64
@@ -172,7 +174,7 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     large = [r[0] for r in whole.where(F.col("_bytes") > F.lit(cap)).select("text_key").take(shards)]
     split = F.col("text_key").isin([bytes(k) for k in large]) if large else F.lit(False)
     base = base.withColumn("_piece", F.when(split, F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)).cast("int")).otherwise(F.lit(0)))
-    groups = materialise(base.groupBy("text_key", "_piece").agg(F.sum("size").alias("_bytes")), "shard-groups")
+    groups = materialise(base.groupBy("text_key", "_piece").agg(F.sum("size").alias("_bytes"), F.count(F.lit(1)).alias("_rows")), "shard-groups")
     histogram = [(r[0], r[1]) for r in groups.groupBy("_bytes").count().toLocalIterator()]
     ranges: dict[int, list[tuple[int, int]]] = {}
     for size, first, _, b in tightest(histogram, shards) if histogram else []:
@@ -182,7 +184,7 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     )
     placed = ranked(groups, ["_bytes"], ["text_key", "_piece"], "_rank").join(plan, "_bytes")
     upto = F.filter("_ranges", lambda r: r["first"] <= F.col("_rank"))
-    placed = placed.select("text_key", "_piece", F.element_at(upto, -1)["bin"].alias("shard"))
-    rows = base.join(placed, ["text_key", "_piece"]).drop("_piece")
+    placed = materialise(placed.select("text_key", "_piece", F.element_at(upto, -1)["bin"].alias("shard"), "_rows"), "shard-placed")
+    rows = join_groups(base, placed, ["text_key", "_piece"], "_rows", base.count()).drop("_piece")
     rows = ranked(rows, ["shard"], ["doc_id", "text_key"], "slot", parts=PARTS * 4)
     return rows.withColumn("law", F.lit("bytes"))

@@ -11,14 +11,15 @@ twice, so every copy but one is settled on the spot and one is sent, marked as r
 finds the word sequences that are more frequent than a bucket's share (a task reports those whose
 local share reaches half that, so none is missed and no list exceeds 4 x buckets); they are
 taken as minimisers last, which keeps text beside a common passage out of that passage's bucket. The
-number of buckets follows the bytes of the input, so a bucket has a fixed expected size. Packed strings are
-compressed per bucket. Covered ranges and the rows (compressed batches) then meet once, dealt by a row
+number of buckets follows the bytes of the input, so a bucket has a fixed expected size. A bucket that chunks without number
+send one passage to folds its equal strings again whenever they reach ``HELD_BYTES``, and what is settled travels by its row, not
+through a bucket. Packed strings are compressed per bucket. Covered ranges and the rows (compressed batches) then meet once, dealt by a row
 key: a part's ranges come first, and its rows stream past them.
 
 Defined cases: a null or empty text, or one of white space only, has no words and nothing is removed;
 fewer than ``window`` words have no window; a window that recurs inside its own document counts
 (overlapping occurrences too); repeated rows remove each other's windows; windows are judged on the
-input, not on what is left.
+input, not on what is left; a very long text is one chunk by itself; the result's columns get underscores where names clash.
 """
 
 from __future__ import annotations
@@ -37,6 +38,9 @@ WINDOW = 35
 GRAM = 4
 CHUNK_BYTES = 4 << 20
 BUCKET_BYTES = 4 << 20
+HELD_BYTES = 32 << 20
+#: At most this many word sequences are minimisers last (8 bytes each in the broadcast).
+HEAVY = 1 << 21
 PART_BYTES = 32 << 20
 
 _MEET = "part int, kind int, payload binary"
@@ -217,7 +221,7 @@ def _sender(window: int, gram: int, buckets: int, heavy_list):
                     a, b = np.searchsorted(of, [d, d + 1])
                     pick = a + np.flatnonzero(again[a:b])
                     local = first[pick] - edge[d]
-                    out.append((int(minimiser[pick[0]] % np.uint64(buckets)), True, keys[d], _merged(local, local + size[pick]).tobytes()))
+                    out.append((int.from_bytes(keys[d][8:], "little") % buckets, True, keys[d], _merged(local, local + size[pick]).tobytes()))
             sent = np.flatnonzero(leader == np.arange(len(leader)))
             bucket = (minimiser[sent] % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
@@ -273,10 +277,9 @@ def repeated(text: bytes, size: np.ndarray, multi: np.ndarray, window: int) -> n
 
 
 def _counter(window: int, parts: int):
-    def settle(blobs: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
-        parts = [_load(b) for b in blobs]
-        keys, first, size, multi = (np.concatenate([p[k] for p in parts]) for k in range(4))
-        twice = repeated(b" ".join(p[4] for p in parts), size, multi, window)
+    def settle(loaded: list[tuple]) -> Iterator[tuple[bytes, bytes]]:
+        keys, first, size, multi = (np.concatenate([p[k] for p in loaded]) for k in range(4))
+        twice = repeated(b" ".join(p[4] for p in loaded), size, multi, window)
         n_windows = size.astype(np.int64) - window + 1
         of = np.repeat(np.arange(len(size)), n_windows)
         pick = np.flatnonzero(twice & (multi[of] == 0))  # the copies of a marked string are settled
@@ -296,18 +299,41 @@ def _counter(window: int, parts: int):
         part = [int.from_bytes(k[:8], "little") % parts for k, _ in found]
         return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array([0] * len(found), pa.int32()), pa.array([k + v for k, v in found], pa.binary())], names=["part", "kind", "payload"])
 
+    def folded(loaded: list[tuple]) -> tuple[tuple, list[tuple[bytes, bytes]]]:
+        """Equal strings as one, marked as repeated, and the ranges of the others."""
+        keys, first, size, multi = (np.concatenate([p[k] for p in loaded]) for k in range(4))
+        text = b" ".join(p[4] for p in loaded)
+        start, end = word_bounds(text)
+        edge = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
+        strings = [text[a:b] for a, b in zip(start[edge[:-1]].tolist(), end[edge[1:] - 1].tolist(), strict=True)]
+        where: dict[bytes, int] = {}
+        leader = np.fromiter((where.setdefault(s, i) for i, s in enumerate(strings)), np.int64, len(strings))
+        again = np.bincount(leader, minlength=len(strings)) > 1
+        kept = leader == np.arange(len(leader))
+        # A marked string has its own range settled where it was marked; one marked here and now has not.
+        done = again[leader] & (multi == 0)
+        ranges = [(keys[i].tobytes(), np.array([first[i], first[i] + size[i]], np.int32).tobytes()) for i in np.flatnonzero(done).tolist()]
+        marked = np.maximum(multi, again)
+        np.maximum.at(marked, leader, multi)
+        return (keys[kept], first[kept], size[kept], marked[kept].astype(np.uint8), b" ".join(strings[i] for i in np.flatnonzero(kept).tolist())), ranges
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket, blobs, settled = None, [], []
+        bucket, blobs, settled, held, limit = None, [], [], 0, HELD_BYTES
         for batch in batches:
             for b, done, key, payload in zip(*(batch.column(k) for k in range(4)), strict=True):
                 if b.as_py() != bucket:
                     if found := list(settle(blobs)) if blobs else []:
                         yield rows(found)
-                    bucket, blobs = b.as_py(), []
+                    bucket, blobs, held, limit = b.as_py(), [], 0, HELD_BYTES
                 if done.as_py():
                     settled.append((key.as_py(), payload.as_py()))
-                else:
-                    blobs.append(payload.as_py())
+                    continue
+                blobs.append(_load(payload.as_py()))
+                held += len(blobs[-1][4])
+                if held > limit:
+                    one, ranges = folded(blobs)
+                    blobs, held, settled = [one], len(one[4]), settled + ranges
+                    limit = max(HELD_BYTES, 2 * held)
             if settled:
                 yield rows(settled)
                 settled = []
@@ -384,7 +410,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, bucket_bytes:
     rows = docs.where(F.length("text") > 0).select(key.alias("key"), "text")
     size = rows.agg(F.sum(F.octet_length("text"))).head()[0] or 0
     buckets = max(12, -(-size * 4 // bucket_bytes))
-    share = 1 / (4 * buckets)
+    share = max(1 / (4 * buckets), 1 / HEAVY)
     survey = map_arrow(rows, _survey(window, gram, share), "gram long, n long, total long").groupBy("gram").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
     survey = materialise(survey, "frequent-grams")
     total = survey.where("gram is null").head()
