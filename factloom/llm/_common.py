@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -76,10 +77,24 @@ def _bounded(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+def _give_back() -> None:
+    """Return freed memory to the system, since workers wait for their next task beside stages that run in the JVM."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # a C library without it
+        pass
+
+
 def map_arrow(df: DataFrame, run, schema) -> DataFrame:
     """``mapInArrow``, with this package sent to the workers and batches of at most ``BATCH_BYTES``."""
     _bounded(df.sparkSession)
-    return df.mapInArrow(run, schema)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        _give_back()
+
+    return df.mapInArrow(each, schema)
 
 
 def arrow_column(spark: SparkSession, run, kind, *cols: Column) -> Column:
@@ -91,6 +106,7 @@ def arrow_column(spark: SparkSession, run, kind, *cols: Column) -> Column:
 
     def each(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
         yield from run((b,) if isinstance(b, pa.Array) else b for b in batches)
+        _give_back()
 
     one: type = Iterator[pa.Array] if len(cols) == 1 else Iterator[tuple[(pa.Array,) * len(cols)]]
     each.__annotations__ = {"batches": one, "return": Iterator[pa.Array]}
