@@ -37,8 +37,10 @@ CERTAIN = 0.5
 DISCLOSURE = 0.8
 TOKEN = r"[\p{L}\p{N}]"
 CHUNK = 1024
-BROADCAST_ROWS = 100_000
+#: Bytes of a broadcast table, keys and a fixed share a row counted in, and rows of a broadcast of hashes.
+BROADCAST_BYTES = 32 << 20
 BROADCAST_HASHES = 500_000
+ROW_BYTES = 64
 
 PATTERNS = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
@@ -124,14 +126,38 @@ def disclosing(noted: DataFrame, holding, smooth: float, certain: float, disclos
 def _holding(texts: DataFrame, terms: DataFrame) -> DataFrame:
     """(_text, term) for every row of ``texts`` and each of ``terms`` in it; many terms go by a broadcast of hashes before they are joined."""
     rows = texts.where(F.col("text").isNotNull()).select("_text", F.explode(_terms(F.col("text"))).alias("term"))
-    n = terms.count()
-    if n <= BROADCAST_ROWS:
+    n, size = _measured(terms, F.octet_length("term"))
+    if size <= BROADCAST_BYTES:
         return rows.join(F.broadcast(terms), "term")
     if n <= BROADCAST_HASHES:
         rows = rows.withColumn("_hash", F.xxhash64("term")).join(F.broadcast(terms.select(F.xxhash64("term").alias("_hash")).distinct()), "_hash", "left_semi").drop("_hash")
     return rows.join(terms.hint("shuffle_hash"), "term")
 
 
+def _measured(df: DataFrame, payload: Column) -> tuple[int, int]:
+    """Rows of ``df``, and its bytes: ``payload`` of each row and a fixed share."""
+    found = df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(payload), F.lit(0)).alias("size")).head()
+    return found["n"], found["size"] + ROW_BYTES * found["n"]
+
+
+def _given(rows: DataFrame, held: DataFrame, key: str, has: str, copies: DataFrame) -> DataFrame:
+    """``rows`` and the terms of their text (null: none). ``copies``: key and _n, the rows of each text.
+
+    A small ``held`` is broadcast. Else only texts of a thousandth of all rows or more are, so that no text gathers its copies in one
+    task: a thousand at most, which together are no longer than a thousand mean texts. Null texts take no part in the shuffle.
+    """
+    size = _measured(held, F.aggregate(has, F.lit(0).cast("long"), lambda n, t: n + F.octet_length(t) + ROW_BYTES))[1]
+    if size <= BROADCAST_BYTES:
+        return rows.join(F.broadcast(held), key, "left")
+    total = copies.agg(F.sum("_n").alias("n")).head()["n"] or 0
+    hot = materialise(copies.where(F.col("_n") * 1000 >= total).select(key).join(held, key, "left"), "pii-hot")
+    known = rows.where(F.col(key).isNotNull())
+    near = known.join(F.broadcast(hot), key)
+    far = known.join(F.broadcast(hot.select(key)), key, "left_anti").join(held, key, "left")
+    none = rows.where(F.col(key).isNull()).withColumn(has, F.lit(None).cast("array<string>"))
+    return near.unionByName(far).unionByName(none)
+
+
 def _terms(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TOKEN + "{3,}"), F.lit(0)))
 
@@ -163,8 +189,8 @@ def find(docs: DataFrame, out: str = "spans", smooth: float = SMOOTH, certain: f
     held = materialise(seen.join(terms, "term").groupBy(F.col("_text").alias(key)).agg(F.array_sort(F.collect_set("term")).alias(has)), "pii-held")
     if held.isEmpty():
         return docs.withColumn(out, in_order(base_spans(text)))
-    held = F.broadcast(held) if held.count() <= BROADCAST_ROWS else held
-    rows = docs.withColumn(key, F.when(F.col("text").isNotNull(), row_key(F.col("text")))).join(held, key, "left")
+    copies = noted.where(F.col("_text").isNotNull()).groupBy(F.col("_text").alias(key)).agg(F.count(F.lit(1)).alias("_n"))
+    rows = _given(docs.withColumn(key, F.when(F.col("text").isNotNull(), row_key(F.col("text")))), held, key, has, copies)
     # Terms hold letters and digits only, so they need no quoting.
     pattern = F.concat(F.lit(f"(?iu)(?<!{TOKEN})(?:"), F.array_join(has, "|"), F.lit(f")(?!{TOKEN})"))
     extra = F.when(F.col(has).isNotNull(), _located(text, pattern, F.lit(TERM))).otherwise(_none())

@@ -337,6 +337,19 @@ def test_terms_of_few_texts_and_far_away(spark):
     assert not any("quixel" in t for t in terms.values()) and not terms[100]
 
 
+def test_terms_beyond_a_broadcast(spark, monkeypatch):
+    """The same spans with all tables too large to broadcast: null texts, a hot text, a text with a term and no entity, a clashing name."""
+    rows = [(i, "zorblax writes to boss@corp.org") for i in range(12)] + [(20 + i, None) for i in range(12)] + [(40, "zorblax was seen"), (41, ""), (42, "zorblax met boss@corp.org")]
+    rows += [(1000 + i, f"{_prose('en', 2)} {i}") for i in range(9000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("_n", F.lit(1)).withColumn("_terms", F.lit("x"))
+    found = lambda: sorted((r["doc_id"], r["x"]) for r in pii.find(df, "x").select("doc_id", pii.listed(F.col("x")).alias("x")).collect())
+    near = found()
+    assert dict(near)[40] == "term:0:7" and dict(near)[0] == "term:0:7,email:18:31"
+    monkeypatch.setattr(pii, "BROADCAST_BYTES", -1)
+    monkeypatch.setattr(pii, "BROADCAST_HASHES", -1)
+    assert found() == near
+
+
 def test_pipeline(spark, bench, tmp_path):
     rows = [(i, t, "en" if i < 12 else "de", "s", len(t or "")) for i, t in ROWS if i is not None]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
