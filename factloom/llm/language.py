@@ -216,7 +216,7 @@ def _sample_counts(languages: list[str]):
 def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, smoothing: float = 0.5) -> Model:
     """A model from rows with ``text`` and ``lang`` (rows with a null in either are left out)."""
     rows = labelled.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    counts = {r[0]: r[1] for r in rows.groupBy("lang").count().toLocalIterator()}  # one row a language
+    counts = {r[0]: r[1] for r in rows.groupBy("lang").count().coalesce(1).toLocalIterator()}  # one row a language, and a job for each partition
     languages = sorted(counts)
     if not languages:
         return Model([], np.zeros((ORDERS, BUCKETS, 0), np.float32), np.zeros((len(SCRIPTS) + 1, 0), bool))
@@ -224,7 +224,8 @@ def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, smoothing: float
     chosen = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20)).dropDuplicates()
     grams = np.zeros((len(languages), ORDERS, BUCKETS), np.int64)
     scripts = np.zeros((len(languages), len(SCRIPTS) + 1), np.int64)
-    found = map_arrow(chosen.repartition(4, F.xxhash64("text")), _sample_counts(languages), "lang int, grams binary, scripts binary")
+    # Counts are some MB a language and task, so tasks stay few where a shuffle has many partitions.
+    found = map_arrow(chosen.repartition(4, F.xxhash64("text")).coalesce(4), _sample_counts(languages), "lang int, grams binary, scripts binary")
     for r in found.toLocalIterator():  # at most 4 rows a language
         grams[r["lang"]] += np.frombuffer(r["grams"], np.int32).reshape(ORDERS, BUCKETS)
         scripts[r["lang"]] += np.frombuffer(r["scripts"], np.int64)

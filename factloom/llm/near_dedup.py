@@ -18,7 +18,8 @@ To settle, a bucket of more than two blocks of text is cut into blocks of ``bloc
 other one, in a task's turn of its own, unless both hold one and the same class; so a task holds the shingles of two blocks at most,
 whatever the bucket. Candidates are verified by the exact weighted Jaccard similarity
 of the whole texts, at first the best of each text, then those whose ends are still in different classes. Classes are
-connected components of verified links, found by hooking to the least neighbour and contracting.
+connected components of verified links, found by hooking to the least neighbour and contracting, and in one task once
+``JOINED_EDGES`` edges or fewer are left.
 
 Equal texts form one node from the start: only one representative of a text goes into bands, whatever the number of copies.
 
@@ -33,6 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -51,6 +53,8 @@ BLOCK_BYTES, MEMBER_BYTES = 8 << 20, 800
 #: Weighted sets that are kept for the next pairs, in bytes, and sketches that are kept for copies.
 KEPT_BYTES, KEPT_SKETCHES = 16 << 20, 5_000
 BROADCAST_ROWS = 500_000
+#: Edges that one task joins; more are contracted by rounds first.
+JOINED_EDGES = 500_000
 PROFILE = 256
 #: Below the similarity by what weights (a factor of 1.2 in the odds) and three deviations of a profile's estimate can make up.
 PROFILE_SLACK = 0.11
@@ -204,7 +208,7 @@ def frequencies(docs: DataFrame, table: int = TABLE) -> tuple[np.ndarray, int]:
     schema = "piece int, n long, df binary"
     pieces = map_arrow(map_arrow(docs.select(F.col("text").cast("string").alias("text")), run, schema).repartition(16, "piece"), add, schema)
     df, n = np.zeros(table, np.int64), 0
-    for r in pieces.toLocalIterator():  # table / part rows, whatever the input
+    for r in pieces.coalesce(16).toLocalIterator():  # table / part rows, whatever the input, and a job for each partition
         df[r["piece"] * part : (r["piece"] + 1) * part] = np.frombuffer(r["df"], np.int64)
         n = r["n"]
     return df, n
@@ -454,12 +458,46 @@ def verified(pairs: DataFrame, docs: DataFrame, table, least: float) -> DataFram
     return map_arrow(both.select("a", "b", "_ta", "_tb"), run, "a binary, b binary, similarity double").where(F.col("similarity") >= least)
 
 
+def _join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, root) for every end of the edges of one task, the root being the least node of the component."""
+    columns = [[], []]
+    for batch in batches:
+        for k in range(2):
+            columns[k].append(batch.column(k).cast(pa.binary()))
+    ends = pa.concat_arrays([*columns[0], *columns[1], pa.array([], pa.binary())]).dictionary_encode()
+    order = pc.array_sort_indices(ends.dictionary).to_numpy()
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    a, b = rank[ends.indices.to_numpy()].reshape(2, -1).tolist()
+    parent = list(range(len(order)))
+    for x, y in zip(a, b, strict=True):
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        while parent[y] != y:
+            parent[y] = y = parent[parent[y]]
+        parent[max(x, y)] = min(x, y)
+    for x in range(len(parent)):  # a parent is never above its node
+        parent[x] = parent[parent[x]]
+    nodes = ends.dictionary.take(pa.array(order))
+    for at in range(0, len(order), 1 << 15):
+        yield pa.RecordBatch.from_arrays([nodes[at : at + (1 << 15)], nodes.take(pa.array(parent[at : at + (1 << 15)], pa.int64()))], names=["node", "root"])
+
+
 def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
-    """(node, root) for every end of an edge: hook each node to its least neighbour, contract, repeat."""
+    """(node, root) for every end of an edge: hook each node to its least neighbour, contract, repeat until one task can join the rest.
+
+    A round is a dozen of small jobs, which all pass through the driver.
+    """
     edges = materialise(edges.select("a", "b"), "edges")
     labels = None
     for _ in range(rounds):
-        if edges.isEmpty():
+        n = edges.count()
+        if n and n <= JOINED_EDGES:
+            last = map_arrow(edges.coalesce(1), _join, "node binary, root binary")
+            if labels is not None:
+                last = labels.join(last.select(F.col("node").alias("root"), F.col("root").alias("_m")), "root", "left").select("node", F.coalesce("_m", "root").alias("root"))
+            return materialise(last, "labels")
+        if not n:
             break
         ways = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         hook = materialise(ways.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "hooks")

@@ -167,7 +167,7 @@ def pack(docs: DataFrame, path: str | None = None, context: int = CONTEXT, tiers
     part = F.pmod(F.xxhash64("doc_id", "n"), F.lit(max(PARTS, ids.count() // PART_ROWS))).cast("int")
     ids = ids.select("*", (F.col("n") % context).cast("int").alias("_rest"), F.expr(f"n div {context}").alias("_full"), part.alias("_part"))
     counts = materialise(ids.groupBy("_rest", "_part").agg(F.count(F.lit(1)).alias("_n"), F.sum("_full").alias("_f")), "packing-counts")
-    totals = sorted((r[0], r[1], r[2]) for r in counts.groupBy("_rest").agg(F.sum("_n"), F.sum("_f")).toLocalIterator())  # at most context rows
+    totals = sorted((r[0], r[1], r[2]) for r in counts.groupBy("_rest").agg(F.sum("_n"), F.sum("_f")).coalesce(1).toLocalIterator())  # at most context rows
     histogram = {rest: n for rest, n, _ in totals if rest}
     full, before = 0, []
     for rest, _, f in totals:

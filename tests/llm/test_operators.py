@@ -253,6 +253,54 @@ def test_near_duplicates_that_share_one_hot_bucket_only(spark):
     assert not any({f for f, _ in m} == {"a"} for m in met.values())
 
 
+def _jobs(spark, name, run):
+    """What ``run`` returns, and the jobs it took, with 40 shuffle partitions that are left apart."""
+    put = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in put}
+    try:
+        for k, v in put.items():
+            spark.conf.set(k, v)
+        spark.sparkContext.setJobGroup(name, name)
+        return run(), len(spark.sparkContext.statusTracker().getJobIdsForGroup(name))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("joined", [500_000, 60, 0])
+def test_components(spark, monkeypatch, joined):
+    """Chains, stars and repeated edges: joined in one task, after some rounds, and by rounds alone."""
+    rng = random.Random(3)
+    names = [hashlib.md5(str(i).encode()).digest() for i in range(400)]
+    pairs = [(i, i + 1) for i in range(0, 120)] + [(200, i) for i in range(201, 240)] + [(rng.randrange(250, 400), rng.randrange(250, 400)) for _ in range(70)]
+    pairs = [(a, b) if rng.random() < 0.5 else (b, a) for a, b in pairs if a != b] + [(0, 1)]
+    root = {i: i for pair in pairs for i in pair}
+    for _ in root:
+        for a, b in pairs:
+            root[a] = root[b] = min(root[a], root[b], key=lambda i: names[i])
+    edges = spark.createDataFrame([(names[a], names[b]) for a, b in pairs], "a binary, b binary").repartition(5)
+    monkeypatch.setattr(near_dedup, "JOINED_EDGES", joined)
+    got, jobs = _jobs(spark, f"components-{joined}", lambda: near_dedup.components(edges).collect())
+    assert {bytes(r["node"]): bytes(r["root"]) for r in got} == {names[i]: names[r] for i, r in root.items()} and len(got) == len(root)
+    assert joined < 500_000 or jobs <= 8
+
+
+def test_components_of_none(spark):
+    assert near_dedup.components(spark.createDataFrame([], "a binary, b binary")).count() == 0
+
+
+def test_small_results_take_few_jobs(spark, docs):
+    """A result of some rows comes to the driver in few jobs, however many partitions a shuffle has."""
+    (df, n), jobs = _jobs(spark, "frequencies", lambda: near_dedup.frequencies(docs, 1 << 16))
+    assert n == len(ROWS) and df.sum() > 0 and jobs <= 20
+    labelled = docs.select("text", F.when(F.col("text").contains("der"), "de").otherwise("en").alias("lang"))
+    model, jobs = _jobs(spark, "fit", lambda: language.fit(labelled))
+    assert model.languages == ["de", "en"] and jobs <= 12
+    pieces, jobs = _jobs(spark, "pack", lambda: packing.pack(docs.select("doc_id", "text")))
+    assert pieces.columns and jobs <= 20
+
+
 def test_html_query(spark):
     pages = spark.createDataFrame([(1, "<body><article><p>Some text, here.</p></article></body>", 1), (2, None, 1), (3, "", 1), (1, "<p>", 1)], "page_id long, html string, text int")
     got = sorted((r["page_id"], r["main_text"]) for r in html.extract(pages).collect())
