@@ -7,7 +7,8 @@ A keyed Feistel network on the next even number of bits, walked along its cycle
 numbers: the image is the sequence's global slot. A shard holds a fixed number of consecutive slots, so slot ``s`` stands
 in shard ``s div capacity`` at ``(s mod capacity) * stride``, which a reader computes without an index; the inverse
 permutation leads from a slot back to the sequence's number. Shards are range partitions, each sorted and
-written as one file of fixed stride, read forward from any slot.
+written as one file of fixed stride, read forward from any slot. They are shuffled and written in ``WAVES`` turns, each a range of shards
+whose shuffle is dropped before the next one's, so that the disk holds the table, the shards and a part of the shuffle only.
 
 The number of shards follows N. A task that runs again writes the same bytes and moves them over the first
 (each file is written under a name of its own and renamed).
@@ -24,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.llm import _store, tokens
@@ -35,6 +36,10 @@ SHARD_BYTES = 64 << 20
 LEAST_SHARDS = 12
 ROUNDS = 6
 END = 0
+#: Turns in which the shards are written; each reads the table of sequences once.
+WAVES = 3
+#: Whether Spark drops the shuffle files of a query when it ends, instead of when the driver happens to collect its garbage.
+DROPPED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 class Feistel:
@@ -173,6 +178,16 @@ def _write(folder: str, capacity: int):
     return run
 
 
+def _dropped(spark: SparkSession, run):
+    """What ``run`` returns; shuffles of the queries in it end with them."""
+    old = spark.conf.get(DROPPED, None)
+    spark.conf.set(DROPPED, "true")
+    try:
+        return run()
+    finally:
+        spark.conf.unset(DROPPED) if old is None else spark.conf.set(DROPPED, old)
+
+
 def write_in_training_order(docs: DataFrame, folder: str | None = None, key: bytes = b"epoch-0", path: str | None = None, length: int = LENGTH, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Write the shards; one row per sequence: slot, shard, index, offset, stride, capacity, n_ids, doc_ids, starts, ids_crc32."""
     spark = docs.sparkSession
@@ -196,12 +211,18 @@ def write_in_training_order(docs: DataFrame, folder: str | None = None, key: byt
     numbered = numbered.withColumn("slot", arrow_column(spark, slots, "long", F.col("_base") + F.col("made")))
     numbered = numbered.select(F.expr(f"cast(slot div {capacity} as int)").alias("shard"), "slot", "n_ids", "doc_ids", "starts", "ids")
     _store.make(folder)
-    written = (
-        numbered.repartitionById(max(1, -(-total // capacity)), F.col("shard"))
-        .sortWithinPartitions("shard", "slot")
-        .mapInArrow(_write(folder, capacity), "shard int, slot long, n_ids long, doc_ids array<long>, starts array<long>, index long, offset long, ids_crc32 long")
-    )
-    index = materialise(written, "order-index")
+    shards = max(1, -(-total // capacity))
+    wave, index = -(-shards // WAVES), None
+    for first in range(0, shards, wave):
+        n = min(wave, shards - first)
+        written = (
+            numbered.where(F.col("shard").between(first, first + n - 1))
+            .repartitionById(n, F.col("shard") - first)
+            .sortWithinPartitions("shard", "slot")
+            .mapInArrow(_write(folder, capacity), "shard int, slot long, n_ids long, doc_ids array<long>, starts array<long>, index long, offset long, ids_crc32 long")
+        )
+        rows = _dropped(spark, lambda written=written: materialise(written, "order-index"))
+        index = rows if index is None else index.unionByName(rows)
     return index.select("slot", "shard", "index", "offset", F.lit(stride).cast("long").alias("stride"), F.lit(capacity).cast("long").alias("capacity"), "n_ids", "doc_ids", "starts", "ids_crc32")
 
 

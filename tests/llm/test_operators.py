@@ -144,6 +144,30 @@ def test_training_order(docs, none, tmp_path):
     assert order.write_in_training_order(none).count() == 0
 
 
+def test_shards_are_shuffled_in_turns(spark, docs, tmp_path, monkeypatch):
+    """No turn takes more than about a third of the sequences, and each turn's shuffle is gone when the next one starts."""
+    local = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffled():
+        files = local.getAllFiles()
+        return sum(files.apply(k).length() for k in range(files.size()) if files.apply(k).getName().endswith(".data"))
+
+    seen, keep = [], order.materialise
+
+    def watched(df, name):
+        before = shuffled()
+        out = keep(df, name)
+        if name == "order-index":
+            seen.append((out.count(), shuffled() - before))
+        return out
+
+    monkeypatch.setattr(order, "materialise", watched)
+    old = spark.conf.get(order.DROPPED, None)
+    index = order.write_in_training_order(docs, f"file://{tmp_path}/order", length=64, shard_bytes=64 * 2 * 7).collect()
+    assert sum(n for n, _ in seen) == len(index) and max(n for n, _ in seen) <= len(index) / 3 + 7
+    assert all(left <= 0 for _, left in seen) and spark.conf.get(order.DROPPED, None) == old
+
+
 def test_packing(docs, none):
     rows = packing.pack(docs).collect()
     encode = tokens.encoder(tokens.default_path())
