@@ -11,6 +11,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from factloom import _cut
 from factloom.functions import arrays, documents, scalars, text
 from factloom.operators import canon, damage, judge, laws, repair, sampling
 from factloom.plans import driver
@@ -260,3 +261,13 @@ def test_components_of_a_long_chain(spark):
     rows = spark.createDataFrame([(f"c{k:03}", f"e{e}") for k in range(150) for e in (k, k + 1)] + [("d", "x")], "conflict_id string, element_id string")
     got = {r["conflict_id"]: r["component"] for r in repair.components(rows).collect()}
     assert len(got) == 151 and {c for k, c in got.items() if k != "d"} == {"c000"} and got["d"] == "d"
+
+
+def test_large_tables_are_not_broadcast(spark, graph):
+    facts, nodes = graph
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString() + df._jdf.queryExecution().sparkPlan().toString()
+    many = _cut.cut(spark.range(_cut.SMALL + 1).selectExpr("concat('o:', id) as id"), "many")
+    few = _cut.cut(spark.range(9).selectExpr("concat('o:', id) as id"), "few")
+    assert "BroadcastHashJoin" not in plan(many.join(many.where("id <> 'o:1'").select("id").distinct(), "id", "left_anti"))
+    assert "BroadcastHashJoin" in plan(many.unionByName(few).join(few, "id", "left_semi"))
+    assert "BroadcastHashJoin" not in plan(laws.violations(facts, nodes))
