@@ -12,6 +12,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tasks(spark: SparkSession) -> int:
+    """Four tasks a core."""
+    return 4 * spark.sparkContext.defaultParallelism
+
+
 ACT_KEY = "concat('3', year(o_orderdate), substring('RLDHAQXC', cast(o_orderkey % 8 as int) + 1, 1), lpad(cast(o_orderkey % 10000 as string), 4, '0'))"
 
 

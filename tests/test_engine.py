@@ -292,3 +292,9 @@ def test_clean_decodes_the_references_of_the_sql(spark, tmp_path):
     got = plans.queries()["text_clean"](spark, str(tmp_path)).toPandas()
     assert _rows(got, sorted(want.columns)) == _rows(want, sorted(want.columns))
     assert spark.range(1).select(text.clean(F.lit("&mdash; &amp b"))).head()[0] == "— & b"
+
+
+def test_documents_are_damaged_once_over_many_tasks(spark):
+    rows = plans.queries()["document_judge"](spark, DATA)
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("raise_error") == 1
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("Repartition") == 1 and driver.tasks(spark) == 16
