@@ -233,7 +233,7 @@ def inject(facts: DataFrame, nodes: DataFrame, faults: DataFrame, damages: list[
     """Apply damages in rank order; each samples from the graph the one before left, so lineage is cut between them."""
     facts, nodes, journal = large(facts), large(nodes), None
     for k, d in enumerate(sorted(damages, key=lambda d: RANKS.get(d.kind, 2))):
-        own = f"{seed}|{k}|{d.denominator}|{d.kind}"
+        own, before = f"{seed}|{k}|{d.denominator}|{d.kind}", (facts, nodes)
         if d.kind == "SPURIOUS_EDGE":
             facts, nodes, found = spurious(facts, nodes, faults, d.denominator, d.rate, own, visible, family)
         elif d.kind in ("CYCLE", "CYCLE_BLIND"):
@@ -242,7 +242,9 @@ def inject(facts: DataFrame, nodes: DataFrame, faults: DataFrame, damages: list[
             facts, nodes, found = duplicate(facts, nodes)
         else:
             facts, nodes, found = _APPLY[d.kind](facts, nodes, faults, d.denominator, d.rate, own)
-        facts, nodes, found = cut(facts, "facts"), cut(nodes, "nodes"), cut(found, "events")
+        # What a damage leaves alone stands already.
+        facts, nodes = facts if facts is before[0] else cut(facts, "facts"), nodes if nodes is before[1] else cut(nodes, "nodes")
+        found = cut(found, "events")
         journal = found if journal is None else journal.unionByName(found)
     if copy:
         facts, nodes, found = duplicate(facts, nodes)
