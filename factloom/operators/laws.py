@@ -88,17 +88,41 @@ def inactive_violations(nodes: DataFrame, cutoff: str = CUTOFF) -> DataFrame:
 
 def violations(facts: DataFrame, nodes: DataFrame, family: str = "acts", two_edge: bool = True) -> DataFrame:
     """Facts with ``laws``: the ids of the laws each breaks, in the order of the family."""
-    ends = with_ends(facts, nodes, READS[family])
-    flags = {"L1": order_law(), "L2": expiry_law(), "L3": identifier_law()} if family == "acts" else {"I1": name_law()}
-    law, flagged = ("L4", mutual(facts)) if family == "acts" else ("I3", rivals_for_target(facts))
-    if two_edge:
-        ends = ends.join(large(flagged.distinct().withColumn("_two", F.lit(True))), ["s", "p", "o"], "left")
-        flags[law] = F.coalesce("_two", F.lit(False))
+    if family == "acts":
+        ends = with_ends(_mutual_marked(facts) if two_edge else facts, _law_values(nodes))
+        s, o = F.col("_s"), F.col("_o")
+        flags = {
+            "L1": F.col("p").isin("repeals", "amends") & F.coalesce(s["ok"] < o["ok"], F.lit(False)),
+            "L2": (F.col("p") == "amends") & F.coalesce(o["ok"] > s["until"], F.lit(False)),
+            "L3": (F.col("p") == "based_on") & F.coalesce(o["bare"], F.lit(True)),
+        }
+        if two_edge:
+            flags["L4"] = F.col("_two")
+    else:
+        ends, flags = with_ends(facts, nodes, READS[family]), {"I1": name_law()}
+        if two_edge:
+            ends = ends.join(large(rivals_for_target(facts).distinct().withColumn("_two", F.lit(True))), ["s", "p", "o"], "left")
+            flags["I3"] = F.coalesce("_two", F.lit(False))
     order = [x for x in EDGE_LAWS[family] if x in flags]
     laws = F.array_compact(F.array(*[F.when(flags[x], F.lit(x)) for x in order]))
     return ends.select(*facts.columns, laws.alias("laws"))
 
 
+def _law_values(nodes: DataFrame) -> DataFrame:
+    """id, ok, until, bare: what L1 to L3 read of an act, read once a node and short: its date if that is sound, its end of validity, whether it has no key and is no gap."""
+    date = F.when(F.col("date_document_status") == "ok", scalars.iso_date(F.col("date_document")))
+    bare = (F.coalesce("celex", F.lit("")) == "") & ~F.coalesce("gap", F.lit(False))
+    return nodes.select("id", date.alias("ok"), scalars.iso_date(F.col("date_end_of_validity")).alias("until"), (F.col("id").isNotNull() & bare).alias("bare"))
+
+
+def _mutual_marked(facts: DataFrame, relation: str = "repeals") -> DataFrame:
+    """Facts with ``_two``: whether the reverse of the triple stands too (L4). Only facts of the relation are shuffled, by the pair of their ends."""
+    own = F.coalesce(F.col("p") == relation, F.lit(False)) & F.col("s").isNotNull() & F.col("o").isNotNull()
+    pair = Window.partitionBy(F.least("s", "o"), F.greatest("s", "o"))
+    two = F.max(F.col("s") <= F.col("o")).over(pair) & F.max(F.col("s") >= F.col("o")).over(pair)
+    return facts.where(own).withColumn("_two", two).unionByName(facts.where(~own).withColumn("_two", F.lit(False)))
+
+
 def order_census(facts: DataFrame, nodes: DataFrame, relations: tuple[str, ...]) -> DataFrame:
     """p, n, broken of L1; only facts of the relations and the dates of nodes travel."""
     ends = with_ends(facts.where(F.col("p").isin(*relations)), nodes, ("id", "date_document", "date_document_status"))

@@ -298,3 +298,20 @@ def test_documents_are_damaged_once_over_many_tasks(spark):
     rows = plans.queries()["document_judge"](spark, DATA)
     assert rows._jdf.queryExecution().optimizedPlan().toString().count("raise_error") == 1
     assert rows._jdf.queryExecution().optimizedPlan().toString().count("Repartition") == 1 and driver.tasks(spark) == 16
+
+
+def test_law_checks_shuffle_short_rows(spark, graph):
+    facts, nodes = graph
+    odd = spark.createDataFrame([("8", None, "repeals", "a"), ("9", "a", None, "b"), ("10", "a", "repeals", "b"), ("11", "zz", "amends", "a")], "id string, s string, p string, o string")
+    rows = laws.violations(facts.unionByName(odd), nodes)
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 2  # of each end; a fact by itself is in no third
+    got = {r["id"]: r["laws"] for r in rows.collect()}
+    assert got == {"1": ["L4", "L1"], "2": ["L4"], "3": ["L1", "L2"], "4": ["L3"], "5": [], "6": ["L3"], "7": ["L4"], "8": [], "9": [], "10": ["L4", "L1"], "11": []}
+
+
+def test_only_what_a_damage_changes_is_written(spark, graph, monkeypatch):
+    facts, nodes = graph
+    written = []
+    monkeypatch.setattr(damage, "cut", lambda df, name: (written.append(name), _cut.cut(df, name))[1])
+    damage.inject(facts, nodes, spark.createDataFrame([], "fact string, node string, kind string, seq int"), damage.parse(["nodes:ANACHRONISM=0.5", "repeals:MISSING=0.5"]), "x")
+    assert (written.count("facts"), written.count("nodes"), written.count("events")) == (1, 1, 2)
